@@ -99,11 +99,10 @@ def embeddable(col: Column) -> Column:
 def terms(col: Column) -> Column:
     """Lower-cased words of two or more characters, then their adjacent pairs."""
     words = F.regexp_extract_all(F.lower(col), F.lit("(?U)(" + fixed.TERM_PATTERN + ")"), 1)
-    pairs = F.transform(
-        F.arrays_zip(
-            F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))).alias("a"),
-            F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))).alias("b"),
-        ),
-        lambda p: F.concat_ws(" ", p["0"], p["1"]),
+    rest = F.greatest(F.size(words) - 1, F.lit(0))
+    pairs = F.zip_with(
+        F.slice(words, F.lit(1), rest),
+        F.slice(words, F.lit(2), rest),
+        lambda a, b: F.concat_ws(" ", a, b),
     )
     return F.concat(words, pairs)

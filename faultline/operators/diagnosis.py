@@ -86,7 +86,10 @@ def diagnose_by_similarity(
 def attach_diagnosis(logs: DataFrame, diagnosis: DataFrame) -> DataFrame:
     """Put the diagnosis of its template on every alert row, defaults on the rest."""
     alert = F.coalesce(is_alert(), F.lit(False))
-    key = F.when(alert, F.coalesce(F.col("event_template"), F.lit("")))
+    # Rows without an alert spread over many keys that match nothing: one null key
+    # would gather most of the table in a single task.
+    spread = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64("line_id"), F.lit(4096)).cast("string"))
+    key = F.when(alert, F.coalesce(F.col("event_template"), F.lit(""))).otherwise(spread)
     looked_up = logs.withColumn("_key", key).join(
         diagnosis.select(
             F.col("text").alias("_key"),
@@ -96,9 +99,11 @@ def attach_diagnosis(logs: DataFrame, diagnosis: DataFrame) -> DataFrame:
         "_key",
         "left",
     )
+    cause = F.when(alert, F.col("_cause"))
+    action = F.when(alert, F.col("_action"))
     return (
-        looked_up.withColumn("root_cause", F.coalesce("_cause", F.lit(fixed.NORMAL_CAUSE)))
-        .withColumn("recommendation", F.coalesce("_action", F.lit(fixed.NORMAL_ACTION)))
+        looked_up.withColumn("root_cause", F.coalesce(cause, F.lit(fixed.NORMAL_CAUSE)))
+        .withColumn("recommendation", F.coalesce(action, F.lit(fixed.NORMAL_ACTION)))
         .withColumn("severity_label", severity_label(F.col("level")))
         .drop("_key", "_cause", "_action")
     )
