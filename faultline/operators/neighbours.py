@@ -21,42 +21,50 @@ BLOCK_ROWS = 1000
 _SLACK = 1e-9
 
 
-def _leading(vectors: DataFrame, vocabulary_ranks: DataFrame, similarity: float) -> DataFrame:
+def _ranks(vectors: DataFrame) -> tuple[dict[int, int], int]:
+    """Position of every term from rare to common, and the first one all vectors hold.
+
+    Pairs sharing a universal term are handled under it or under a rarer one, so
+    nothing after the first universal term needs to be looked at. The lists are as
+    long as the vocabulary.
+    """
+    uses = (
+        vectors.select(F.explode("vec").alias("x"))
+        .groupBy(F.col("x.i").alias("i"))
+        .agg(F.count(F.lit(1)).alias("uses"))
+        .orderBy("uses", "i")
+        .collect()
+    )
+    total = vectors.count()
+    ranks = {row.i: place for place, row in enumerate(uses)}
+    universal = [ranks[row.i] for row in uses if row.uses == total]
+    return ranks, min(universal, default=len(ranks))
+
+
+def _literal_map(values: dict[int, int]):
+    return F.create_map(*[F.lit(x) for pair in sorted(values.items()) for x in pair])
+
+
+def _leading(vectors: DataFrame, ranks: dict[int, int], similarity: float) -> DataFrame:
     """Vectors re-indexed from rare to common, with the number of leading terms."""
-    ranked = (
-        vectors.select("vec_id", F.explode("vec").alias("x"))
-        .select("vec_id", F.col("x.i").alias("i"), F.col("x.w").alias("w"))
-        .join(F.broadcast(vocabulary_ranks), "i")
-        .groupBy("vec_id")
-        .agg(F.array_sort(F.collect_list(F.struct(F.col("r"), F.col("w")))).alias("terms"))
+    rank = _literal_map(ranks)
+    terms = F.array_sort(
+        F.transform("vec", lambda x: F.struct(rank[x["i"]].alias("r"), x["w"].alias("w")))
     )
+    ranked = vectors.withColumn("terms", terms).drop("vec")
     # Squared norm of the tail that starts at each position, common terms last.
+    bound = similarity * similarity - _SLACK
     tail = F.aggregate(
         F.reverse("terms"),
         F.struct(F.lit(0.0).alias("norm"), F.lit(0).alias("dropped")),
         lambda a, x: F.struct(
             (a["norm"] + x["w"] * x["w"]).alias("norm"),
-            F.when(
-                a["norm"] + x["w"] * x["w"] < similarity * similarity - _SLACK, a["dropped"] + 1
-            )
-            .otherwise(a["dropped"])
-            .alias("dropped"),
+            (a["dropped"] + (a["norm"] + x["w"] * x["w"] < bound).cast("int")).alias("dropped"),
         ),
     )
     return ranked.withColumn("lead", F.size("terms") - tail["dropped"])
 
 
-def _term_ranks(vectors: DataFrame) -> DataFrame:
-    """Position of every term from rare to common; as many rows as the vocabulary."""
-    from pyspark.sql import Window as W
-
-    uses = vectors.select(F.explode("vec").alias("x")).groupBy(F.col("x.i").alias("i")).agg(
-        F.count(F.lit(1)).alias("uses")
-    )
-    rank = F.row_number().over(W.partitionBy().orderBy("uses", "i")) - 1
-    return uses.select("i", rank.cast("int").alias("r"))
-
-
 def block_pairs(
     vectors: DataFrame,
     eps: float,
@@ -72,31 +80,20 @@ def block_pairs(
     pairs to count (each unordered pair once over all tasks).
     """
     similarity = 1.0 - eps
-    ranks = _term_ranks(vectors)
-    leading = _leading(vectors, ranks, similarity)
-    posted = leading.withColumn("term", F.explode(F.slice(F.col("terms.r"), F.lit(1), F.col("lead"))))
-    blocks = (
-        posted.groupBy("term")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select("term", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))
-    )
-    # One row per vocabulary term.
-    placed = posted.join(F.broadcast(blocks), "term").withColumn(
-        "mine", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")
-    )
-    sides = placed.withColumn(
-        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    ).select(
-        "term",
-        F.least("mine", "other").alias("low"),
-        F.greatest("mine", "other").alias("high"),
-        "mine",
-        "vec_id",
-        "terms",
-        "lead",
+    ranks, last = _ranks(vectors)
+    if not ranks:
+        return vectors.sparkSession.createDataFrame([], schema)
+    leading = _leading(vectors.select("vec_id", "vec", *carry), ranks, similarity)
+    useful = F.filter(F.slice(F.col("terms.r"), F.lit(1), F.col("lead")), lambda r: r <= last)
+    posted = leading.withColumn("term", F.explode(useful))
+    sizes = posted.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()
+    blocks = _literal_map({row.term: -(-row.n // block_rows) for row in sizes})[F.col("term")]
+    sides = (
+        posted.withColumn("mine", F.pmod(F.xxhash64("vec_id"), blocks).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .withColumn("low", F.least("mine", "other"))
+        .withColumn("high", F.greatest("mine", "other"))
     )
-    if carry:
-        sides = sides.join(vectors.select("vec_id", *carry), "vec_id")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id", ignore_index=True)

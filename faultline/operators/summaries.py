@@ -244,7 +244,7 @@ def pattern_stats(logs: DataFrame, limit: int | None = None) -> DataFrame:
         F.sum("n").alias("n"),
         F.sum("a").alias("anomalies"),
         F.bround(F.max("top"), 4).alias("score_max"),
-        F.bround(F.sum("units") / F.sum("scored") / 10000, 4).alias("score_mean"),
+        (F.bround(F.sum("units") / F.sum("scored")) / 10000).alias("score_mean"),
         F.max_by("level", best_level).alias("dominant_level"),
     )
     ranked = stats.withColumn(

@@ -148,7 +148,7 @@ def run(
 ) -> RunResult:
     """Diagnose one log: a file, or a directory holding the parts of one log."""
     name = log_source or path.rstrip("/").rsplit("/", 1)[-1]
-    profile = profile_logs(read_for_profile(spark, path))
+    profile = profile_logs(read_for_profile(spark, path, log_name=name))
     lines = cut(
         scan_lines(spark, path, as_one_log=True)
         .withColumn("log_source", F.lit(name))

@@ -15,7 +15,7 @@ from faultline import fixed
 from faultline.functions.levels import parse_header
 from faultline.functions.text import is_blank, strip
 
-_IN_TASK = F.lit((1 << 33) - 1)
+_IN_TASK = (1 << 33) - 1
 
 
 def _pin_splits(spark: SparkSession) -> None:
@@ -34,7 +34,7 @@ def _number(lines: DataFrame, whole: bool) -> DataFrame:
     ``whole`` numbers all files as one log, in path order.
     """
     placed = lines.withColumn("_task", F.spark_partition_id()).withColumn(
-        "_at", F.monotonically_increasing_id().bitwiseAND(_IN_TASK)
+        "_at", F.monotonically_increasing_id().bitwiseAND(F.lit(_IN_TASK))
     )
     splits = placed.groupBy("_file", "_start", "_task").agg(
         F.min("_at").alias("_base"), F.count(F.lit(1)).alias("_n")
@@ -131,10 +131,12 @@ def _csv_groups(spark: SparkSession, path, glob: str | None, tolerant: bool) ->
     A line with an odd number of quotes opens or closes a field that spans lines;
     only such files need the unsplittable multi-line reader.
     """
-    lines = _read_lines(spark, path, glob, tolerant)
+    lines = _read_lines(spark, path, glob, tolerant).withColumn(
+        "_at", F.monotonically_increasing_id()
+    )
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
     per_file = lines.groupBy("_file").agg(
-        F.min_by("value", F.struct("_start", F.monotonically_increasing_id())).alias("header"),
+        F.min_by("value", F.struct("_start", "_at")).alias("header"),
         F.max(quotes % 2).alias("odd"),
     )
     groups: dict[tuple[str, bool], list[str]] = {}
@@ -216,33 +218,68 @@ def ingest_counts(records: DataFrame) -> DataFrame:
     return records.groupBy("source").agg(F.count(F.lit(1)).alias("n")).orderBy("source")
 
 
+def read_for_profile(
+    spark: SparkSession, path, glob: str | None = None, log_name: str | None = None
+) -> DataFrame:
+    """All physical lines, blank ones too, with the size of their file.
+
+    With ``log_name`` all files count as the parts of one log of that name.
+    """
+    lines = _number(_read_lines(spark, path, glob), whole=log_name is not None)
+    file = F.col("_file")
+    return lines.select(
+        (F.lit(log_name) if log_name else file).alias("source"),
+        (F.lit(log_name) if log_name else _file_name(file)).alias("file_name"),
+        file.alias("file"),
+        F.col("_size").alias("size_bytes"),
+        "line_id",
+        strip(_valid_text(F.col("value"))).alias("raw_log"),
+    )
+
+
 def profile_logs(lines: DataFrame, first: int = 5) -> DataFrame:
-    """Line counts, size and first lines per file, from ``read_for_profile``.
+    """Line counts, size and first lines per log, from ``read_for_profile``.
 
-    The first lines are found by the smallest line numbers per file, kept as a
-    bounded list in the partial aggregates.
+    Only the stretch of lines that holds the first non-blank ones is gathered, so
+    the list per log stays short whatever the size of the log.
     """
-    text = F.col("raw_log")
-    useful = text != ""
-    counts = lines.groupBy("source", "file_name").agg(
-        F.max("size_bytes").alias("size_bytes"),
-        F.count(F.lit(1)).alias("total_lines"),
-        F.count_if(useful).alias("non_empty_lines"),
+    useful = F.col("raw_log") != ""
+    stretch = F.floor(F.col("line_id") / 4096)
+    per_stretch = (
+        lines.groupBy("source", "file_name", "file", stretch.alias("stretch"))
+        .agg(
+            F.max("size_bytes").alias("size_bytes"),
+            F.count(F.lit(1)).alias("total"),
+            F.count_if(useful).alias("useful"),
+        )
     )
-    # Only lines of the first non-blank stretch can be among the first ones.
-    nth = (
-        lines.where(useful)
-        .groupBy("source", F.floor(F.col("line_id") / 4096).alias("stretch"))
-        .agg(F.count(F.lit(1)).alias("n"))
+    counts = (
+        per_stretch.groupBy("source", "file_name", "file")
+        .agg(
+            F.max("size_bytes").alias("size_bytes"),
+            F.sum("total").alias("total"),
+            F.sum("useful").alias("useful"),
+        )
+        .groupBy("source", "file_name")
+        .agg(
+            F.sum("size_bytes").alias("size_bytes"),
+            F.sum("total").alias("total_lines"),
+            F.sum("useful").alias("non_empty_lines"),
+        )
     )
     ahead = W.partitionBy("source").orderBy("stretch").rowsBetween(W.unboundedPreceding, -1)
-    wanted = nth.withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0))).where(
-        F.col("ahead") < first
+    wanted = (
+        per_stretch.where(F.col("useful") > 0)
+        .groupBy("source", "stretch")
+        .agg(F.sum("useful").alias("n"))
+        .withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
+        .where(F.col("ahead") < first)
+        .select("source", "stretch")
     )
     samples = (
         lines.where(useful)
-        .withColumn("stretch", F.floor(F.col("line_id") / 4096))
-        .join(wanted.select("source", "stretch"), ["source", "stretch"], "left_semi")
+        .withColumn("stretch", stretch)
+        .join(wanted, ["source", "stretch"], "left_semi")
         .groupBy("source")
         .agg(F.slice(F.array_sort(F.collect_list(F.struct("line_id", "raw_log"))), 1, first).alias("s"))
         .select("source", F.col("s.raw_log").alias("sample_lines"))
@@ -255,18 +292,6 @@ def profile_logs(lines: DataFrame, first: int = 5) -> DataFrame:
     )
 
 
-def read_for_profile(spark: SparkSession, path, glob: str | None = None) -> DataFrame:
-    """All physical lines of the files, blank ones too, with the file size."""
-    lines = _number(_read_lines(spark, path, glob), whole=False)
-    return lines.select(
-        F.col("_file").alias("source"),
-        _file_name(F.col("_file")).alias("file_name"),
-        F.col("_size").alias("size_bytes"),
-        "line_id",
-        strip(_valid_text(F.col("value"))).alias("raw_log"),
-    )
-
-
 def profile_record(profile: DataFrame, ingest_ts: Column | str) -> DataFrame:
     """The profile of each file as an INFO record of source ``profile``."""
     stamp = F.lit(ingest_ts) if isinstance(ingest_ts, str) else ingest_ts

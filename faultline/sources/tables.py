@@ -132,6 +132,11 @@ def clear_source(spark: SparkSession, path: str, source: str) -> int:
     return n
 
 
+def write_incidents(incidents: DataFrame, path: str) -> int:
+    """Write complete incident rows, replacing the partitions they belong to."""
+    return _write_counted(incidents, path, "overwrite", ["log_source", "run_id"])
+
+
 def save_incidents(
     logs: DataFrame, path: str, log_source: str = "unknown", run_id: str | None = None,
     raw_path: str | None = None,
