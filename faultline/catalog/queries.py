@@ -478,7 +478,7 @@ def davies_bouldin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fx.parsed(spark, sf_dir).drop("is_anomaly", "anomaly_score")
+    rows = cut(fx.parsed(spark, sf_dir).drop("is_anomaly", "anomaly_score"))
     vectors, vocabulary = whole.template_vectors(rows)
     scored = whole.with_anomalies(rows, vectors, vocabulary.count())
     return scored.select("line_id", "level", "is_anomaly", "anomaly_score")

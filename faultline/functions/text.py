@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import unicodedata
-
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F, types as T
 
 from faultline import fixed
@@ -26,14 +26,15 @@ def is_blank(col: Column) -> Column:
     return strip(col) == ""
 
 
-@F.udf(T.StringType(), useArrow=True)
-def _nfkc(text):
-    return None if text is None else unicodedata.normalize("NFKC", text)
+@F.arrow_udf(T.StringType())
+def _nfkc(text: pa.Array) -> pa.Array:
+    return pc.utf8_normalize(text, form="NFKC")
 
 
 def nfkc(col: Column) -> Column:
-    """NFKC form. Pure-ASCII text is already normalised and skips the Python hop."""
-    return F.when(col.rlike(r"^\p{ASCII}*$"), col).otherwise(_nfkc(col))
+    """NFKC form. Pure-ASCII text is already normalised; only the rest is sent to Python."""
+    ascii_only = col.rlike(r"^\p{ASCII}*$")
+    return F.coalesce(_nfkc(F.when(~ascii_only, col)), col)
 
 
 def squeeze(col: Column) -> Column:
@@ -75,15 +76,15 @@ def tokens(col: Column) -> Column:
 
 
 def leaf_key(masked: Column) -> Column:
-    """Search-tree leaf of a masked line: token count and its first three tokens,
-    any token holding a digit replaced by a wildcard.
+    """Search-tree leaf of a masked line (tokens joined by one blank): token count and
+    the first three tokens, any token holding a digit replaced by a wildcard.
     """
-    words = tokens(masked)
+    n_words = F.length(masked) - F.length(F.replace(masked, F.lit(" "), F.lit(""))) + 1
     head = F.transform(
-        F.slice(words, 1, 3),
+        F.slice(F.split(masked, " ", 4), 1, 3),
         lambda t: F.when(t.rlike(_DIGIT), F.lit("<*>")).otherwise(t),
     )
-    return F.concat_ws(" ", F.size(words).cast("string"), head)
+    return F.concat_ws(" ", n_words.cast("string"), head)
 
 
 def snippet(col: Column, chars: int) -> Column:

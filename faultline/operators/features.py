@@ -109,21 +109,22 @@ def scaled_features(rows: DataFrame, weight: str | None = None) -> DataFrame:
 
     With ``weight`` each row stands for that many rows.
     """
-    times = F.col(weight).cast("double") if weight else F.lit(1.0)
-    total = F.sum(times)
-    first = rows.agg(
-        total.alias("n"), *[(F.sum(F.col(c) * times) / total).alias(c) for c in NUMERIC]
-    ).first()
-    if first is None or not first["n"]:
-        return rows.select("*", *[F.lit(0.0).alias(f"{c}_scaled") for c in NUMERIC])
-    spread = rows.agg(
-        *[
-            F.sqrt(F.sum((F.col(c) - first[c]) * (F.col(c) - first[c]) * times) / first["n"]).alias(c)
-            for c in NUMERIC
-        ]
-    ).first()
+    if weight is None:
+        row = rows.agg(
+            *[F.avg(c).alias(f"{c}_mean") for c in NUMERIC],
+            *[F.stddev_pop(c).alias(f"{c}_spread") for c in NUMERIC],
+        ).first()
+        mean = {c: row[f"{c}_mean"] for c in NUMERIC}
+        spread = {c: row[f"{c}_spread"] for c in NUMERIC}
+    else:
+        times = F.col(weight).cast("double")
+        mean = rows.agg(*[(F.sum(F.col(c) * times) / F.sum(times)).alias(c) for c in NUMERIC]).first()
+        away = {c: (F.col(c) - F.lit(mean[c])) * (F.col(c) - F.lit(mean[c])) for c in NUMERIC}
+        spread = rows.agg(
+            *[F.sqrt(F.sum(away[c] * times) / F.sum(times)).alias(c) for c in NUMERIC]
+        ).first()
     scaled = [
-        ((F.col(c) - first[c]) / (spread[c] if spread[c] else 1.0)).alias(f"{c}_scaled")
+        ((F.col(c) - F.lit(mean[c])) / F.lit(spread[c] or 1.0)).alias(f"{c}_scaled")
         for c in NUMERIC
     ]
     return rows.select("*", *scaled)

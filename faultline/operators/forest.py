@@ -83,28 +83,37 @@ def fit_forest(
     """Grow the trees, one task group each; returns the node lists of all trees.
 
     ``sample`` has vec (sparse), numeric (array) and the key columns, and at most
-    trees x subsample rows; every tree draws its own rows from it by hash.
+    trees x subsample rows; every tree draws its own rows from it, without
+    replacement and seeded by its number.
     """
-    n = sample.count()
-    per_tree = min(subsample, n)
-    limit = int(np.ceil(np.log2(max(per_tree, 2))))
-    draws = sample.select(
-        *keys, F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
-    ).withColumn("_order", F.xxhash64(F.lit(seed), "tree", *keys))
-    picked = (
-        draws.withColumn(
-            "_place", F.row_number().over(W.partitionBy("tree").orderBy("_order", *keys))
-        )
-        .where(F.col("_place") <= per_tree)
-        .join(sample, keys)
-        .select("tree", "_place", "vec", "numeric")
-    )
-
+    # A window over the sample, whose size is fixed.
+    place = F.row_number().over(W.partitionBy().orderBy(F.xxhash64(F.lit(seed), *keys), *keys))
+    pool = sample.withColumn("place", place).persist()
+    try:
+        n = pool.count()
+        per_tree = min(subsample, n)
+        limit = int(np.ceil(np.log2(max(per_tree, 2))))
+
+        def draw(batches):
+            for pdf in batches:
+                for tree in pdf["id"]:
+                    chosen = np.random.default_rng([seed, 0, tree]).choice(n, per_tree, replace=False)
+                    yield pd.DataFrame({"tree": int(tree), "place": chosen + 1})
+
+        spark = sample.sparkSession
+        draws = spark.range(trees).mapInPandas(draw, "tree int, place int")
+        picked = draws.join(pool.select("place", "vec", "numeric"), "place")
+        return _grow_all(picked, seed, width, limit)
+    finally:
+        pool.unpersist()
+
+
+def _grow_all(picked: DataFrame, seed: int, width: int, limit: int) -> list:
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_place")
+        pdf = pdf.sort_values("place")
         tree = int(pdf["tree"].iloc[0])
         x = _matrix(list(pdf["vec"]), list(pdf["numeric"]), width)
-        nodes = _grow(x, np.random.default_rng([seed, tree]), limit)
+        nodes = _grow(x, np.random.default_rng([seed, 1, tree]), limit)
         return pd.DataFrame([{"tree": tree, **nodes}])
 
     # trees x at most 2 * subsample nodes, whatever the data.

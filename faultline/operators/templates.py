@@ -35,6 +35,7 @@ HOT_ROWS = 1_000_000
 SLOTS = 256
 HISTORY_BYTES = 64 * 1024 * 1024
 WILDCARD = "<*>"
+_BLANK = "blank "
 _EVENT = "source string, leaf string, line long, group_index int, template string"
 
 
@@ -112,8 +113,10 @@ class _History:
 def _prepare(logs: DataFrame, text: str) -> DataFrame:
     blank = F.col(text).isNull() | is_blank(F.col(text))
     masked = F.when(blank, F.lit(None)).otherwise(masked_line(F.col(text)))
+    # Blank lines belong to no leaf; they are spread over many keys.
+    spread = F.concat(F.lit(_BLANK), F.pmod(F.xxhash64("line_id"), F.lit(4096)).cast("string"))
     rows = logs.withColumn("_masked", masked)
-    return rows.withColumn("_leaf", leaf_key(F.col("_masked")))
+    return rows.withColumn("_leaf", F.coalesce(F.when(F.col("_masked").isNotNull(), leaf_key(F.col("_masked"))), spread))
 
 
 def _with_result(schema: T.StructType) -> T.StructType:
@@ -141,6 +144,10 @@ def _replay_cold(rows: DataFrame, source: str, threshold: float) -> DataFrame:
                 batch.column("line_id").to_pylist(),
                 batch.column("_masked").to_pylist(),
             ):
+                if text is None:
+                    lines.append(None)
+                    templates.append(fixed.EMPTY_TEMPLATE)
+                    continue
                 if (src, key) != current:
                     current, leaf = (src, key), _Leaf(threshold)
                 index, words, changed = leaf.look(text)
@@ -313,32 +320,24 @@ def mine_templates(
     checkpointed table, as everything downstream reads it several times.
     """
     rows = _prepare(logs, text)
-    blank = rows.where(F.col("_masked").isNull())
-    filled = rows.where(F.col("_masked").isNotNull())
-
     hot = cut(
-        filled.groupBy(source, "_leaf")
-        .agg(F.count(F.lit(1)).alias("n"))
+        rows.groupBy(source, "_leaf")
+        .agg(F.count("_masked").alias("n"))
         .where(F.col("n") > hot_rows)
         .select(source, "_leaf")
     )
     n_hot = hot.count()
     if n_hot == 0:
-        mined = _replay_cold(filled, source, threshold)
+        mined = _replay_cold(rows, source, threshold)
     else:
         # At most rows / hot_rows keys; small enough lists spare the shuffle.
         keys = F.broadcast(hot) if n_hot <= 50_000 else hot
-        hot_side = filled.join(keys, [source, "_leaf"], "left_semi")
-        cold_side = filled.join(keys, [source, "_leaf"], "left_anti")
+        hot_side = rows.join(keys, [source, "_leaf"], "left_semi")
+        cold_side = rows.join(keys, [source, "_leaf"], "left_anti")
         events = _learn_hot(hot_side, source, threshold, history_bytes)
         mined = _replay_cold(cold_side, source, threshold).unionByName(
             _label_hot(hot_side, events, source, threshold, history_bytes)
         )
-    mined = mined.unionByName(
-        blank.withColumn("group_line", F.lit(None).cast("long")).withColumn(
-            "event_template", F.lit(fixed.EMPTY_TEMPLATE)
-        )
-    )
     mined = cut(mined.drop("_masked", "_leaf"))
 
     # The line that opened a group is the group's own line, so no distinct is needed.

@@ -70,6 +70,14 @@ def template_vectors(logs: DataFrame, max_terms: int = fixed.TFIDF_ROW_TERMS):
     return vectors, vocabulary
 
 
+def _on_group(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Join on equal features; rows without a template match each other too."""
+    same = F.lit(True)
+    for name in _GROUP:
+        same = same & left[name].eqNullSafe(right[name])
+    return left.join(right, same)
+
+
 def with_anomalies(
     logs: DataFrame,
     vectors: DataFrame,
@@ -84,7 +92,7 @@ def with_anomalies(
     row once; its number of rows is the weight in the scaling and the percentile.
     """
     rows = numeric_features(logs)
-    groups = rows.groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("m"))
+    groups = cut(rows.groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("m")))
     features = (
         scaled_features(groups, "m")
         .withColumn("_key", F.coalesce(F.col("event_template"), F.lit("")))
@@ -98,12 +106,16 @@ def with_anomalies(
     sample = sample_rows(
         rows.select(*keys, *_GROUP), list(keys), trees * fixed.FOREST_SUBSAMPLE, fixed.SEED
     )
-    drawn = cut(features.join(F.broadcast(sample), _GROUP).select(*keys, "vec", "numeric"))
+    drawn = cut(
+        _on_group(features, F.broadcast(sample)).select(*[sample[k] for k in keys], "vec", "numeric")
+    )
     model = fit_forest(drawn, list(keys), width, trees)
     per_tree = min(fixed.FOREST_SUBSAMPLE, drawn.count())
     scored = cut(score_forest(features, model, width, per_tree).drop("vec", "numeric"))
     verdicts = detect(scored, "m", contamination).drop("m")
-    return rows.join(verdicts, _GROUP).drop(*NUMERIC)
+    extra = [verdicts["is_anomaly"], verdicts["anomaly_score"]]
+    kept = [rows[c] for c in rows.columns if c not in NUMERIC]
+    return _on_group(rows, verdicts).select(*kept, *extra)
 
 
 def with_semantics(
