@@ -255,6 +255,42 @@ sums AS (
   SELECT label, term, sum(weight * m) AS s FROM points JOIN weights USING (text) GROUP BY ALL)"""
 
 
+def _dbscan(vectors: str, eps: float, min_samples: int, by_frequency: bool = False) -> str:
+    """Labels by reachability among core vectors, on the pairs within eps."""
+    return f"""WITH RECURSIVE {vectors},
+places AS (
+  SELECT first_line, m, text, row_number() OVER (ORDER BY n DESC, first_line) AS by_count
+  FROM texts JOIN (SELECT event_template AS text, count(*) AS n FROM parsed GROUP BY 1) USING (text)),
+nodes AS (
+  SELECT first_line, m, text, {"by_count" if by_frequency else "first_line"} AS place FROM places),
+pairs AS (
+  SELECT a.first_line AS a, b.first_line AS b
+  FROM weights x JOIN weights y USING (term)
+  JOIN texts a ON a.text = x.text JOIN texts b ON b.text = y.text
+  WHERE a.first_line <> b.first_line
+  GROUP BY 1, 2 HAVING round(sum(x.weight * y.weight), 9) >= 1 - {eps}),
+core AS (
+  SELECT n.first_line, n.place FROM nodes n LEFT JOIN pairs ON a = n.first_line
+  LEFT JOIN nodes o ON o.first_line = b
+  WHERE {min_samples} = 1 OR EXISTS (SELECT 1 FROM weights w WHERE w.text = n.text)
+  GROUP BY n.first_line, n.place, n.m HAVING n.m + coalesce(sum(o.m), 0) >= {min_samples}),
+reach(start, node) AS (
+  SELECT first_line, first_line FROM core
+  UNION
+  SELECT start, b FROM reach JOIN pairs ON a = node JOIN core ON first_line = b),
+roots AS (
+  SELECT start AS first_line, min(place) AS root FROM reach JOIN nodes ON nodes.first_line = node
+  GROUP BY start),
+numbered AS (SELECT first_line, dense_rank() OVER (ORDER BY root) - 1 AS label FROM roots),
+labelled AS (
+  SELECT n.first_line, CAST(coalesce(
+    (SELECT label FROM numbered c WHERE c.first_line = n.first_line),
+    (SELECT min(label) FROM numbered c JOIN pairs ON a = n.first_line AND b = c.first_line), -1)
+    AS INTEGER) AS label
+  FROM nodes n)
+"""
+
+
 def oracles() -> dict[str, str]:
     parse = _with(SCORED, 'SELECT line_id, stamp AS "timestamp", level, message FROM scored')
     out = {
@@ -301,6 +337,13 @@ SELECT count(*) AS total_lines, count(*) FILTER (is_anomaly) AS anomaly_count,
 FROM scored"""),
         "report_alerts_top150": _with(INCIDENTS, f"""
 SELECT {EXPORT} FROM incidents ORDER BY is_anomaly DESC, anomaly_score DESC, line_id LIMIT 150"""),
+        "json_report": _with(DOMAIN_SUMS.replace(PARSED, INCIDENTS), f"""
+SELECT 'run_0' AS run_id, (SELECT count(*) FROM scored) AS total_lines,
+  (SELECT count(*) FROM scored WHERE level = 'ERROR') AS n_error,
+  (SELECT domain FROM domains ORDER BY score DESC, priority LIMIT 1) AS domain,
+  string_agg(line_id, ',' ORDER BY is_anomaly DESC, anomaly_score DESC, line_id) AS alert_lines,
+  arg_max(anomaly_score, (is_anomaly, anomaly_score)) AS top_score
+FROM (SELECT * FROM incidents ORDER BY is_anomaly DESC, anomaly_score DESC, line_id LIMIT 500)"""),
         "clean_text": r"""
 SELECT doc_id, trim(regexp_replace(nfc_normalize(coalesce(text, '')),
   '[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+',
@@ -384,6 +427,22 @@ FROM weights x JOIN weights y USING (term)
 JOIN texts a ON a.text = x.text JOIN texts b ON b.text = y.text
 WHERE a.first_line < b.first_line
 GROUP BY 1, 2 HAVING round(sum(x.weight * y.weight), 9) >= 1 - {fixed.SEMANTIC_EPS}"""),
+        "dbscan_clusters": _dbscan(
+            _terms(ROW_TEXTS, fixed.TFIDF_ROW_TERMS), fixed.DBSCAN_EPS, fixed.DBSCAN_MIN_SAMPLES
+        ) + "SELECT first_line AS vec_id, label, text, m FROM labelled JOIN texts USING (first_line)",
+        "semantic_clusters": _dbscan(
+            _terms(ONE_EACH, fixed.TFIDF_SEMANTIC_TERMS), fixed.SEMANTIC_EPS,
+            fixed.SEMANTIC_MIN_SAMPLES, by_frequency=True,
+        ) + "SELECT text, label FROM labelled JOIN texts USING (first_line)",
+        "embedding_clusters": f"""
+WITH RECURSIVE unit AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+pairs AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM unit x JOIN unit y ON x.vec_id <> y.vec_id
+  WHERE round(list_cosine_similarity(x.e, y.e), 9) >= 1 - {fixed.SEMANTIC_EPS}),
+reach(start, node) AS (
+  SELECT vec_id, vec_id FROM unit UNION SELECT start, b FROM reach JOIN pairs ON a = node),
+roots AS (SELECT start AS vec_id, min(node) AS root FROM reach GROUP BY start)
+SELECT vec_id, CAST(dense_rank() OVER (ORDER BY root) - 1 AS INTEGER) AS label FROM roots""",
         "compare_runs": _with(RUNS, """
 SELECT """ + ",\n  ".join(
             f"a.{c} AS {c}_a, b.{c} AS {c}_b, b.{c} - a.{c} AS {c}_diff, "

@@ -178,10 +178,24 @@ def report_alerts_top150(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.json_report(
+    """Fields read back from the report document."""
+    document = reports.json_report(
         fx.diagnosed(spark, sf_dir), "run_0", "events.log", fx.INGEST_TS
     )
 
+    def field(path: str):
+        return F.get_json_object("report", path)
+
+    alerts = F.from_json(field("$.top_alerts"), "array<struct<line_id:bigint,anomaly_score:double>>")
+    return document.select(
+        field("$.metadata.run_id").alias("run_id"),
+        field("$.stats.total_lines").cast("bigint").alias("total_lines"),
+        field("$.stats.severity_counts.ERROR").cast("bigint").alias("n_error"),
+        field("$.executive_summary.domain").alias("domain"),
+        F.array_join(F.transform(alerts, lambda a: a["line_id"].cast("string")), ",").alias("alert_lines"),
+        F.element_at(alerts, 1)["anomaly_score"].alias("top_score"),
+    )
+
 
 # --- Projections --------------------------------------------------------------
 

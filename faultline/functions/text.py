@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F, types as T
 
 from faultline import fixed
@@ -28,7 +29,8 @@ def is_blank(col: Column) -> Column:
 
 @F.arrow_udf(T.StringType())
 def _nfkc(text: pa.Array) -> pa.Array:
-    return pc.utf8_normalize(text, form="NFKC")
+    values = text.to_pylist()
+    return pa.array([t if t is None else unicodedata.normalize("NFKC", t) for t in values], pa.string())
 
 
 def nfkc(col: Column) -> Column:

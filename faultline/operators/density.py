@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from faultline import fixed
-from faultline.operators.neighbours import BLOCK_ROWS, block_pairs
+from faultline.operators.neighbours import BLOCK_ROWS, block_sides, compare_blocks
 from faultline.operators.trend import with_position
 from faultline.session import cut
 
@@ -104,8 +104,10 @@ def dbscan(
     filled = cut(vectors.where(F.size("vec") > 0).select("vec_id", "vec", F.col("m").cast("long").alias("m")))
     empty = vectors.where(F.size("vec") == 0).select("vec_id")
 
+    sides = cut(block_sides(filled, eps, ["m"], block_rows))
+
     if min_samples <= 1:
-        points = filled.withColumn("core", F.lit(True))
+        points = filled.select("vec_id", F.lit(True).alias("core"))
     else:
 
         def count(a, b, close, near):
@@ -116,14 +118,14 @@ def dbscan(
             return pd.DataFrame({"vec_id": ids[keep], "found": found[keep]})
 
         counts = (
-            block_pairs(filled, eps, ["m"], count, "vec_id long, found long", block_rows)
+            compare_blocks(sides, eps, count, "vec_id long, found long")
             .groupBy("vec_id")
             .agg(F.sum("found").alias("found"))
         )
         around = F.col("m") + F.coalesce(F.col("found"), F.lit(0))
         points = cut(
             filled.join(counts, "vec_id", "left").select(
-                "vec_id", "vec", "m", (around >= min_samples).alias("core")
+                "vec_id", (around >= min_samples).alias("core")
             )
         )
 
@@ -139,7 +141,8 @@ def dbscan(
             rows.append((int(pair[0]), int(pair[1]), False))
         return pd.DataFrame(rows, columns=["a", "b", "both"])
 
-    links = cut(block_pairs(points, eps, ["core"], link, "a long, b long, both boolean", block_rows))
+    flagged = sides.join(points, "vec_id")
+    links = cut(compare_blocks(flagged, eps, link, "a long, b long, both boolean"))
     core = points.where("core").select("vec_id")
     if min_samples <= 1:
         core = core.union(empty)

@@ -35,6 +35,9 @@ def _ranks(vectors: DataFrame) -> tuple[dict[int, int], int]:
         .orderBy("uses", "i")
         .collect()
     )
+    if not uses:
+        # Vectors without terms only: the map must not be empty, and matches nothing.
+        return {-1: 0}, 0
     total = vectors.count()
     ranks = {row.i: place for place, row in enumerate(uses)}
     universal = [ranks[row.i] for row in uses if row.uses == total]
@@ -65,36 +68,43 @@ def _leading(vectors: DataFrame, ranks: dict[int, int], similarity: float) -> Da
     return ranked.withColumn("lead", F.size("terms") - tail["dropped"])
 
 
-def block_pairs(
-    vectors: DataFrame,
-    eps: float,
-    carry: list[str],
-    report: Callable[[pd.DataFrame, pd.DataFrame, np.ndarray, np.ndarray], pd.DataFrame],
-    schema: str,
-    block_rows: int = BLOCK_ROWS,
+def block_sides(
+    vectors: DataFrame, eps: float, carry: list[str], block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
-    """Run ``report`` on every pair of blocks that may hold neighbours.
+    """The two sides of every pair of blocks that may hold neighbours.
 
-    ``vectors`` has vec_id (long, unique), vec and the ``carry`` columns. The
-    callable gets both sides, the similarity matrix and a mask of the neighbour
-    pairs to count (each unordered pair once over all tasks).
+    ``vectors`` has vec_id (long, unique), vec (not empty) and the ``carry`` columns.
     """
-    similarity = 1.0 - eps
     ranks, last = _ranks(vectors)
-    if not ranks:
-        return vectors.sparkSession.createDataFrame([], schema)
-    leading = _leading(vectors.select("vec_id", "vec", *carry), ranks, similarity)
+    leading = _leading(vectors.select("vec_id", "vec", *carry), ranks, 1.0 - eps)
     useful = F.filter(F.slice(F.col("terms.r"), F.lit(1), F.col("lead")), lambda r: r <= last)
     posted = leading.withColumn("term", F.explode(useful))
     sizes = posted.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()
-    blocks = _literal_map({row.term: -(-row.n // block_rows) for row in sizes})[F.col("term")]
-    sides = (
-        posted.withColumn("mine", F.pmod(F.xxhash64("vec_id"), blocks).cast("int"))
+    # A term of a single vector makes no pair; the literal map has no entry for it.
+    counts = {row.term: -(-row.n // block_rows) for row in sizes if row.n > 1}
+    blocks = _literal_map(counts or {-1: 1})[F.col("term")]
+    return (
+        posted.where(blocks.isNotNull())
+        .withColumn("mine", F.pmod(F.xxhash64("vec_id"), blocks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .withColumn("low", F.least("mine", "other"))
         .withColumn("high", F.greatest("mine", "other"))
     )
 
+
+def compare_blocks(
+    sides: DataFrame,
+    eps: float,
+    report: Callable[[pd.DataFrame, pd.DataFrame, np.ndarray, np.ndarray], pd.DataFrame],
+    schema: str,
+) -> DataFrame:
+    """Run ``report`` on every pair of blocks.
+
+    The callable gets both sides, the similarity matrix and a mask of the neighbour
+    pairs to count (each unordered pair once over all tasks).
+    """
+    similarity = 1.0 - eps
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id", ignore_index=True)
         low, high = int(pdf["low"].iloc[0]), int(pdf["high"].iloc[0])
@@ -141,4 +151,4 @@ def cosine_neighbors(vectors: DataFrame, eps: float, block_rows: int = BLOCK_ROW
         )
 
     schema = "id_a long, id_b long, similarity double"
-    return block_pairs(vectors, eps, [], report, schema, block_rows)
+    return compare_blocks(block_sides(vectors, eps, [], block_rows), eps, report, schema)
