@@ -8,13 +8,21 @@ bound of everything that is broadcast or turned into literals.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import math
+from collections import Counter
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from faultline import fixed
 from faultline.functions.levels import severity_weight
 from faultline.functions.text import terms
 
 VECTOR = "array<struct<i:int,w:double>>"
+_VECTOR_TYPE = T.ArrayType(
+    T.StructType([T.StructField("i", T.IntegerType()), T.StructField("w", T.DoubleType())])
+)
+_ARROW_VECTOR = pa.list_(pa.struct([("i", pa.int32()), ("w", pa.float64())]))
 
 
 def distinct_texts(rows: DataFrame, text: Column, order: Column | None = None) -> DataFrame:
@@ -25,26 +33,29 @@ def distinct_texts(rows: DataFrame, text: Column, order: Column | None = None) -
     return rows.groupBy(text.alias("text")).agg(*aggregates)
 
 
-def term_counts(texts: DataFrame) -> DataFrame:
-    """(text, term) pairs with the count in the text and the text's multiplicity."""
-    return (
-        texts.select("text", "m", F.explode(terms(F.col("text"))).alias("term"))
-        .groupBy("text", "term")
-        .agg(F.count(F.lit(1)).alias("tf"), F.first("m").alias("m"))
-    )
-
-
 def fit_vocabulary(texts: DataFrame, max_terms: int) -> DataFrame:
     """The most frequent terms with their smoothed inverse document frequency.
 
     ``texts`` has columns text and m; every text counts m times. Equal totals are
-    ordered by term. The result has at most ``max_terms`` rows.
+    ordered by term. The result has at most ``max_terms`` rows. Occurrences and
+    documents are counted in one aggregation by term, reduced before its shuffle.
     """
     n_rows = texts.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    listed = texts.select("m", terms(F.col("text")).alias("all"))
+    marks = F.concat(
+        F.transform("all", lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df"))),
+        F.transform(
+            F.array_distinct("all"),
+            lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df")),
+        ),
+    )
     top = (
-        term_counts(texts)
-        .groupBy("term")
-        .agg(F.sum(F.col("tf") * F.col("m")).alias("total"), F.sum("m").alias("df"))
+        listed.select("m", F.explode(marks).alias("x"))
+        .groupBy(F.col("x.term").alias("term"))
+        .agg(
+            F.sum(F.col("x.tf") * F.col("m")).alias("total"),
+            F.sum(F.col("x.df") * F.col("m")).alias("df"),
+        )
         .orderBy(F.desc("total"), "term")
         .limit(max_terms)
     )
@@ -55,25 +66,26 @@ def fit_vocabulary(texts: DataFrame, max_terms: int) -> DataFrame:
 
 
 def vectorize(texts: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Add ``vec``: unit-length sparse weights in term order, empty without terms."""
-    raw = (
-        texts.select("text", F.explode(terms(F.col("text"))).alias("term"))
-        .join(F.broadcast(vocabulary.select("term", "i", "idf")), "term")
-        .groupBy("text", "i")
-        .agg((F.count(F.lit(1)) * F.first("idf")).alias("w"))
-        .groupBy("text")
-        .agg(F.array_sort(F.collect_list(F.struct("i", "w"))).alias("raw"))
-    )
-    norm = F.sqrt(F.aggregate("raw", F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
-    unit = raw.select("text", F.col("raw"), norm.alias("norm")).select(
-        "text",
-        F.transform(
-            "raw", lambda x: F.struct(x["i"].alias("i"), (x["w"] / F.col("norm")).alias("w"))
-        ).alias("vec"),
-    )
-    return texts.join(unit, "text", "left").withColumn(
-        "vec", F.coalesce(F.col("vec"), F.array().cast(VECTOR))
-    )
+    """Add ``vec``: unit-length sparse weights in term order, empty without terms.
+
+    The vocabulary, a few hundred rows by definition, travels with the function, so
+    every text is weighted inside its own row: no join and no shuffle. Spark splits
+    the terms; the function only counts and scales them, batch by batch.
+    """
+    known = {row.term: (row.i, row.idf) for row in vocabulary.select("term", "i", "idf").collect()}
+    weight = {i: idf for i, idf in known.values()}
+
+    @F.arrow_udf(_VECTOR_TYPE)
+    def weigh(batch: pa.Array) -> pa.Array:
+        out = []
+        for words in batch.to_pylist():
+            counts = Counter(known[w][0] for w in words or () if w in known)
+            raw = [(i, n * weight[i]) for i, n in sorted(counts.items())]
+            norm = math.sqrt(math.fsum(w * w for _, w in raw))
+            out.append([{"i": i, "w": w / norm} for i, w in raw])
+        return pa.array(out, _ARROW_VECTOR)
+
+    return texts.withColumn("vec", weigh(terms(F.col("text"))))
 
 
 def long_form(vectors: DataFrame, vocabulary: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from faultline.session import cut
+
 BUCKET_LINES = 65_536
 
 
@@ -53,6 +55,8 @@ def risk_trend(logs: DataFrame, keys: list[str], bucket_lines: int = BUCKET_LINE
     )
     placed = with_position(units, keys, "_u", bucket_lines)
     width = F.greatest(F.lit(5), F.floor(F.col("n_rows") / 40))
+    # Read three times below; a written table keeps the windows from running again.
+    placed = cut(placed)
     placed = (
         placed.withColumn("_hi", F.least(F.col("n_rows"), F.col("pos") + F.floor((width - 1) / 2)))
         .withColumn("_lo", F.greatest(F.lit(0), F.col("pos") - F.floor(width / 2) - 1))
@@ -72,6 +76,7 @@ def risk_trend(logs: DataFrame, keys: list[str], bucket_lines: int = BUCKET_LINE
             ).alias("smoothed_risk"),
         )
     )
+    smoothed = cut(smoothed)
     span = smoothed.groupBy(*keys).agg(
         F.min("smoothed_risk").alias("_min"), F.max("smoothed_risk").alias("_max")
     )

@@ -107,7 +107,7 @@ def with_anomalies(
         rows.select(*keys, *_GROUP), list(keys), trees * fixed.FOREST_SUBSAMPLE, fixed.SEED
     )
     drawn = cut(
-        _on_group(features, F.broadcast(sample)).select(*[sample[k] for k in keys], "vec", "numeric")
+        _on_group(features, sample).select(*[sample[k] for k in keys], "vec", "numeric")
     )
     model = fit_forest(drawn, list(keys), width, trees)
     per_tree = min(fixed.FOREST_SUBSAMPLE, drawn.count())

@@ -13,9 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from faultline import fixed
 from faultline.functions.levels import parse_header
-from faultline.functions.text import is_blank, strip
+from faultline.functions.text import strip
+from faultline.session import cut
 
 _IN_TASK = (1 << 33) - 1
+BROADCAST_SPLITS = 1_000_000
 
 
 def _pin_splits(spark: SparkSession) -> None:
@@ -41,9 +43,16 @@ def _number(lines: DataFrame, whole: bool) -> DataFrame:
     )
     scope = W.partitionBy() if whole else W.partitionBy("_file")
     before = scope.orderBy("_file", "_start").rowsBetween(W.unboundedPreceding, -1)
-    splits = splits.select(
-        "_file", "_start", "_task", "_base", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
+    splits = cut(
+        splits.select(
+            "_file", "_start", "_task", "_base",
+            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+        )
     )
+    # One row per file split, a hundred bytes or so each. Up to the limit the lines
+    # stay where they are; beyond it the planner picks the join.
+    if splits.count() <= BROADCAST_SPLITS:
+        splits = F.broadcast(splits)
     joined = placed.join(splits, ["_file", "_start", "_task"], "left")
     line_id = F.col("_before") + F.col("_at") - F.col("_base") + 1
     # A split that moved between the passes must not go unnoticed.

@@ -90,8 +90,10 @@ def _as_raw(records: DataFrame, first_id: int) -> DataFrame:
     )
 
 
-def _next_id(spark: SparkSession, path: str) -> int:
-    top = read_raw_logs(spark, path).agg(F.max("id")).first()[0]
+def _start_id(records: DataFrame, path: str, first_id: int | None) -> int:
+    if first_id is not None or "id" in records.columns:
+        return first_id or 1
+    top = read_raw_logs(records.sparkSession, path).agg(F.max("id")).first()[0]
     return 1 if top is None else top + 1
 
 
@@ -108,20 +110,24 @@ def _write_counted(rows: DataFrame, path: str, mode: str, partitions: list[str])
     return seen.get["n"]
 
 
-def append_raw_logs(records: DataFrame, path: str) -> int:
-    """Append records with defaults for what is missing; returns how many."""
-    spark = records.sparkSession
+def append_raw_logs(records: DataFrame, path: str, first_id: int | None = None) -> int:
+    """Append records with defaults for what is missing; returns how many.
+
+    New ids start above the largest one, which is read from the id column alone;
+    a caller that knows it can pass ``first_id``, or bring an ``id`` column.
+    """
     if records.isEmpty():
         return 0
-    return _write_counted(_as_raw(records, _next_id(spark, path)), path, "append", ["source"])
+    rows = _as_raw(records, _start_id(records, path, first_id))
+    return _write_counted(rows, path, "append", ["source"])
 
 
-def replace_sources(records: DataFrame, path: str) -> int:
+def replace_sources(records: DataFrame, path: str, first_id: int | None = None) -> int:
     """Write the records in place of everything their sources held before."""
-    spark = records.sparkSession
     if records.isEmpty():
         return 0
-    return _write_counted(_as_raw(records, _next_id(spark, path)), path, "overwrite", ["source"])
+    rows = _as_raw(records, _start_id(records, path, first_id))
+    return _write_counted(rows, path, "overwrite", ["source"])
 
 
 def clear_source(spark: SparkSession, path: str, source: str) -> int:
