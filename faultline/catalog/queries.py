@@ -383,9 +383,8 @@ def scaled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _row_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.distinct_texts(
-        fx.parsed(spark, sf_dir), F.col("event_template"), F.col("line_id")
-    )
+    rows = fx.parsed(spark, sf_dir)
+    return cut(features.distinct_texts(rows, F.col("event_template"), F.col("line_id")))
 
 
 def tfidf_terms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,10 +102,15 @@ def embeddable(col: Column) -> Column:
 def terms(col: Column) -> Column:
     """Lower-cased words of two or more characters, then their adjacent pairs."""
     words = F.regexp_extract_all(F.lower(col), F.lit("(?U)(" + fixed.TERM_PATTERN + ")"), 1)
-    rest = F.greatest(F.size(words) - 1, F.lit(0))
-    pairs = F.zip_with(
-        F.slice(words, F.lit(1), rest),
-        F.slice(words, F.lit(2), rest),
-        lambda a, b: F.concat_ws(" ", a, b),
-    )
-    return F.concat(words, pairs)
+
+    def with_pairs(w: Column) -> Column:
+        rest = F.greatest(F.size(w) - 1, F.lit(0))
+        pairs = F.zip_with(
+            F.slice(w, F.lit(1), rest),
+            F.slice(w, F.lit(2), rest),
+            lambda a, b: F.concat_ws(" ", a, b),
+        )
+        return F.concat(w, pairs)
+
+    # The one-element array binds the words, so that they are extracted once.
+    return F.element_at(F.transform(F.array(words), with_pairs), 1)

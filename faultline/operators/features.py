@@ -90,8 +90,10 @@ def vectorize(texts: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 def long_form(vectors: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(text, term, weight) rows of the vectors."""
+    # The outer form keeps the planner from computing the vectors a second time in a
+    # filter on their size; empty vectors find no term below.
     return (
-        vectors.select("text", F.explode("vec").alias("x"))
+        vectors.select("text", F.explode_outer("vec").alias("x"))
         .select("text", F.col("x.i").alias("i"), F.col("x.w").alias("weight"))
         .join(F.broadcast(vocabulary.select("i", "term")), "i")
         .select("text", "term", "weight")

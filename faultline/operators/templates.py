@@ -319,7 +319,7 @@ def mine_templates(
     take id 0. Line ids must be unique within a source. The result is a
     checkpointed table, as everything downstream reads it several times.
     """
-    rows = _prepare(logs, text)
+    rows = _prepare(logs.drop("event_template", "event_id", "level"), text)
     hot = cut(
         rows.groupBy(source, "_leaf")
         .agg(F.count("_masked").alias("n"))
