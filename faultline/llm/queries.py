@@ -5,10 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from faultline.llm import mixing, sharding, token_files
+from faultline.llm import classifier, mixing, quality_rules, sharding, token_files
+from faultline.llm.labels import held_out
 from faultline.llm.shared import documents
 
 
+def op2_certified_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(spark, documents(spark, sf_dir), sf_dir).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
@@ -28,11 +35,21 @@ def op5_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_quadratic_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = classifier.score_documents(spark, documents(spark, sf_dir), sf_dir)
+    return scored.select(
+        "doc_id", held_out().alias("held_out"), "score",
+        (F.col("score") >= classifier.CUTOFF).cast("int").alias("predicted"),
+    )
+
+
 def queries() -> dict:
     return {
+        "op2_certified_rules": op2_certified_rules,
         "op3_token_files": op3_token_files,
         "op4_fair_mix": op4_fair_mix,
         "op5_minimax_shards": op5_minimax_shards,
+        "op7_quadratic_discriminant": op7_quadratic_discriminant,
     }
 
 
