@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from faultline.llm import classifier, mixing, quality_rules, sharding, token_files
+from faultline.llm import classifier, mixing, quality_rules, sharding, substrings, token_files
 from faultline.llm.labels import held_out
 from faultline.llm.shared import documents
 
@@ -43,6 +43,10 @@ def op7_quadratic_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removal(documents(spark, sf_dir))
+
+
 def queries() -> dict:
     return {
         "op2_certified_rules": op2_certified_rules,
@@ -50,6 +54,7 @@ def queries() -> dict:
         "op4_fair_mix": op4_fair_mix,
         "op5_minimax_shards": op5_minimax_shards,
         "op7_quadratic_discriminant": op7_quadratic_discriminant,
+        "op9_super_kmers": op9_super_kmers,
     }
 
 

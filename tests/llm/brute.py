@@ -100,3 +100,19 @@ def shards_of(docs, shards=8):
     keys = sorted(groups)
     _, ends = minimax([groups[k] for k in keys], shards)
     return {k: sum(i >= e for e in ends) for i, k in enumerate(keys)}
+
+
+def removal_rows(docs, window=20):
+    """docs: (doc_id, text) with distinct ids. doc_id -> (words, removed, digest of the kept)."""
+    seen, out = set(), {}
+    for doc_id, text in sorted(docs, key=lambda d: (d[0] is not None, d[0])):
+        of_text = words(text)
+        gone = set()
+        for i in range(len(of_text) - window + 1):
+            key = tuple(of_text[i : i + window])
+            if key in seen:
+                gone.update(range(i, i + window))
+            seen.add(key)
+        kept = " ".join(w for i, w in enumerate(of_text) if i not in gone)
+        out[doc_id] = (len(of_text), len(gone), hashlib.sha256(kept.encode()).hexdigest())
+    return out
