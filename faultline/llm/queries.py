@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from faultline.llm import classifier, mixing, quality_rules, sharding, substrings, token_files
+from faultline.llm import classifier, mixing, quality_rules, set_join, sharding, substrings, token_files
 from faultline.llm.labels import held_out
 from faultline.llm.shared import documents
 
@@ -47,6 +47,10 @@ def op9_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removal(documents(spark, sf_dir))
 
 
+def op10_heavy_light_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.join(documents(spark, sf_dir))
+
+
 def queries() -> dict:
     return {
         "op2_certified_rules": op2_certified_rules,
@@ -55,6 +59,7 @@ def queries() -> dict:
         "op5_minimax_shards": op5_minimax_shards,
         "op7_quadratic_discriminant": op7_quadratic_discriminant,
         "op9_super_kmers": op9_super_kmers,
+        "op10_heavy_light_join": op10_heavy_light_join,
     }
 
 

@@ -116,3 +116,33 @@ def removal_rows(docs, window=20):
         kept = " ".join(w for i, w in enumerate(of_text) if i not in gone)
         out[doc_id] = (len(of_text), len(gone), hashlib.sha256(kept.encode()).hexdigest())
     return out
+
+
+def shingle_set(text):
+    of_text = [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in words(text)]
+    if not of_text:
+        return set()
+    return {tuple(of_text[i : i + 5]) for i in range(max(1, len(of_text) - 4))}
+
+
+def component_rows(docs):
+    """docs: (doc_id, text) with distinct ids. doc_id -> (set size, least linked id)."""
+    sets = {d: shingle_set(t) for d, t in docs}
+    parent = {d: d for d in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    holders = {}
+    for d, s in sets.items():
+        for x in s:
+            holders.setdefault(x, []).append(d)
+    pairs = {(a, b) for h in holders.values() for a in h for b in h if a < b}
+    for a, b in pairs:
+        common = len(sets[a] & sets[b])
+        if 100 * common >= 80 * len(sets[a] | sets[b]):
+            x, y = root(a), root(b)
+            parent[max(x, y)] = min(x, y)
+    return {d: (len(s), root(d)) for d, s in sets.items()}
