@@ -1,10 +1,10 @@
 """Token ids in Arrow files of fixed-size-list batches.
 
 A file holds the ids of consecutive documents cut into sequences of one length:
-columns ``ids`` (fixed-size list of uint32) and ``mask`` (fixed-size list of uint8, 0
-on the padding that fills the last sequence). Every batch has the same number of
-sequences, so that sequence i lies in batch i // BATCH at row i % BATCH, and a reader
-that maps the file gets it without a copy. The document index is a Parquet table.
+columns ``ids`` (fixed-size list of uint16, or uint32 for more than 65,536 ids) and
+``mask`` (fixed-size list of bits, 0 on the padding that fills the last sequence).
+Every batch has the same number of sequences, so that sequence i lies in batch
+i // BATCH at row i % BATCH, and a reader that maps the file gets it without a copy. The document index is a Parquet table.
 """
 
 from __future__ import annotations
@@ -26,7 +26,8 @@ from faultline.session import cut, scratch_path
 SEQUENCE = 2048
 BATCH = 64
 END_ID = 0
-CACHED = 600_000
+CACHED = 1_000_000
+_ENDINGS = ".,;:!?*$%&#|"
 
 _ENCODERS: dict[str, Encoder] = {}
 _IRREGULAR = re.compile(r"\s\s|^\s|\s$")
@@ -45,11 +46,25 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        self.line_break = int(self._ids("\n")[0])
+        self.line_bytes = self._ids("\n").tobytes()
         self.known: dict[str, bytes] = {}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn(self, new: list[str]) -> None:
+        """Ids of new words, many in one text: a line break is always a token of its own."""
+        for start in range(0, len(new), 64):
+            part = new[start : start + 64]
+            shown = [u[2:] if u[:2] == "\n\n" else u[1:] if u[:1] == "\n" else " " + u for u in part]
+            ids = self._ids("\n".join(shown))
+            ends = np.flatnonzero(ids == self.line_break).tolist() + [len(ids)]
+            raw, before = ids.tobytes(), 0
+            for unit, end in zip(part, ends, strict=True):
+                found = raw[4 * before : 4 * end]
+                self.known[unit] = self.line_bytes + found if unit[:1] == "\n" != unit[1:2] else found
+                before = end + 1
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         units: list[list[str] | None] = []
@@ -59,19 +74,23 @@ class Encoder:
             else:
                 # A line break goes with the word behind it; two mark the first word, which has no space.
                 units.append(("\n\n" + text.replace("\n", " \n")).split(" "))
+        every = set().union(*[u for u in units if u])
+        new = every.difference(self.known)
+        if len(self.known) + len(new) > CACHED:
+            self.known.clear()
+            new = every
+        # Endings such as commas are pieces of their own: the word before them is learnt once.
+        bare = {u: u.rstrip(_ENDINGS) for u in new}
+        bare = {u: core for u, core in bare.items() if core != u and core[-1:].isalpha()}
+        ends = {"\n\n" + u[len(core) :] for u, core in bare.items()}
+        self._learn(sorted((new - bare.keys() | set(bare.values()) | ends).difference(self.known)))
         known = self.known
-        new = list({u for of_text in units if of_text for u in of_text if u not in known})
-        if len(known) + len(new) > CACHED:
-            known.clear()
-            new = list({u for of_text in units if of_text for u in of_text})
-        shown = [u[2:] if u.startswith("\n\n") else u if u.startswith("\n") else " " + u for u in new]
-        for start in range(0, len(new), 4096):
-            known.update(zip(new[start : start + 4096], self._ids(shown[start : start + 4096])))
-        out = []
-        for text, of_text in zip(texts, units):
-            joined = self._ids([text])[0] if of_text is None else b"".join([known[u] for u in of_text])
-            out.append(np.frombuffer(joined, "<u4"))
-        return out
+        for u, core in bare.items():
+            known[u] = known[core] + known["\n\n" + u[len(core) :]]
+        return [
+            self._ids(text) if of_text is None else np.frombuffer(b"".join(map(known.__getitem__, of_text)), "<u4")
+            for text, of_text in zip(texts, units)
+        ]
 
 
 def encoder(path: str) -> Encoder:
@@ -81,15 +100,17 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def file_schema(sequence: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint32(), sequence)), ("mask", pa.list_(pa.uint8(), sequence))])
+def file_schema(sequence: int, ids: int) -> pa.Schema:
+    kind = pa.uint16() if ids <= 1 << 16 else pa.uint32()
+    return pa.schema([("ids", pa.list_(kind, sequence)), ("mask", pa.list_(pa.bool_(), sequence))])
 
 
 class SequenceWriter:
     """Writes a stream of ids as full batches of equal-length sequences."""
 
-    def __init__(self, sink, sequence: int, batch: int):
-        self.schema = file_schema(sequence)
+    def __init__(self, sink, sequence: int, batch: int, ids: int = 1 << 32):
+        self.schema = file_schema(sequence, ids)
+        self.kind = self.schema.field("ids").type.value_type
         self.writer = pa.ipc.new_file(sink, self.schema)
         self.sequence, self.size = sequence, sequence * batch
         self.waiting: list[np.ndarray] = []
@@ -106,10 +127,9 @@ class SequenceWriter:
             self.waiting, self.held = [flat[full:]], len(flat) - full
 
     def _write(self, ids: np.ndarray, valid: int) -> None:
-        mask = np.zeros(len(ids), np.uint8)
-        mask[:valid] = 1
+        mask = np.arange(len(ids)) < valid
         columns = [
-            pa.FixedSizeListArray.from_arrays(pa.array(ids, pa.uint32()), self.sequence),
+            pa.FixedSizeListArray.from_arrays(pa.array(ids.astype(self.kind.to_pandas_dtype())), self.sequence),
             pa.FixedSizeListArray.from_arrays(pa.array(mask), self.sequence),
         ]
         self.writer.write_batch(pa.record_batch(columns, schema=self.schema))
@@ -134,19 +154,19 @@ class SequenceFile:
         self.reader = pa.ipc.open_file(self.source)
         self.sequence = self.reader.schema.field("ids").type.list_size
         self.rows = self.reader.get_batch(0).num_rows if self.reader.num_record_batches else 0
-        self.at: tuple[int, np.ndarray, np.ndarray] | None = None
+        self.at: tuple[int, np.ndarray, pa.BooleanArray] | None = None
 
-    def _batch(self, number: int) -> tuple[np.ndarray, np.ndarray]:
+    def _batch(self, number: int) -> tuple[np.ndarray, pa.BooleanArray]:
         if self.at is None or self.at[0] != number:
             batch = self.reader.get_batch(number)
-            self.at = (number, *(batch.column(c).flatten().to_numpy(zero_copy_only=True) for c in (0, 1)))
+            self.at = (number, batch.column(0).flatten().to_numpy(zero_copy_only=True), batch.column(1).flatten())
         return self.at[1], self.at[2]
 
-    def sequence_at(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of the i-th sequence."""
+    def sequence_at(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """Ids and mask of the i-th sequence, views of the mapped file."""
         ids, mask = self._batch(i // self.rows)
         row = i % self.rows * self.sequence
-        return ids[row : row + self.sequence], mask[row : row + self.sequence]
+        return ids[row : row + self.sequence], mask.slice(row, self.sequence)
 
     def span(self, start: int, length: int) -> Iterator[np.ndarray]:
         """The ids from a position of the file on, batch by batch."""
@@ -154,7 +174,7 @@ class SequenceFile:
         while length > 0:
             ids, mask = self._batch(start // size)
             piece = ids[start % size : start % size + length]
-            if not mask[start % size : start % size + len(piece)].all() or not len(piece):
+            if not len(piece) or mask.slice(start % size, len(piece)).false_count:
                 raise ValueError("the span runs into padding")
             yield piece
             start, length = start + len(piece), length - len(piece)
@@ -189,7 +209,7 @@ def write_tokens(
                 filesystem, path = pafs.FileSystem.from_uri(uri)
                 filesystem.create_dir(path.rsplit("/", 1)[0], recursive=True)
                 sink = filesystem.open_output_stream(path)
-                writer = SequenceWriter(sink, sequence, batch)
+                writer = SequenceWriter(sink, sequence, batch, encoder(vocabulary).library.get_vocab_size())
             counts = []
             for ids in encode(piece.column("text").to_pylist()):
                 writer.add(np.append(ids, np.uint32(END_ID)))
@@ -236,7 +256,7 @@ def read_tokens(index: DataFrame) -> DataFrame:
                     file, name = SequenceFile(uri), uri
                 crc = 0
                 for ids in file.span(at, n):
-                    crc = zlib.crc32(ids.astype("<u4", copy=False), crc)
+                    crc = zlib.crc32(ids.astype("<u4"), crc)
                 sums.append(crc)
             yield pa.record_batch(
                 [piece.column(c) for c in ("doc_id", "start", "n_tokens")] + [pa.array(sums, pa.int64())],
