@@ -7,7 +7,7 @@ included, are then taken in the order of their finish time until the budget is u
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from faultline.llm.shared import WORD, running_sum
 from faultline.session import cut
@@ -43,12 +43,17 @@ def source_targets(rows: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epochs
     return sizes.select("source", "source_size", "weight", target.alias("target"))
 
 
+def _digest() -> Column:
+    return F.xxhash64("text", "source")
+
+
 def sized_rows(docs: DataFrame, seed: int) -> DataFrame:
     """Narrow rows with a row number of their own, word counts and the shuffling key."""
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")))
     size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
-    return docs.select("doc_id", "source", size.alias("size"), key.alias("key")).withColumn(
-        "row", F.monotonically_increasing_id()
+    return docs.select(
+        "doc_id", "source", size.alias("size"), key.alias("key"), _digest().alias("digest"),
+        F.monotonically_increasing_id().alias("row"),
     )
 
 
@@ -94,3 +99,20 @@ def mix(docs: DataFrame, seed: int = 17) -> DataFrame:
         "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"),
         F.coalesce("times", F.lit(0)).alias("times"),
     )
+
+
+def repeated_rows(docs: DataFrame, seed: int = 17) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it; rows without words go.
+
+    Of rows that repeat id, text and source, one carries the copies of all.
+    """
+    rows = cut(sized_rows(docs, seed))
+    _, copies = fair_queue(rows, seed)
+    times = copies.join(rows.select("row", "doc_id", "digest"), "row")
+    times = times.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("_times"))
+    times = times.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_other"), "_times")
+    named = docs.withColumn("_digest", _digest())
+    joined = named.join(times, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_other")))
+    one = F.row_number().over(Window.partitionBy("doc_id", "_digest").orderBy("_digest")) == 1
+    joined = joined.withColumn("_one", one).where("_one")
+    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))).alias("_copy")).drop("_copy")
