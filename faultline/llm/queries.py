@@ -5,11 +5,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from faultline.llm import classifier, mixing, preferences, quality_rules, set_join, sharding, substrings, token_files, unigram
+from faultline.llm import classifier, fingerprints, mixing, preferences, quality_rules, set_join, sharding, substrings, token_files, unigram
 from faultline.llm.labels import held_out
 from faultline.llm.shared import documents
 
 
+def op1_paragraph_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_versions(documents(spark, sf_dir))
+
+
 def op2_certified_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(spark, documents(spark, sf_dir), sf_dir).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -66,6 +70,7 @@ def op10_heavy_light_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_paragraph_sketches": op1_paragraph_sketches,
         "op2_certified_rules": op2_certified_rules,
         "op3_token_files": op3_token_files,
         "op4_fair_mix": op4_fair_mix,

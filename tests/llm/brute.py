@@ -146,3 +146,24 @@ def component_rows(docs):
             x, y = root(a), root(b)
             parent[max(x, y)] = min(x, y)
     return {d: (len(s), root(d)) for d, s in sets.items()}
+
+
+PARAGRAPH = re.compile(r"[^\n]{160,}?[.!?](?=\s|$)|[^\n]+", re.ASCII)
+
+
+def version_rows(docs):
+    """docs: (doc_id, text) with distinct ids. doc_id -> (characters, digest of the edited text, likenesses)."""
+
+    def near(a, b):
+        a, b = set(PARAGRAPH.findall(a)), set(PARAGRAPH.findall(b))
+        return len(a & b) / len(a | b) if a | b else 1.0
+
+    ordered = [(d, t or "") for d, t in sorted(docs, key=lambda d: (d[0] is not None, d[0]))]
+    out = {}
+    for (doc_id, text), (_, other) in zip(ordered, ordered[1:] + ordered[:1]):
+        half = len(text) // 2
+        edited = text[: len(text) - half] + other[:half]
+        out[doc_id] = (
+            len(text), hashlib.sha256(edited.encode()).hexdigest(), near(text, edited), near(text, other)
+        )
+    return out
