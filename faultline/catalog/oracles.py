@@ -560,7 +560,7 @@ SELECT log_source, line_id, level, anomaly_score, substr(raw_log, 1, 70) AS snip
 FROM trend JOIN (SELECT line_id, level, anomaly_score, raw_log FROM scored
   WHERE is_anomaly AND level IN {ERRORS} ORDER BY anomaly_score DESC, line_id LIMIT 60) USING (line_id)"""),
         "semantic_candidates": _with(ROW_TEXTS, f"""
-SELECT text, m, first_line FROM texts ORDER BY m DESC, first_line, text LIMIT {fixed.SEMANTIC_TEMPLATES}"""),
+SELECT text, m, first_line FROM texts"""),
         "numeric_features": _with(_features(), "SELECT * FROM numeric_rows"),
         "scaled_features": _with(_features(), f"""
 SELECT line_id, {_scaled('severity')}, {_scaled('template_frequency')}, {_scaled('message_length')}

@@ -456,7 +456,7 @@ def semantic_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def semantic_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     candidates = features.semantic_candidates(fx.parsed(spark, sf_dir))
-    return clusters.semantic_clusters(candidates, pairwise_limit=0)
+    return clusters.semantic_clusters(candidates, method="kmeans")
 
 
 def kmeans_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:

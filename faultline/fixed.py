@@ -12,7 +12,6 @@ DBSCAN_MIN_SAMPLES = 2
 SEMANTIC_EPS = 0.35
 SEMANTIC_MIN_SAMPLES = 1
 SEED = 42
-PAIRWISE_LIMIT = 3000
 LARGE_LOG_CLUSTERS = 8
 LARGE_LOG_ROWS = 10_000
 SEMANTIC_TEMPLATES = 5000

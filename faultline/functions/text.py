@@ -68,9 +68,9 @@ def mask(col: Column) -> Column:
     return col
 
 
-def masked_line(col: Column) -> Column:
-    """Truncated, masked and blank-squeezed text: tokens joined by one blank."""
-    return squeeze(mask(truncate(col)))
+def masked_line(col: Column, limit: int | None = None) -> Column:
+    """Masked and blank-squeezed text, tokens joined by one blank; truncated first if a limit is set."""
+    return squeeze(mask(col if limit is None else truncate(col, limit)))
 
 
 def tokens(col: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Choice of clustering method and mapping of cluster labels back to rows."""
+"""Clustering by a named method, the same at every size, and mapping of cluster labels back to rows."""
 
 from __future__ import annotations
 
@@ -15,22 +15,22 @@ from faultline.session import cut
 def statistical_clusters(
     vectors: DataFrame,
     width: int,
-    method: str = "auto",
+    method: str = "dbscan",
     eps: float = fixed.DBSCAN_EPS,
     min_samples: int = fixed.DBSCAN_MIN_SAMPLES,
     n_clusters: int = 5,
 ) -> tuple[DataFrame, str]:
     """(vec_id, label) and the method used.
 
-    ``vectors`` holds distinct vectors with vec_id, vec and m. Up to the pairwise
-    limit of rows "auto" takes DBSCAN, above it KMeans on reduced vectors.
+    ``vectors`` holds distinct vectors with vec_id, vec and m. The method is
+    "dbscan", or "kmeans" on reduced vectors; the number of rows never changes it.
     """
     rows = vectors.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
     if rows <= 1:
         return vectors.select("vec_id", F.lit(0).alias("label")), "single"
-    if method == "auto":
-        method = "kmeans" if rows > fixed.PAIRWISE_LIMIT else "dbscan"
-    if method in ("kmeans", "minibatch_kmeans"):
+    if method not in ("dbscan", "kmeans", "minibatch_kmeans"):
+        raise ValueError(f"unknown method {method}")
+    if method != "dbscan":
         # One implementation: minibatches are a single-machine shortcut.
         return reduced_kmeans(vectors, width, rows, n_clusters), "kmeans"
     return dbscan(vectors, eps, min_samples), "dbscan"
@@ -53,15 +53,12 @@ def _numbered(texts: DataFrame) -> DataFrame:
     return cut(ordered.withColumn("vec_id", F.monotonically_increasing_id()))
 
 
-def _large_k(rows: int) -> int:
-    return max(2, min(fixed.LARGE_LOG_CLUSTERS, rows // 1000 + 2))
-
-
 def semantic_clusters(
     texts: DataFrame,
     eps: float = fixed.SEMANTIC_EPS,
     min_samples: int = fixed.SEMANTIC_MIN_SAMPLES,
-    pairwise_limit: int = fixed.PAIRWISE_LIMIT,
+    method: str = "dbscan",
+    n_clusters: int = fixed.LARGE_LOG_CLUSTERS,
 ) -> DataFrame:
     """(text, label) for distinct texts given with text, m and first_line.
 
@@ -77,8 +74,8 @@ def semantic_clusters(
     rows, width = vectors.count(), vocabulary.count()
     if rows <= 1:
         labels = vectors.select("vec_id", F.lit(0).alias("label"))
-    elif rows > pairwise_limit:
-        labels = reduced_kmeans(vectors, width, rows, _large_k(rows))
+    elif method == "kmeans":
+        labels = reduced_kmeans(vectors, width, rows, n_clusters)
     else:
         labels = dbscan(vectors, eps, min_samples)
     return once.join(labels, "vec_id").select(F.col("original").alias("text"), "label")
@@ -88,16 +85,17 @@ def semantic_clusters_dense(
     embedded: DataFrame,
     eps: float = fixed.SEMANTIC_EPS,
     min_samples: int = fixed.SEMANTIC_MIN_SAMPLES,
-    pairwise_limit: int = fixed.PAIRWISE_LIMIT,
+    method: str = "dbscan",
+    n_clusters: int = fixed.LARGE_LOG_CLUSTERS,
 ) -> DataFrame:
     """(vec_id, label) of dense embeddings given with vec_id and embedding."""
     rows = embedded.count()
     if rows <= 1:
         return embedded.select("vec_id", F.lit(0).alias("label"))
     values = F.transform("embedding", lambda x: x.cast("double"))
-    if rows > pairwise_limit:
+    if method == "kmeans":
         points = embedded.select("vec_id", F.lit(1).alias("m"), values.alias("reduced"))
-        return kmeans(points, "reduced", _large_k(rows))
+        return kmeans(points, "reduced", n_clusters)
     norm = F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, x: a + x * x))
     entries = F.transform(
         values, lambda x, k: F.struct(k.alias("i"), (x / F.col("norm")).alias("w"))

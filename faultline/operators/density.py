@@ -80,6 +80,21 @@ def _forest(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple
     return kept
 
 
+def _only_partly_close(vectors: DataFrame) -> bool:
+    """Some weights are negative, and no vector is empty (one would be at distance 1 from all)."""
+    empty, negative = vectors.agg(
+        F.count_if(F.size("vec") == 0), F.count_if(F.exists("vec", lambda x: x["w"] < 0))
+    ).first()
+    return empty == 0 and negative > 0
+
+
+def _lifted(vectors: DataFrame) -> DataFrame:
+    """Unit vectors with one more, common weight, which turn a distance d into d / 3."""
+    common = F.array(F.struct(F.lit(1 << 30).alias("i"), F.lit((2 / 3) ** 0.5).alias("w")))
+    scaled = F.transform("vec", lambda x: F.struct(x["i"].alias("i"), (x["w"] * 3**-0.5).alias("w")))
+    return vectors.withColumn("vec", F.concat(scaled, common))
+
+
 def dbscan(
     vectors: DataFrame,
     eps: float = fixed.DBSCAN_EPS,
@@ -96,8 +111,10 @@ def dbscan(
     size = vectors.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("n")).first()["n"]
     if size <= 1:
         return vectors.select("vec_id", F.lit(0).alias("label"))
+    if 1 <= eps < 2 and _only_partly_close(vectors):
+        return dbscan(_lifted(vectors), eps / 3, min_samples, block_rows)
     if eps >= 1:
-        # Weights are not negative, so no distance exceeds 1.
+        # Without negative weights no distance exceeds 1; with them none exceeds 2.
         label = 0 if size >= min_samples else -1
         return vectors.select("vec_id", F.lit(label).alias("label"))
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from faultline import fixed
 from faultline.functions.levels import severity_label
@@ -10,6 +12,8 @@ from faultline.functions.rules import recommended_action, rule_cause, rule_famil
 from faultline.functions.text import embeddable
 from faultline.operators.features import fit_vocabulary, vectorize
 from faultline.operators.filters import is_alert
+from faultline.operators.similarity import embed
+from faultline.session import cut
 
 
 def diagnose_by_rules(texts: DataFrame) -> DataFrame:
@@ -20,28 +24,53 @@ def diagnose_by_rules(texts: DataFrame) -> DataFrame:
     )
 
 
+def _embedded_scores(documents: DataFrame, patterns: DataFrame, encode) -> DataFrame:
+    """(original, scores) by the cosine of embeddings; the patterns' become literals."""
+    def unit(values: Column) -> Column:
+        norm = F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, x: a + x * x))
+        return F.element_at(
+            F.transform(F.array(norm), lambda n: F.transform(values, lambda x: F.when(n > 0, x / n).otherwise(0.0))), 1
+        )
+
+    known = {
+        row.original: row.unit
+        for row in embed(patterns, encode, "original").select("original", unit(F.col("embedding")).alias("unit")).collect()
+    }
+
+    def similarity(pattern: str) -> Column:
+        weights = F.array(*[F.lit(float(w)) for w in known[pattern]])
+        dot = F.aggregate(F.zip_with("_unit", weights, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+        return F.round(dot, 12)
+
+    units = embed(documents, encode, "original").select("original", unit(F.col("embedding")).alias("_unit"))
+    return units.select("original", F.array(*[similarity(p) for _, p, _, _ in fixed.KNOWLEDGE]).alias("scores"))
+
+
 def diagnose_by_similarity(
     texts: DataFrame,
     threshold: float = fixed.MATCH_THRESHOLD,
     max_terms: int = fixed.TFIDF_SEMANTIC_TERMS,
+    encode: Callable[[list[str]], object] | None = None,
 ) -> DataFrame:
     """Best knowledge-base pattern by cosine; below the threshold, the rules.
 
-    The weights are fitted on the distinct texts and the patterns together. The
-    patterns are a fixed handful, so their vectors become literals and every text
-    is scored inside its own row: no join and no shuffle.
+    The weights are fitted on the distinct texts and the patterns together, or come
+    from ``encode`` (texts -> matrix). The patterns are a fixed handful, so their vectors
+    become literals and every text is scored inside its own row: no join and no shuffle.
     """
     spark = texts.sparkSession
     patterns = spark.createDataFrame(
         [(text,) for _, text, _, _ in fixed.KNOWLEDGE], "original string"
     )
-    documents = texts.select(F.col("text").alias("original")).distinct()
+    documents = cut(texts.select(F.col("text").alias("original")).distinct())
     corpus = (
         documents.unionByName(patterns)
         .groupBy(embeddable(F.col("original")).alias("text"))
         .agg(F.count(F.lit(1)).alias("m"))
     )
-    vocabulary = fit_vocabulary(corpus, max_terms)
+    if encode is not None:
+        return _picked(_embedded_scores(documents, patterns, encode), threshold)
+    vocabulary = cut(fit_vocabulary(corpus, max_terms))
     known = {
         row.text: {x.i: x.w for x in row.vec}
         for row in vectorize(patterns.select(F.col("original").alias("text")), vocabulary).collect()
@@ -63,6 +92,11 @@ def diagnose_by_similarity(
     scored = vectorize(
         documents.select(embeddable(F.col("original")).alias("text"), "original"), vocabulary
     ).select("original", F.array(*[similarity(p) for _, p, _, _ in fixed.KNOWLEDGE]).alias("scores"))
+    return _picked(scored, threshold)
+
+
+def _picked(scored: DataFrame, threshold: float) -> DataFrame:
+    """The best pattern's labels where it reaches the threshold, else those of the rules."""
     best = F.array_max("scores")
     place = F.array_position("scores", best).cast("int")
     picked = scored.select(
@@ -118,11 +152,17 @@ def alert_texts(logs: DataFrame) -> DataFrame:
 
 
 def generate_alerts(
-    logs: DataFrame, threshold: float = fixed.MATCH_THRESHOLD, semantic: bool = True
+    logs: DataFrame,
+    threshold: float = fixed.MATCH_THRESHOLD,
+    semantic: bool = True,
+    encode: Callable[[list[str]], object] | None = None,
 ) -> DataFrame:
-    """Diagnose the distinct alert templates and map the result back to the rows."""
+    """Diagnose the distinct alert templates and map the result back to the rows.
+
+    ``encode`` replaces the TF-IDF vectors by those of a user's embedder.
+    """
     texts = alert_texts(logs)
-    diagnosis = diagnose_by_similarity(texts, threshold) if semantic else diagnose_by_rules(texts)
+    diagnosis = diagnose_by_similarity(texts, threshold, encode=encode) if semantic else diagnose_by_rules(texts)
     return attach_diagnosis(logs, diagnosis)
 
 

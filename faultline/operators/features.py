@@ -8,21 +8,13 @@ bound of everything that is broadcast or turned into literals.
 
 from __future__ import annotations
 
-import math
-from collections import Counter
-
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from faultline import fixed
 from faultline.functions.levels import severity_weight
 from faultline.functions.text import terms
 
 VECTOR = "array<struct<i:int,w:double>>"
-_VECTOR_TYPE = T.ArrayType(
-    T.StructType([T.StructField("i", T.IntegerType()), T.StructField("w", T.DoubleType())])
-)
-_ARROW_VECTOR = pa.list_(pa.struct([("i", pa.int32()), ("w", pa.float64())]))
 
 
 def distinct_texts(rows: DataFrame, text: Column, order: Column | None = None) -> DataFrame:
@@ -68,24 +60,39 @@ def fit_vocabulary(texts: DataFrame, max_terms: int) -> DataFrame:
 def vectorize(texts: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Add ``vec``: unit-length sparse weights in term order, empty without terms.
 
-    The vocabulary, a few hundred rows by definition, travels with the function, so
-    every text is weighted inside its own row: no join and no shuffle. Spark splits
-    the terms; the function only counts and scales them, batch by batch.
+    The vocabulary, a few hundred rows by definition, becomes a literal, so every text is
+    weighted inside its own row: no join, no shuffle and no trip to Python.
     """
-    known = {row.term: (row.i, row.idf) for row in vocabulary.select("term", "i", "idf").collect()}
-    weight = {i: idf for i, idf in known.values()}
+    known = vocabulary.select("term", "i", "idf").orderBy("i").collect()
+    if not known:
+        return texts.withColumn("vec", F.array().cast(VECTOR))
+    place = F.create_map(*[F.lit(x) for row in known for x in (row.term, row.i)])
+    idf = F.array(*[F.lit(row.idf) for row in known])
+
+    # Arrays of one bind what is used twice: sorted places, then weights, then their norm.
+    def runs(p: Column) -> Column:
+        starts = F.filter(
+            F.transform(p, lambda x, k: F.when((k == 0) | (F.get(p, k - 1) != x), F.struct(x.alias("i"), k.alias("k")))),
+            lambda r: r.isNotNull(),
+        )
+        return F.element_at(F.transform(F.array(starts), lambda r: weights(r, F.size(p))), 1)
 
-    @F.arrow_udf(_VECTOR_TYPE)
-    def weigh(batch: pa.Array) -> pa.Array:
-        out = []
-        for words in batch.to_pylist():
-            counts = Counter(known[w][0] for w in words or () if w in known)
-            raw = [(i, n * weight[i]) for i, n in sorted(counts.items())]
-            norm = math.sqrt(math.fsum(w * w for _, w in raw))
-            out.append([{"i": i, "w": w / norm} for i, w in raw])
-        return pa.array(out, _ARROW_VECTOR)
+    def weights(r: Column, size: Column) -> Column:
+        times = F.transform(
+            r, lambda x, k: F.struct(x["i"].alias("i"), (F.coalesce(F.get(r, k + 1)["k"], size) - x["k"]).alias("n"))
+        )
+        return F.transform(times, lambda x: F.struct(x["i"].alias("i"), (x["n"] * F.get(idf, x["i"])).alias("w")))
+
+    def scaled(raw: Column) -> Column:
+        norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
+        return F.element_at(
+            F.transform(F.array(norm), lambda n: F.transform(raw, lambda x: F.struct(x["i"].alias("i"), (x["w"] / n).alias("w")))), 1
+        )
 
-    return texts.withColumn("vec", weigh(terms(F.col("text"))))
+    found = F.array_sort(F.filter(F.transform(terms(F.col("text")), lambda t: F.try_element_at(place, t)), lambda i: i.isNotNull()))
+    raw = F.element_at(F.transform(F.array(found), runs), 1)
+    vec = F.element_at(F.transform(F.array(raw), scaled), 1)
+    return texts.withColumn("vec", F.coalesce(vec, F.array().cast(VECTOR)).cast(VECTOR))
 
 
 def long_form(vectors: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -101,12 +108,13 @@ def long_form(vectors: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 
 def numeric_features(logs: DataFrame) -> DataFrame:
-    """Add severity, template_frequency and message_length."""
-    frequency = logs.groupBy("event_template").agg(
+    """Add severity, template_frequency and message_length; a null template counts as a template."""
+    frequency = logs.groupBy(F.col("event_template").alias("_template")).agg(
         F.count(F.lit(1)).cast("double").alias("template_frequency")
     )
     return (
-        logs.join(frequency, "event_template", "left")
+        logs.join(frequency, F.col("event_template").eqNullSafe(F.col("_template")))
+        .drop("_template")
         .withColumn("severity", severity_weight(F.col("level")))
         .withColumn(
             "message_length",
@@ -144,8 +152,8 @@ def scaled_features(rows: DataFrame, weight: str | None = None) -> DataFrame:
     return rows.select("*", *scaled)
 
 
-def semantic_candidates(logs: DataFrame, limit: int | None = fixed.SEMANTIC_TEMPLATES) -> DataFrame:
-    """Templates by frequency; those past the limit stay unassigned downstream."""
+def semantic_candidates(logs: DataFrame, limit: int | None = None) -> DataFrame:
+    """Templates with their frequency; those past a limit, if one is set, stay unassigned downstream."""
     texts = distinct_texts(
         logs, F.coalesce(F.col("event_template"), F.lit("")), F.col("line_id")
     )

@@ -33,11 +33,11 @@ def newest(df: DataFrame, limit: int | None, *order: Column) -> DataFrame:
     return ranked if limit is None else ranked.limit(limit)
 
 
-def search_level(raw_logs: DataFrame, level: str, limit: int = 500) -> DataFrame:
+def search_level(raw_logs: DataFrame, level: str, limit: int | None = 500) -> DataFrame:
     return newest(raw_logs.where(F.col("level") == level.upper()), limit, F.desc("id"))
 
 
-def search_keyword(raw_logs: DataFrame, keyword: str, limit: int = 500) -> DataFrame:
+def search_keyword(raw_logs: DataFrame, keyword: str, limit: int | None = 500) -> DataFrame:
     """Case-insensitive LIKE; ``%`` and ``_`` in the keyword stay wildcards."""
     return newest(raw_logs.where(F.col("message").ilike(f"%{keyword}%")), limit, F.desc("id"))
 
@@ -46,7 +46,7 @@ def get_by_id(raw_logs: DataFrame, log_id: int) -> DataFrame:
     return raw_logs.where(F.col("id") == log_id)
 
 
-def list_logs(raw_logs: DataFrame, source: str | None = None, limit: int = 200) -> DataFrame:
+def list_logs(raw_logs: DataFrame, source: str | None = None, limit: int | None = 200) -> DataFrame:
     if source:
         raw_logs = raw_logs.where(F.col("source") == source)
     return newest(raw_logs, limit, F.desc("id"))

@@ -181,20 +181,18 @@ def cluster_counts(logs: DataFrame) -> DataFrame:
     )
 
 
-def cluster_heatmap(logs: DataFrame, top: int = 12) -> DataFrame:
-    """Level counts of the largest clusters, one column per level."""
-    cells = logs.groupBy("semantic_cluster").pivot("level", fixed.SEVERITY_ORDER).agg(_n())
-    sizes = (
+def cluster_heatmap(logs: DataFrame, top: int | None = 12) -> DataFrame:
+    """Level counts of the largest clusters (all without ``top``), one column per level; one pass."""
+    level = {name: F.count_if(F.col("level") == name).alias(name) for name in fixed.SEVERITY_ORDER}
+    cells = (
         logs.where(F.col("semantic_cluster").isNotNull())
         .groupBy("semantic_cluster")
-        .agg(_n().alias("size"))
-        .orderBy(F.desc("size"), "semantic_cluster")
-        .limit(top)
-        .select("semantic_cluster")
+        .agg(_n().alias("_size"), *level.values())
+        .orderBy(F.desc("_size"), "semantic_cluster")
     )
     return (
-        cells.join(sizes, "semantic_cluster", "left_semi")
-        .na.fill(0)
+        (cells if top is None else cells.limit(top))
+        .drop("_size")
         .withColumn("cluster_label", cluster_label(F.col("semantic_cluster")))
         .orderBy("semantic_cluster")
     )
@@ -204,14 +202,14 @@ def alert_severity(logs: DataFrame) -> DataFrame:
     return incidents_of(logs).groupBy("level").agg(_n().alias("n")).orderBy(F.desc("n"), "level")
 
 
-def top_templates(logs: DataFrame, limit: int = 5) -> DataFrame:
-    return (
+def top_templates(logs: DataFrame, limit: int | None = 5) -> DataFrame:
+    ranked = (
         logs.where(F.col("event_template").isNotNull())
         .groupBy("event_template")
         .agg(_n().alias("n"))
         .orderBy(F.desc("n"), "event_template")
-        .limit(limit)
     )
+    return ranked if limit is None else ranked.limit(limit)
 
 
 def root_cause_summary(logs: DataFrame, limit: int | None = None) -> DataFrame:
@@ -350,13 +348,13 @@ def alert_inbox(logs: DataFrame) -> DataFrame:
     )
 
 
-def alert_timeline(logs: DataFrame, limit: int = 300) -> DataFrame:
-    """Alerts in line order; beyond the limit the highest scores are kept."""
+def alert_timeline(logs: DataFrame, limit: int | None = 300) -> DataFrame:
+    """Alerts in line order; beyond a limit the highest scores are kept."""
+    alerts = alerts_of(logs)
+    if limit is not None:
+        alerts = alerts.orderBy(F.desc("anomaly_score"), "line_id").limit(limit)
     return (
-        alerts_of(logs)
-        .orderBy(F.desc("anomaly_score"), "line_id")
-        .limit(limit)
-        .select(
+        alerts.select(
             "line_id",
             "level",
             "is_anomaly",
@@ -370,20 +368,18 @@ def alert_timeline(logs: DataFrame, limit: int = 300) -> DataFrame:
     )
 
 
-def risk_peaks(logs: DataFrame, trend: DataFrame, keys: list[str], limit: int = 60) -> DataFrame:
+def risk_peaks(logs: DataFrame, trend: DataFrame, keys: list[str], limit: int | None = 60) -> DataFrame:
     """Highest-scoring critical anomalies with their smoothed risk."""
-    peaks = (
-        logs.where(is_critical_peak())
-        .orderBy(F.desc("anomaly_score"), "line_id")
-        .limit(limit)
-        .select(
-            *keys,
-            "line_id",
-            "level",
-            F.bround("anomaly_score", 4).alias("anomaly_score"),
-            snippet(F.col("clean_log"), 70).alias("snippet"),
-        )
+    peaks = logs.where(is_critical_peak())
+    if limit is not None:
+        peaks = peaks.orderBy(F.desc("anomaly_score"), "line_id").limit(limit)
+    peaks = peaks.select(
+        *keys,
+        "line_id",
+        "level",
+        F.bround("anomaly_score", 4).alias("anomaly_score"),
+        snippet(F.col("clean_log"), 70).alias("snippet"),
     )
-    # At most `limit` rows, so this side is safe to broadcast.
+    # A limited side is safe to broadcast; of all peaks nothing is known.
     risk = trend.select(*keys, "line_id", "normalized_risk")
-    return risk.join(F.broadcast(peaks), [*keys, "line_id"])
+    return risk.join(peaks if limit is None else F.broadcast(peaks), [*keys, "line_id"])

@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.errors import PythonException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from faultline import fixed
@@ -16,7 +17,7 @@ from faultline.operators.clusters import (
     semantic_clusters_dense,
     statistical_clusters,
 )
-from faultline.operators.diagnosis import attach_diagnosis, generate_alerts, map_semantic
+from faultline.operators.diagnosis import generate_alerts, map_semantic
 from faultline.operators.features import (
     NUMERIC,
     distinct_texts,
@@ -121,7 +122,7 @@ def with_anomalies(
 def with_semantics(
     logs: DataFrame,
     encode: Callable[[list[str]], object] | None = None,
-    limit: int | None = fixed.SEMANTIC_TEMPLATES,
+    limit: int | None = None,
 ) -> tuple[DataFrame, str]:
     """Add semantic_cluster; an embedder that fails falls back to TF-IDF."""
     column = "event_template" if "event_template" in logs.columns else "clean_log"
@@ -137,7 +138,8 @@ def with_semantics(
             labels = semantic_clusters_dense(embedded.select("vec_id", "embedding"))
             clusters = cut(embedded.join(labels, "vec_id").select("text", "label"))
             backend = "embedder"
-        except Exception:
+        except PythonException:
+            # Only a fault of the caller's function; anything else ends the run.
             backend = "tfidf (embedder failed)"
     if clusters is None:
         clusters = cut(semantic_clusters(candidates))
@@ -152,7 +154,7 @@ def run(
     incidents_path: str | None = None,
     raw_path: str | None = None,
     contamination: float = fixed.CONTAMINATION,
-    method: str = "auto",
+    method: str = "dbscan",
     eps: float = fixed.DBSCAN_EPS,
     min_samples: int = fixed.DBSCAN_MIN_SAMPLES,
     n_clusters: int = 5,
@@ -178,7 +180,7 @@ def run_on(
     incidents_path: str | None = None,
     raw_path: str | None = None,
     contamination: float = fixed.CONTAMINATION,
-    method: str = "auto",
+    method: str = "dbscan",
     eps: float = fixed.DBSCAN_EPS,
     min_samples: int = fixed.DBSCAN_MIN_SAMPLES,
     n_clusters: int = 5,
@@ -200,18 +202,10 @@ def run_on(
     shape = silhouette(points).first()[0]
     spread = davies_bouldin(points).first()[0]
 
-    try:
-        semantic, semantic_backend = with_semantics(scored, encode)
-        semantic = cut(semantic)
-    except Exception:
-        semantic, semantic_backend = scored.withColumn("semantic_cluster", F.lit(-1)), "fallback_none"
-    try:
-        diagnosed = cut(generate_alerts(semantic))
-    except Exception:
-        none = lines.sparkSession.createDataFrame(
-            [], "text string, root_cause string, recommendation string"
-        )
-        diagnosed = attach_diagnosis(semantic, none)
+    semantic, semantic_backend = with_semantics(scored, encode)
+    semantic = cut(semantic)
+    # An embedder that failed on the templates is not tried again.
+    diagnosed = cut(generate_alerts(semantic, encode=encode if semantic_backend == "embedder" else None))
 
     saved, error = 0, None
     if incidents_path:

@@ -44,9 +44,10 @@ def alert_export(logs: DataFrame) -> DataFrame:
     )
 
 
-def report_alerts(logs: DataFrame, limit: int = 150) -> DataFrame:
-    """The first alerts of the report, as a distributed top-k."""
-    return alert_export(logs).limit(limit)
+def report_alerts(logs: DataFrame, limit: int | None = 150) -> DataFrame:
+    """The first alerts of the report, as a distributed top-k; all without a limit."""
+    ranked = alert_export(logs)
+    return ranked if limit is None else ranked.limit(limit)
 
 
 def report_stats(
@@ -88,7 +89,7 @@ def json_report(
     generated_at: str,
     silhouette: float = 0.0,
     davies_bouldin: float = 0.0,
-    limit: int = 500,
+    limit: int | None = 500,
 ) -> DataFrame:
     """The whole report as one JSON document (one row, column ``report``)."""
     key = F.lit(1).alias("one")

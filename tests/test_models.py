@@ -138,12 +138,24 @@ def test_kmeans_separates_and_numbers_by_first(spark):
     assert {r.vec_id: r.label for r in got[0].collect()} == {i + 1: i % 2 for i in range(20)}
 
 
-def test_auto_method_follows_the_rows(spark):
+def test_method_does_not_follow_the_rows(spark):
     rows = [(1, [(0, 1.0)], 2000), (2, [(1, 1.0)], 2000)]
     df = spark.createDataFrame(rows, VECTORS)
-    assert clusters.statistical_clusters(df, 2)[1] == "kmeans"
-    assert clusters.statistical_clusters(df.withColumn("m", F.lit(2).cast("long")), 2)[1] == "dbscan"
+    few = df.withColumn("m", F.lit(5).cast("long"))
+    labels = [sorted(map(tuple, clusters.statistical_clusters(x, 2)[0].collect())) for x in (df, few)]
+    assert labels[0] == labels[1] == [(1, 0), (2, 1)]
+    assert clusters.statistical_clusters(df, 2)[1] == clusters.statistical_clusters(few, 2)[1] == "dbscan"
     assert clusters.statistical_clusters(df.limit(1).withColumn("m", F.lit(1).cast("long")), 2)[1] == "single"
+    with pytest.raises(ValueError):
+        clusters.statistical_clusters(df, 2, "auto")
+
+
+def test_more_texts_than_the_old_limits(spark):
+    word = F.concat(F.lit("word"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij"))
+    texts = spark.range(5200).select(
+        word.alias("text"), F.lit(1).cast("long").alias("m"), (F.col("id") + 1).alias("first_line")
+    )
+    assert clusters.semantic_clusters(texts, min_samples=1).count() == 5200
 
 
 def feature_rows(spark, n=400):
@@ -237,3 +249,19 @@ def test_embed_batches(spark):
     df = spark.createDataFrame([("ab",), (" ",), ("abc",)], "text string").coalesce(1)
     got = {r.text: r.embedding for r in similarity.embed(df, encode, batch_size=2).collect()}
     assert got == {"ab": [2.0, 0.0], " ": [7.0, 1.0], "abc": [3.0, 0.0]}
+
+
+def test_opposite_vectors_are_apart_at_one_and_a_half(spark):
+    rows = [(1, [(0, 1.0)], 3), (2, [(0, -1.0)], 3), (3, [(0, 0.6), (1, 0.8)], 3)]
+    df = spark.createDataFrame(rows[:2], VECTORS)
+    assert {r.vec_id: r.label for r in density.dbscan(df, 1.5, 2).collect()} == {1: 0, 2: 1}
+    assert {r.vec_id: r.label for r in density.dbscan(df, 2.0, 2).collect()} == {1: 0, 2: 0}
+    three = spark.createDataFrame(rows, VECTORS)
+    assert {r.vec_id: r.label for r in density.dbscan(three, 1.61, 2).collect()} == {1: 0, 2: 0, 3: 0}
+    assert {r.vec_id: r.label for r in density.dbscan(three, 1.59, 2).collect()} == {1: 0, 2: 1, 3: 0}
+
+
+def test_null_templates_have_a_frequency(spark):
+    rows = spark.createDataFrame([(None, "INFO", "a"), (None, "INFO", "b"), ("t", "INFO", "c")], "event_template string, level string, raw_log string")
+    got = features.numeric_features(rows.withColumn("clean_log", F.col("raw_log"))).collect()
+    assert sorted(r.template_frequency for r in got) == [1.0, 2.0, 2.0]
