@@ -189,6 +189,14 @@ def _compare(rows: DataFrame, by: list[str]) -> DataFrame:
     def pairs(group: list[tuple]) -> list[tuple[int, int]]:
         group = list({node: (node, part, pivot, found) for node, part, pivot, found in group}.values())
         out = []
+        # A spanning forest of what the components do not join already is enough.
+        parent = {g[1]: g[1] for g in group}
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
         some = any(pivot for _, _, pivot, _ in group)
         sizes = np.array([len(g[3]) for g in group])
         flat = np.concatenate([g[3] for g in group])
@@ -202,7 +210,11 @@ def _compare(rows: DataFrame, by: list[str]) -> DataFrame:
             at = np.minimum(np.searchsorted(found, flat), len(found) - 1)
             common = np.bincount(owner[found[at] == flat], minlength=len(group))
             ok = linked(common, sizes, len(found)) & (parts != part if not some else np.arange(len(group)) != i)
-            out += [(node, group[j][0]) for j in np.flatnonzero(ok) if some or j > i]
+            for j in np.flatnonzero(ok).tolist():
+                a, b = root(part), root(group[j][1])
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+                    out.append((node, group[j][0]))
         return out
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
