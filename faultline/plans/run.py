@@ -32,8 +32,8 @@ from faultline.operators.quality import davies_bouldin, silhouette
 from faultline.operators.similarity import embed
 from faultline.operators.templates import mine_templates
 from faultline.session import cut
-from faultline.sources.scan import profile_logs, read_for_profile, scan_lines
-from faultline.sources.tables import save_incidents
+from faultline.sources.scan import profile_logs, profile_record, read_for_profile, scan_lines, with_header
+from faultline.sources.tables import append_raw_logs, replace_sources, save_incidents
 
 _GROUP = ["event_template", *NUMERIC]
 
@@ -171,9 +171,15 @@ def run(
     result = run_on(lines, name, incidents_path, raw_path, contamination, method, eps,
                     min_samples, n_clusters, encode)
     result.profile = profile
+    if raw_path:
+        append_raw_logs(profile_record(profile, now_text()), raw_path)
     return result
 
 
+def now_text():
+    return F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")
+
+
 def run_on(
     lines: DataFrame,
     log_source: str,
@@ -210,9 +216,13 @@ def run_on(
     saved, error = 0, None
     if incidents_path:
         try:
-            saved = save_incidents(diagnosed, incidents_path, log_source, run_id, raw_path)
+            saved = save_incidents(diagnosed, incidents_path, log_source, run_id)
         except Exception as failure:
             error = str(failure)
+    if raw_path:
+        # The lines of this run, under the source name that its incidents have.
+        records = with_header(lines, now_text()).withColumn("source", F.lit(log_source))
+        replace_sources(records.select("source", "line_id", "timestamp", "level", "message"), raw_path)
     return RunResult(
         logs=diagnosed,
         run_id=run_id,

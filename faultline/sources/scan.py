@@ -186,7 +186,9 @@ def scan_csv_records(
         position = {name: F.col(f"c{place}") for place, name in reversed(list(enumerate(columns)))}
 
         def column(name: str) -> Column:
-            return F.coalesce(position.get(name, F.lit(None).cast("string")), F.lit(""))
+            value = F.coalesce(position.get(name, F.lit(None).cast("string")), F.lit(""))
+            # The reader's mark for bytes that are not UTF-8; they are dropped as in logs.
+            return F.replace(value, F.lit("\ufffd"), F.lit(""))
 
         message = strip(F.coalesce(F.nullif(column("message"), F.lit("")), column("raw_log")))
         level = F.upper(F.coalesce(F.nullif(column("level"), F.lit("")), F.lit("INFO")))

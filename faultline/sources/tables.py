@@ -1,14 +1,21 @@
-"""The raw-log and incident tables: partitioned Parquet, replaced by partition.
+"""The raw-log and incident tables: Parquet commits and a log that says which of them count.
 
-Raw logs are partitioned by source, incidents by log_source and run_id, so
-replacing a source or dropping a run touches only its own partitions.
+A write adds the files of one commit and then, as its last step, one file of log entries: the
+commit, and what it takes the place of. A reader sees rows whose commit is in the log
+and whose source (and run) no later entry dropped. So replacing is atomic, a
+crash leaves at most files that nobody reads, a source may have any name or length,
+and nothing is deleted by the driver. One writer at a time is assumed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession, Window as W, functions as F
 
 from faultline.operators.filters import incidents_of
+from faultline.session import cut
 
 RAW_COLUMNS = ["id", "line_id", "timestamp", "level", "message", "source", "ts"]
 INCIDENT_COLUMNS = [
@@ -26,44 +33,98 @@ INCIDENT_SCHEMA = (
 )
 
 
-def _file_system(spark: SparkSession, path: str):
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+LOG_SCHEMA = "seq long, op string, commit string, source string, run_id string"
+
+
+def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The Parquet files of a folder; no rows where there is none yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def _log(spark: SparkSession, path: str) -> DataFrame:
+    return _read(spark, f"{path}/log", LOG_SCHEMA)
+
+
+def _next_seq(spark: SparkSession, path: str) -> int:
+    return (_log(spark, path).agg(F.max("seq")).first()[0] or 0) + 1
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target, system = _file_system(spark, path)
-    return system.exists(target)
+def _visible(spark: SparkSession, path: str, schema: str, source: str) -> DataFrame:
+    """Rows of logged commits without those that a later entry dropped.
 
+    The log is one row per commit and dropped source, so the planner decides by its
+    size how to join it.
+    """
+    log = _log(spark, path)
+    added = log.where("op = 'add'").select("commit", F.col("seq").alias("_added"))
+    rows = _read(spark, f"{path}/data", f"{schema}, commit string").join(added, "commit")
+    drops = log.where("op = 'drop'").groupBy("source", "run_id").agg(F.max("seq").alias("_dropped"))
+    drops = drops.withColumnsRenamed({"source": "_source", "run_id": "_run"})
+    by_source = drops.where("_source is not null and _run is null").drop("_run")
+    same = (F.col(source) == F.col("_source")) & (F.col("_dropped") > F.col("_added"))
+    kept = rows.join(by_source, same, "left_anti")
+    if "run_id" in kept.columns:
+        # Runs are dropped everywhere or in one source.
+        by_run = drops.where("_run is not null")
+        same = (
+            (F.col("run_id") == F.col("_run"))
+            & (F.col("_dropped") > F.col("_added"))
+            & (F.col("_source").isNull() | (F.col(source) == F.col("_source")))
+        )
+        kept = kept.join(by_run, same, "left_anti")
+    return kept.drop("commit", "_added")
 
-def _drop_partitions(spark: SparkSession, path: str, pattern: str) -> int:
-    """Delete the partition folders that match; returns how many there were."""
-    target, system = _file_system(spark, f"{path}/{pattern}")
-    found = system.globStatus(target) or []
-    for status in found:
-        system.delete(status.getPath(), True)
-    return len(found)
 
+def _commit(rows: DataFrame | None, path: str, drops: DataFrame | None, spark: SparkSession) -> int:
+    """Write the rows, then the log entries in one file; returns how many rows there were.
 
-def _folder(spark: SparkSession, name: str, value: str) -> str:
-    """Folder name of a partition value, escaped for a glob."""
-    utils = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
-    escaped = utils.escapePathName(value)
-    for sign in "\\*?[]{}":
-        escaped = escaped.replace(sign, "\\" + sign)
-    return f"{name}={escaped}"
+    ``drops`` has source and run_id, null standing for any; entries hide earlier commits only.
+    """
+    seq, name, n = _next_seq(spark, path), uuid.uuid4().hex, 0
+    entries = spark.createDataFrame([], LOG_SCHEMA)
+    if rows is not None:
+        seen = Observation()
+        counted = rows.observe(seen, F.count(F.lit(1)).alias("n")).withColumn("commit", F.lit(name))
+        counted.write.mode("append").partitionBy("commit").parquet(f"{path}/data")
+        n = seen.get["n"]
+        entries = spark.createDataFrame([(seq, "add", name, None, None)], LOG_SCHEMA)
+    if drops is not None:
+        entries = entries.union(
+            drops.select(F.lit(seq).cast("long"), F.lit("drop"), F.lit(None).cast("string"), "source", "run_id")
+        )
+    entries.coalesce(1).write.mode("append").parquet(f"{path}/log")
+    return n
 
 
 def read_raw_logs(spark: SparkSession, path: str) -> DataFrame:
-    if not _exists(spark, path):
-        return spark.createDataFrame([], RAW_SCHEMA)
-    return spark.read.schema(RAW_SCHEMA).parquet(path)
+    return _visible(spark, path, RAW_SCHEMA, "source")
 
 
 def read_incidents(spark: SparkSession, path: str) -> DataFrame:
-    if not _exists(spark, path):
-        return spark.createDataFrame([], INCIDENT_SCHEMA)
-    return spark.read.schema(INCIDENT_SCHEMA).parquet(path)
+    return _visible(spark, path, INCIDENT_SCHEMA, "log_source")
+
+
+def compact(spark: SparkSession, path: str, target: str, raw: bool = True) -> int:
+    """Write the rows that count to a new table without dropped ones or old log entries."""
+    rows = read_raw_logs(spark, path) if raw else read_incidents(spark, path)
+    return _commit(rows, target, None, spark)
+
+
+def _numbered(records: DataFrame, first_id: int) -> DataFrame:
+    """Add dense ids from ``first_id`` on: the place in the partition behind all partitions before it."""
+    placed = cut(records.withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    ahead = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    # One row per partition.
+    sizes = sizes.select("_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_ahead") + F.lit(first_id)
+    return placed.withColumn("_part", part).join(sizes, "_part").withColumn("id", place).drop("_at", "_part", "_ahead")
 
 
 def _as_raw(records: DataFrame, first_id: int) -> DataFrame:
@@ -76,9 +137,10 @@ def _as_raw(records: DataFrame, first_id: int) -> DataFrame:
 
     stamp = column("timestamp", "")
     level = column("level", "INFO")
-    new_id = F.monotonically_increasing_id() + F.lit(first_id)
+    if "id" not in records.columns:
+        records = _numbered(records, first_id)
     return records.select(
-        (F.col("id") if "id" in records.columns else new_id).cast("long").alias("id"),
+        F.col("id").cast("long").alias("id"),
         column("line_id", 0).cast("long").alias("line_id"),
         stamp.alias("timestamp"),
         level.alias("level"),
@@ -91,25 +153,13 @@ def _as_raw(records: DataFrame, first_id: int) -> DataFrame:
 
 
 def _start_id(records: DataFrame, path: str, first_id: int | None) -> int:
+    """Above every id ever written, dropped ones too."""
     if first_id is not None or "id" in records.columns:
         return first_id or 1
-    top = read_raw_logs(records.sparkSession, path).agg(F.max("id")).first()[0]
+    top = _read(records.sparkSession, f"{path}/data", RAW_SCHEMA).agg(F.max("id")).first()[0]
     return 1 if top is None else top + 1
 
 
-def _write_counted(rows: DataFrame, path: str, mode: str, partitions: list[str]) -> int:
-    """Write and return the number of rows, counted while they are written."""
-    from pyspark.sql import Observation
-
-    seen = Observation()
-    counted = rows.observe(seen, F.count(F.lit(1)).alias("n"))
-    writer = counted.write.mode(mode).partitionBy(*partitions)
-    if mode == "overwrite":
-        writer = writer.option("partitionOverwriteMode", "dynamic")
-    writer.parquet(path)
-    return seen.get["n"]
-
-
 def append_raw_logs(records: DataFrame, path: str, first_id: int | None = None) -> int:
     """Append records with defaults for what is missing; returns how many.
 
@@ -118,8 +168,13 @@ def append_raw_logs(records: DataFrame, path: str, first_id: int | None = None)
     """
     if records.isEmpty():
         return 0
-    rows = _as_raw(records, _start_id(records, path, first_id))
-    return _write_counted(rows, path, "append", ["source"])
+    return _commit(_as_raw(records, _start_id(records, path, first_id)), path, None, records.sparkSession)
+
+
+def _every_run(rows: DataFrame, source: str) -> DataFrame:
+    return rows.where(F.col(source).isNotNull()).select(
+        F.col(source).alias("source"), F.lit(None).cast("string").alias("run_id")
+    ).distinct()
 
 
 def replace_sources(records: DataFrame, path: str, first_id: int | None = None) -> int:
@@ -127,20 +182,26 @@ def replace_sources(records: DataFrame, path: str, first_id: int | None = None)
     if records.isEmpty():
         return 0
     rows = _as_raw(records, _start_id(records, path, first_id))
-    return _write_counted(rows, path, "overwrite", ["source"])
+    return _commit(rows, path, _every_run(records, "source"), records.sparkSession)
 
 
 def clear_source(spark: SparkSession, path: str, source: str) -> int:
-    """Delete one source; returns how many rows it had."""
+    """Drop one source; returns how many rows it had."""
     n = read_raw_logs(spark, path).where(F.col("source") == source).count()
     if n:
-        _drop_partitions(spark, path, _folder(spark, "source", source))
+        _commit(None, path, spark.createDataFrame([(source, None)], "source string, run_id string"), spark)
     return n
 
 
 def write_incidents(incidents: DataFrame, path: str) -> int:
-    """Write complete incident rows, replacing the partitions they belong to."""
-    return _write_counted(incidents, path, "overwrite", ["log_source", "run_id"])
+    """Write complete incident rows in place of earlier ones of the same source and run."""
+    spark = incidents.sparkSession
+    rows = incidents.select(*[F.col(f.name).cast(f.dataType) for f in _empty(spark, INCIDENT_SCHEMA).schema.fields])
+    return _commit(rows, path, rows.select(F.col("log_source").alias("source"), "run_id").distinct(), spark)
+
+
+def _empty(spark: SparkSession, schema: str) -> DataFrame:
+    return spark.createDataFrame([], schema)
 
 
 def save_incidents(
@@ -165,29 +226,24 @@ def save_incidents(
         .withColumn("run_id", F.lit(run))
         .withColumn("created_at", created.cast("timestamp_ntz"))
         .select(
-            *[F.col(f.name).cast(f.dataType) for f in read_incidents(spark, path).schema.fields]
+            *[F.col(f.name).cast(f.dataType) for f in _empty(spark, INCIDENT_SCHEMA).schema.fields]
         )
     )
     keep_earlier = not log_source or log_source == "unknown"
-    # The new run is complete on disk before the earlier ones go.
-    saved = _write_counted(
-        rows, path, "append" if keep_earlier else "overwrite", ["log_source", "run_id"]
-    )
-    if not keep_earlier:
-        folder = _folder(spark, "log_source", log_source)
-        mine = _folder(spark, "run_id", run).replace("\\", "")
-        target, system = _file_system(spark, f"{path}/{folder}/run_id=*")
-        for status in system.globStatus(target) or []:
-            if status.getPath().getName() != mine:
-                system.delete(status.getPath(), True)
-        if raw_path:
-            clear_source(spark, raw_path, log_source)
+    drops = None if keep_earlier else _every_run(rows.limit(1), "log_source")
+    saved = _commit(rows, path, drops, spark)
+    if raw_path and not keep_earlier:
+        clear_source(spark, raw_path, log_source)
     return saved
 
 
 def delete_run(spark: SparkSession, path: str, run_id: str) -> int:
-    """Drop the partitions of one run; returns how many there were."""
-    return _drop_partitions(spark, path, "log_source=*/" + _folder(spark, "run_id", run_id))
+    """Drop the rows of one run in every source; returns in how many sources it had any."""
+    rows = read_incidents(spark, path).where(F.col("run_id") == run_id)
+    n = rows.agg(F.count_distinct(F.coalesce("log_source", F.lit("")))).first()[0]
+    if n:
+        _commit(None, path, spark.createDataFrame([(None, run_id)], "source string, run_id string"), spark)
+    return n
 
 
 def restore_run(incidents: DataFrame, run_id: str) -> DataFrame:

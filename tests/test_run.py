@@ -58,6 +58,16 @@ def test_run_stores_incidents_once(spark, log, tmp_path):
     assert second.statistical_backend == "kmeans"
 
 
+def test_run_stores_its_lines_once(spark, log, tmp_path):
+    from faultline.sources.tables import read_raw_logs
+
+    raw = str(tmp_path / "raw")
+    for _ in range(2):
+        run(spark, log, incidents_path=str(tmp_path / "i"), raw_path=raw)
+    rows = read_raw_logs(spark, raw).groupBy("source").count().collect()
+    assert {r.source: r["count"] for r in rows} == {"app.log": 120, "profile": 2}
+
+
 def test_embedder_and_its_failure(spark, log):
     good = run(spark, log, encode=lambda texts: [[float(len(t) % 3 == k) for k in range(3)] for t in texts])
     assert good.semantic_backend == "embedder"

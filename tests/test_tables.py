@@ -86,6 +86,23 @@ def test_clear_source(spark, path):
     assert count(spark, path) == 1
 
 
+def test_long_source_and_dense_ids(spark, path):
+    long = "file:/" + "/".join("folder" * 6 for _ in range(12)) + "/a.log"
+    tables.append_raw_logs(records(spark, record(1, source=long), record(2, source=long)).repartition(3), path)
+    tables.replace_sources(records(spark, record(3, source=long)), path)
+    rows = tables.read_raw_logs(spark, path).collect()
+    assert [(r.source, r.line_id, r.id) for r in rows] == [(long, 3, 3)]
+
+
+def test_a_write_without_its_log_entry_is_not_seen(spark, path):
+    tables.append_raw_logs(records(spark, record(1)), path)
+    stray = tables._as_raw(records(spark, record(2)), 50).withColumn("commit", F.lit("crashed"))
+    stray.write.mode("append").partitionBy("commit").parquet(f"{path}/data")
+    assert count(spark, path) == 1
+    target = path + "-compact"
+    assert tables.compact(spark, path, target) == 1 and count(spark, target) == 1
+
+
 def test_replace_source_keeps_the_others(spark, path):
     tables.append_raw_logs(records(spark, record(1, source="a"), record(2, source="b")), path)
     assert tables.replace_sources(records(spark, record(3, source="a"), record(4, source="a")), path) == 2
