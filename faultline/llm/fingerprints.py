@@ -221,17 +221,25 @@ def _minus(a: str, b: str) -> Column:
     )
 
 
-def differences(rows: DataFrame, prints: DataFrame, others: list[str]) -> DataFrame:
+def attempt(prints: DataFrame, others: list[str], keep: list[str]) -> DataFrame:
+    """row, the fingerprints to ``keep``, and for each other role what peeling its difference to ``own`` gives."""
+    states = prints.select(
+        "row", *keep, *[peel(_minus("own", o), F.lit(0)).alias(f"_{o}") for o in others]
+    )
+    results = [
+        F.struct(F.col(f"_{o}.found").alias("found"), _clean(F.col(f"_{o}")).alias("ok")).alias(f"_{o}") for o in others
+    ]
+    return states.select("row", *keep, *results)
+
+
+def differences(rows: DataFrame, first: DataFrame, others: list[str]) -> DataFrame:
     """row, pair (name of the other column) and found, the digests (d, s) that differ from ``own``.
 
-    The fingerprints decide where they can be peeled; the other pairs are sketched
-    again with more and more blocks until all are peeled.
+    ``first`` is the ``attempt`` with the fingerprints, which decides where they can be
+    peeled; the other pairs are sketched again with more and more blocks until all are.
     """
-    tried = prints.select(
-        "row", F.explode(F.array(*[F.struct(F.lit(o).alias("pair"), _minus("own", o).alias("cells")) for o in others])).alias("p")
-    )
-    tried = tried.select("row", "p.pair", peel(F.col("p.cells"), F.lit(0)).alias("state"))
-    tried = cut(tried.select("row", "pair", F.col("state.found").alias("found"), _clean(F.col("state")).alias("ok")))
+    each = F.array(*[F.struct(F.lit(o).alias("pair"), F.col(f"_{o}.found"), F.col(f"_{o}.ok")) for o in others])
+    tried = first.select("row", F.explode(each).alias("p")).select("row", "p.pair", "p.found", "p.ok")
     done = [tried.where("ok").select("row", "pair", "found")]
     failed = tried.where("not ok").select("row", "pair")
     level = 1
@@ -281,8 +289,9 @@ def compare_versions(docs: DataFrame) -> DataFrame:
     is its own next; an empty table gives no rows.
     """
     rows = cut(edited_rows(docs))
-    prints = cut(fingerprints(rows, ["own", "edited", "next"]))
-    found = differences(rows, prints, ["edited", "next"]).select("row", "pair", F.size("found").alias("n"))
+    others = ["edited", "next"]
+    prints = cut(attempt(fingerprints(rows, ["own", *others]), others, ["own", "edited"]))
+    found = differences(rows, prints, others).select("row", "pair", F.size("found").alias("n"))
     found = found.groupBy("row").agg(
         F.sum(F.when(F.col("pair") == "edited", F.col("n"))).alias("_edited"),
         F.sum(F.when(F.col("pair") == "next", F.col("n"))).alias("_next"),
