@@ -260,17 +260,20 @@ def similar_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     classes = F.floor(F.log(F.col("n")) / math.log(1.25) + 1e-9).cast("int")
     members = shared.where("_a != _b").select(
-        "key", "node", F.explode(F.array(classes, classes + 1)).alias("size_class")
+        "key", "node", "n", F.explode(F.array(classes, classes + 1)).alias("size_class")
     )
     members = cut(members)
     lists = members.groupBy("key", "size_class").agg(
-        F.min("node").alias("pivot"), F.max("node").alias("_last"), F.count(F.lit(1)).alias("members")
+        F.min("node").alias("pivot"), F.max("node").alias("_last"), F.count(F.lit(1)).alias("members"),
+        F.min_by("n", "node").alias("pivot_n"),
     )
     lists = cut(lists.where("pivot != _last").drop("_last"))
     held = cut(members.join(lists, ["key", "size_class"]))
 
-    stars = cut(held.where("node != pivot").select("pivot", "node").distinct())
-    needed = held.select("node").distinct()
+    # Sets of too different sizes can't link, whatever they share.
+    fits = 10 * F.least("n", "pivot_n") >= 8 * F.greatest("n", "pivot_n")
+    stars = cut(held.where(F.col("node") != F.col("pivot")).where(fits).select("pivot", "node").distinct())
+    needed = held.where("members > 2").select("node").union(stars.select("node")).union(stars.select("pivot")).distinct()
     place = rows.where("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "hash")).alias("p"))
     place = place.join(needed, "node").select("node", F.col("p.doc_id").alias("_d"), F.col("p.hash").alias("_h"))
     texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_hash"), "text")
