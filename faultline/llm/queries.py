@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from faultline.llm import classifier, fingerprints, mixing, preferences, quality_rules, set_join, sharding, substrings, token_files, unigram
 from faultline.llm.labels import held_out
+from faultline.llm.oracles import oracles as oracles
 from faultline.llm.shared import documents
 
 
@@ -81,36 +82,3 @@ def queries() -> dict:
         "op9_super_kmers": op9_super_kmers,
         "op10_heavy_light_join": op10_heavy_light_join,
     }
-
-
-OP8_SQL = """
-WITH c AS (
-  SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')}
-    ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns
-  FROM conversations GROUP BY conv_id
-), r AS (
-  SELECT *, list_filter(turns, lambda t: t.role = 'assistant')[-1].text AS reply,
-    md5(coalesce(CAST(conv_id AS VARCHAR), '')) AS key,
-    len(turns) + 1 - list_position(list_reverse([t.role = 'assistant' FOR t IN turns]), true) AS pos
-  FROM c
-), n AS (
-  SELECT *, coalesce(lead(reply) OVER w, CASE WHEN lead(key) OVER w IS NULL THEN first_value(reply) OVER w END) AS other
-  FROM r WINDOW w AS (ORDER BY key, conv_id NULLS FIRST)
-), p AS (
-  SELECT conv_id, turns AS a, list_transform(turns, lambda t, i: {'role': t.role,
-    'text': CASE WHEN i = pos THEN coalesce(other, t.text) ELSE t.text END}) AS b FROM n
-), k AS (
-  SELECT *, coalesce(list_position([x[1] = x[2] FOR x IN list_zip(a, b)], false) - 1, len(a)) AS n_common FROM p
-)
-SELECT conv_id, CAST(n_common AS INTEGER) AS n_common,
-  coalesce(list_aggregate(['<|' || t.role || '|>' || chr(10) || t.text || chr(10) FOR t IN a[:n_common]], 'string_agg', ''), '') AS prompt,
-  coalesce(list_aggregate(['<|' || t.role || '|>' || chr(10) || t.text || chr(10) FOR t IN a[n_common + 1:]], 'string_agg', ''), '') AS chosen,
-  coalesce(list_aggregate(['<|' || t.role || '|>' || chr(10) || t.text || chr(10) FOR t IN b[n_common + 1:]], 'string_agg', ''), '') AS rejected,
-  coalesce(list_aggregate([(len(t.role) + 5) || ':0,' || (len(t.text) + 1) || ':' || CAST(t.role = 'assistant' AS INTEGER) FOR t IN a[n_common + 1:]], 'string_agg', ','), '') AS chosen_mask,
-  coalesce(list_aggregate([(len(t.role) + 5) || ':0,' || (len(t.text) + 1) || ':' || CAST(t.role = 'assistant' AS INTEGER) FOR t IN b[n_common + 1:]], 'string_agg', ','), '') AS rejected_mask
-FROM k
-"""
-
-
-def oracles() -> dict[str, str]:
-    return {"op8_preference_pairs": OP8_SQL}
