@@ -300,13 +300,13 @@ def similar_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     known = cut(components(links))
 
     # Lists with nodes of different components: blocks of them against each other.
-    named = held.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = cut(named)
+    # Two nodes of which one is the pivot were compared with it; only lists of three or more can be open.
+    named = held.where("members > 2").join(known, "node", "left")
+    named = cut(named.withColumn("component", F.coalesce("component", "node")))
     open_lists = named.groupBy("key", "size_class").agg(
         F.min("component").alias("_a"), F.max("component").alias("_b")
     ).where("_a != _b").select("key", "size_class")
-    # Two nodes of which one is the pivot were compared with it; only lists of three or more are open.
-    left = named.where("members > 2").join(open_lists, ["key", "size_class"])
+    left = named.join(open_lists, ["key", "size_class"])
     blocks = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.col("members") / BLOCK, F.lit(1.0))))).cast("int")
     left = left.select("pivot", "node", "component", blocks.alias("blocks")).distinct()
     left = left.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
