@@ -23,12 +23,15 @@ SEGMENTS = 64
 PARTS = 16
 # A line, cut after the first end of a sentence behind every 160 characters.
 PARAGRAPH = r"[^\n]{160,}?[.!?](?=\s|$)|[^\n]+"
+# A piece of a line of at most 12 words, to the end of a sentence. Every 8 characters of a
+# longer word count as one, so a piece is short in text without blanks too.
+BOUNDED = r"\S{1,8}+(?:(?<![.!?。！？])[^\S\n]*+\S{1,8}+){0,11}+"
 
 
-def digests(text: Column) -> Column:
+def digests(text: Column, paragraph: str = PARAGRAPH) -> Column:
     """Distinct 64-bit digests of the paragraphs of a text."""
     return F.array_distinct(
-        F.transform(F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0)), lambda p: F.xxhash64(p))
+        F.transform(F.regexp_extract_all(text, F.lit(paragraph), F.lit(0)), lambda p: F.xxhash64(p))
     )
 
 
@@ -144,7 +147,7 @@ def _blocks(docs: DataFrame) -> Column:
     return search(0, len(bounds)).cast("int")
 
 
-def with_next(docs: DataFrame) -> DataFrame:
+def with_next(docs: DataFrame, paragraph: str = PARAGRAPH) -> DataFrame:
     """Every row with ``_text``, ``_own`` digests and those of the row after it, ``_next_text`` and ``_next``.
 
     Rows stand by doc_id, null first, and text digest; the first follows the last. Rows
@@ -170,7 +173,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     own, guard = F.struct(F.col("_block").alias("b"), F.lit(False).alias("g")), F.struct(
         F.col("_goal").alias("b"), F.lit(True).alias("g")
     )
-    sent = rows.withColumn("_own", digests(F.col("_text"))).withColumn(
+    sent = rows.withColumn("_own", digests(F.col("_text"), paragraph)).withColumn(
         "_to", F.explode(F.when(F.col("_goal").isNull(), F.array(own)).otherwise(F.array(own, guard)))
     )
     order = Window.partitionBy("_to.b").orderBy("_to.g", "_id", "_hash")
@@ -179,16 +182,16 @@ def with_next(docs: DataFrame) -> DataFrame:
     return sent.where("not _to.g").select("doc_id", "_text", "_own", "_next_text", "_next")
 
 
-def edited_rows(docs: DataFrame) -> DataFrame:
+def edited_rows(docs: DataFrame, paragraph: str = PARAGRAPH) -> DataFrame:
     """Narrow rows: row, doc_id, n_chars, edited_sha256 and the digests own, edited and next."""
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(
         F.substring("_text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("_next_text", F.lit(1), half)
     )
-    rows = with_next(docs).withColumn("n_chars", F.length("_text").cast("long")).withColumn("_edited", edited)
+    rows = with_next(docs, paragraph).withColumn("n_chars", F.length("_text").cast("long")).withColumn("_edited", edited)
     return rows.select(
         F.monotonically_increasing_id().alias("row"), "doc_id", "n_chars", F.sha2("_edited", 256).alias("edited_sha256"),
-        F.col("_own").alias("own"), digests(F.col("_edited")).alias("edited"), F.col("_next").alias("next"),
+        F.col("_own").alias("own"), digests(F.col("_edited"), paragraph).alias("edited"), F.col("_next").alias("next"),
     )
 
 
@@ -281,14 +284,14 @@ def likeness(n: Column, m: Column, differ: Column) -> Column:
     return F.when(n + m == 0, F.lit(1.0)).otherwise((n + m - differ) / (n + m + differ))
 
 
-def compare_versions(docs: DataFrame) -> DataFrame:
+def compare_versions(docs: DataFrame, paragraph: str = PARAGRAPH) -> DataFrame:
     """doc_id, n_chars, edited_sha256, both fingerprints, near_edited and near_next of every row.
 
     Null texts are empty; texts without a paragraph have cells of 0, so two such are alike.
     Rows of one id stand by their text's digest and repeated rows behind each other. One row
-    is its own next; an empty table gives no rows.
+    is its own next; an empty table gives no rows. ``paragraph`` is the pattern of what is compared.
     """
-    rows = cut(edited_rows(docs))
+    rows = cut(edited_rows(docs, paragraph))
     others = ["edited", "next"]
     prints = cut(attempt(fingerprints(rows, ["own", *others]), others, ["own", "edited"]))
     found = differences(rows, prints, others).select("row", "pair", F.size("found").alias("n"))

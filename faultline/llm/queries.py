@@ -12,7 +12,7 @@ from faultline.llm.shared import documents
 
 
 def op1_paragraph_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.compare_versions(documents(spark, sf_dir))
+    return fingerprints.compare_versions(documents(spark, sf_dir), fingerprints.BOUNDED)
 
 
 def op2_certified_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
