@@ -6,6 +6,9 @@ packed string to the bucket of the minimiser, where all equal windows of the cor
 meet and sorting finds the first of each. Super-k-mers that a task sees again travel
 once, with their earliest place; the later copies are known to be repeats at once.
 Packed strings of a bucket travel compressed, many to a row.
+
+Windows are counted by slots of minimisers first. Where a slot holds too many, its windows
+travel one by one to the bucket of a hash of all their words: equal ones still meet.
 """
 
 from __future__ import annotations
@@ -26,6 +29,9 @@ from faultline.session import cut
 WINDOW = 20
 MER = 4
 HELD_BYTES = 24 << 20
+# Minimisers are counted by slot; a slot of more windows than this, or than twice the mean, is split.
+SLOTS = 1 << 16
+HOT_WINDOWS = 1 << 19
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 PACKED = "bucket int, id bigint, hash bigint, spans binary, packed binary"
@@ -55,8 +61,10 @@ def _merge(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 class Packer:
     """Super-k-mers waiting to be sent, each distinct one with its earliest place."""
 
-    def __init__(self, buckets: int):
+    def __init__(self, buckets: int, hot: frozenset[int] = frozenset()):
         self.buckets = buckets
+        self.hot = np.zeros(SLOTS, bool)
+        self.hot[list(hot)] = True
         self.held: dict[bytes, tuple[int, int, int, int]] = {}
         self.repeats: dict[tuple[int, int], list[int]] = {}
         self.size = 0
@@ -68,13 +76,23 @@ class Packer:
         joined = b" ".join(of_text)
         at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, of_text), np.int64, len(of_text)) + 1)])
         starts, ends, least = runs(of_text)
+        split = self.hot[least % np.uint64(SLOTS)]
+        bucket_of = np.where(split, -1, (least % np.uint64(self.buckets)).astype(np.int64))
+        if split.any():
+            # Every window of a hot slot on its own.
+            times = np.where(split, ends - starts, 1)
+            nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            starts, bucket_of = np.repeat(starts, times) + nth, np.repeat(bucket_of, times)
+            ends = np.where(bucket_of < 0, starts + 1, np.repeat(ends, times))
         places = zip(
             starts.tolist(), at[starts].tolist(), (at[ends + WINDOW - 1] - 1).tolist(),
-            (least % np.uint64(self.buckets)).tolist(), (ends - starts).tolist(),
+            bucket_of.tolist(), (ends - starts).tolist(),
         )
         held = self.held
         for start, a, b, bucket, windows in places:
             packed = joined[a:b]
+            if bucket < 0:
+                bucket = zlib.crc32(packed) % self.buckets
             place = (id, hash, start, bucket)
             other = held.setdefault(packed, place)
             if other is place:
@@ -161,9 +179,34 @@ def repeats_in(bodies: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
             yield int(id[a]), int(hash_[a]), _merge(place[a:b], place[a:b] + WINDOW).tobytes()
 
 
-def _pack(buckets: int):
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows of a task by slot of their minimiser: at most one row for each slot."""
+    total = np.zeros(SLOTS, np.int64)
+    for piece in slices(batches, 64):
+        slots, windows = [], []
+        for text in piece.column("text").to_pylist():
+            of_text = words(text)
+            if len(of_text) >= WINDOW:
+                starts, ends, least = runs(of_text)
+                slots.append((least % np.uint64(SLOTS)).astype(np.int64))
+                windows.append(ends - starts)
+        if slots:
+            np.add.at(total, np.concatenate(slots), np.concatenate(windows))
+    slot = np.flatnonzero(total)
+    yield pa.record_batch([pa.array(slot.astype(np.int32)), pa.array(total[slot])], names=["slot", "windows"])
+
+
+def hot_slots(rows: DataFrame) -> frozenset[int]:
+    """Slots of minimisers that hold too many windows of the texts for one bucket."""
+    counts = cut(rows.select("text").mapInArrow(_count, "slot int, windows bigint").groupBy("slot").agg(F.sum("windows").alias("n")))
+    mean = (counts.agg(F.sum("n")).first()[0] or 0) / SLOTS
+    # Above twice the mean: fewer than half of the slots.
+    return frozenset(r["slot"] for r in counts.where(F.col("n") > max(HOT_WINDOWS, 2 * mean)).select("slot").collect())
+
+
+def _pack(buckets: int, hot: frozenset[int]):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(buckets)
+        packer = Packer(buckets, hot)
         for piece in slices(batches, 64):
             for id, hash, text in zip(*(piece.column(c).to_pylist() for c in ("id", "hash", "text"))):
                 packer.add(id, hash, text)
@@ -213,7 +256,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = _identified(docs.select("doc_id", "text"), {"id": "id", "hash": "hash"}).select("id", "hash", "text")
-    packed = rows.mapInArrow(_pack(3 * partitions), PACKED)
+    packed = rows.mapInArrow(_pack(3 * partitions, hot_slots(rows)), PACKED)
     found = packed.repartition(partitions, "bucket").sortWithinPartitions("bucket")
     return found.mapInArrow(_find, "id bigint, hash bigint, spans binary")
 
