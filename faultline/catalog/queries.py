@@ -32,7 +32,7 @@ from faultline.operators import (
 )
 from faultline.plans import run as whole
 from faultline.session import cut, scratch_path
-from faultline.sources import reports, scan, tables
+from faultline.sources import ingest, reports, scan, tables
 
 
 # --- Sources and sinks --------------------------------------------------------
@@ -96,10 +96,21 @@ def ingest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "ingest")
     rows = fx.logs(spark, sf_dir)
     rows.select("raw_log", "log_source").write.partitionBy("log_source").text(path)
-    records = scan.scan_log_records(spark, path, fx.INGEST_TS, "*.txt", tolerant=True)
+    records = scan.scan_log_records(spark, path, fx.INGEST_TS, "*.txt")
     return scan.ingest_counts(_named_source(records))
 
 
+def directory_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source as a folder of CSV files, ingested into a table; files of one source are added up."""
+    path = scratch_path(spark, "dir")
+    (
+        fx.logs(spark, sf_dir).select("raw_log", "log_source").write.partitionBy("log_source")
+        .option("header", "true").option("escape", '"').csv(path)
+    )
+    files = _named_source(ingest.ingest_directory(spark, path, scratch_path(spark, "raw"), fx.INGEST_TS))
+    return files.groupBy("source", "status").agg(F.sum("n").alias("n"))
+
+
 def raw_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "raw")
     tables.append_raw_logs(fx.raw_logs(spark, sf_dir).drop("id"), path)
@@ -558,6 +569,7 @@ def queries() -> dict:
         "parse_strict": parse_strict,
         "csv_log_scan": csv_log_scan,
         "ingest_counts": ingest_counts,
+        "directory_ingest": directory_ingest,
         "raw_append": raw_append,
         "replace_source": replace_source,
         "clear_source": clear_source,

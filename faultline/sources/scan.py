@@ -7,7 +7,9 @@ before the split is a prefix sum over the (small) table of splits.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
@@ -70,13 +72,11 @@ def _file_name(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+)$", 1)
 
 
-def _read_lines(spark: SparkSession, path, glob: str | None, tolerant: bool = False) -> DataFrame:
+def _read_lines(spark: SparkSession, path, glob: str | None) -> DataFrame:
     _pin_splits(spark)
     reader = spark.read.option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    if tolerant:
-        reader = reader.option("ignoreCorruptFiles", "true")
     return reader.text(path).select(
         F.col("value"),
         F.col("_metadata.file_path").alias("_file"),
@@ -90,7 +90,6 @@ def scan_lines(
     path,
     glob: str | None = None,
     as_one_log: bool = False,
-    tolerant: bool = False,
 ) -> DataFrame:
     """(source, file_name, line_id, raw_log): non-blank lines, stripped.
 
@@ -98,7 +97,7 @@ def scan_lines(
     leave gaps. ``source`` is the full file path. ``as_one_log`` numbers the files
     of a directory as the parts of one log.
     """
-    lines = _number(_read_lines(spark, path, glob, tolerant), as_one_log)
+    lines = _number(_read_lines(spark, path, glob), as_one_log)
     text = strip(_valid_text(F.col("value")))
     return (
         lines.select(
@@ -119,11 +118,10 @@ def with_header(lines: DataFrame, ingest_ts: Column | str, extended: bool = Fals
 
 
 def scan_log_records(
-    spark: SparkSession, path, ingest_ts: Column | str, glob: str | None = "*.log",
-    tolerant: bool = False,
+    spark: SparkSession, path, ingest_ts: Column | str, glob: str | None = "*.log"
 ) -> DataFrame:
     """Log files as raw-log records: source, line_id, timestamp, level, message."""
-    records = with_header(scan_lines(spark, path, glob, tolerant=tolerant), ingest_ts)
+    records = with_header(scan_lines(spark, path, glob), ingest_ts)
     return records.select("source", "line_id", "timestamp", "level", "message")
 
 
@@ -134,13 +132,13 @@ class _CsvGroup:
     files: list[str]
 
 
-def _csv_groups(spark: SparkSession, path, glob: str | None, tolerant: bool) -> list[_CsvGroup]:
+def _csv_groups(spark: SparkSession, path, glob: str | None) -> list[_CsvGroup]:
     """Files by header line and by whether a quoted field spans lines.
 
     A line with an odd number of quotes opens or closes a field that spans lines;
     only such files need the unsplittable multi-line reader.
     """
-    lines = _read_lines(spark, path, glob, tolerant).withColumn(
+    lines = _read_lines(spark, path, glob).withColumn(
         "_at", F.monotonically_increasing_id()
     )
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
@@ -154,16 +152,14 @@ def _csv_groups(spark: SparkSession, path, glob: str | None, tolerant: bool) ->
     return [_CsvGroup(header, odd, files) for (header, odd), files in sorted(groups.items())]
 
 
-def scan_csv_records(
-    spark: SparkSession, path, glob: str | None = "*.csv", tolerant: bool = False
-) -> DataFrame:
+def scan_csv_records(spark: SparkSession, path, glob: str | None = "*.csv") -> DataFrame:
     """CSV files with a header as raw-log records.
 
     The message is the ``message`` column, else ``raw_log``; rows without one are
     dropped, but still counted in ``line_id`` (the 1-based data row).
     """
     parts = []
-    for group in _csv_groups(spark, path, glob, tolerant):
+    for group in _csv_groups(spark, path, glob):
         names = spark.range(1).select(F.from_csv(F.lit(group.header), _csv_schema(group.header))).first()[0]
         columns = [str(name) for name in names]
         schema = ", ".join(f"`c{place}` string" for place in range(len(columns)))
@@ -174,8 +170,7 @@ def scan_csv_records(
             .option("multiLine", str(group.multi_line).lower())
             .option("quote", '"')
             .option("escape", '"')
-            .option("ignoreCorruptFiles", str(tolerant).lower())
-            .csv(group.files)
+            .csv(_as_paths(group.files))
             .select(
                 "*",
                 F.col("_metadata.file_path").alias("_file"),
@@ -215,13 +210,60 @@ def _csv_schema(header: str) -> str:
     return ", ".join(f"`h{place}` string" for place in range(header.count(",") + 1))
 
 
+def _as_paths(files: list[str]) -> list[str]:
+    """Paths for a reader from the encoded ones that the scan gives; no character is a wildcard."""
+    return [re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(f)) for f in files]
+
+
+def file_status(spark: SparkSession, path, glob: str) -> DataFrame:
+    """(source, status) of every file: whole, or failed if its bytes can't all be read.
+
+    A reader that ends at the first damage is measured: the lines and their ends must
+    be as long as the file. It leaves out a byte order mark of three bytes.
+    """
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+    lines = reader.option("lineSep", "\n").option("ignoreCorruptFiles", "true").text(path)
+    # Empty files too; the metadata write a path without an authority with one slash.
+    names = [(re.sub(r"^(\w+:)///", r"\1/", f),) for f in lines.inputFiles()]
+    files = spark.createDataFrame(names, "source string")
+    sizes = reader.format("binaryFile").load(path).select(
+        F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_size").alias("size")
+    )
+    read = lines.groupBy(F.col("_metadata.file_path").alias("source")).agg(
+        F.sum(F.octet_length("value") + 1).alias("read")
+    )
+    missing = F.coalesce("size", F.lit(0)) - F.coalesce("read", F.lit(0))
+    # No end behind the last line: one byte less than counted.
+    status = F.when(missing.isin(-1, 0, 2, 3), "whole").otherwise("failed")
+    return files.join(sizes, "source", "left").join(read, "source", "left").select("source", status.alias("status"))
+
+
+def scan_files(spark: SparkSession, files: list[str], ingest_ts: Column | str) -> DataFrame:
+    """The ``*.log`` and ``*.csv`` files among ``files``, as the scan names them, as raw-log records.
+
+    A file that can't be read to its end is an error.
+    """
+    logs = [f for f in _as_paths(files) if f.endswith(".log")]
+    tables = [f for f in _as_paths(files) if f.endswith(".csv")]
+    none = spark.createDataFrame(
+        [], "source string, line_id long, timestamp string, level string, message string"
+    )
+    out = scan_log_records(spark, logs, ingest_ts) if logs else none
+    return out.unionByName(scan_csv_records(spark, tables)) if tables else out
+
+
+def directory_status(spark: SparkSession, path) -> DataFrame:
+    """``file_status`` of all ``*.log`` and ``*.csv`` files below a directory."""
+    return file_status(spark, path, "*.{log,csv}")
+
+
 def scan_directory(spark: SparkSession, path, ingest_ts: Column | str) -> DataFrame:
     """All ``*.log`` and ``*.csv`` files below a directory as raw-log records.
 
-    An unreadable file is skipped and does not stop the others.
+    A file that can't be read whole is left out whole and does not stop the others.
     """
-    logs = scan_log_records(spark, path, ingest_ts, "*.log", tolerant=True)
-    return logs.unionByName(scan_csv_records(spark, path, "*.csv", tolerant=True))
+    whole = directory_status(spark, path).where("status = 'whole'")
+    return scan_files(spark, [r.source for r in whole.toLocalIterator()], ingest_ts)
 
 
 def ingest_counts(records: DataFrame) -> DataFrame:
