@@ -445,6 +445,13 @@ def semantic_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagnosis.map_semantic(rows, labels).select("line_id", "semantic_cluster")
 
 
+def semantic_map_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row with the semantic cluster of its template, however rare."""
+    rows = fx.parsed(spark, sf_dir)
+    labels = clusters.semantic_clusters(features.semantic_candidates(rows))
+    return diagnosis.map_semantic(rows, labels).select("line_id", "semantic_cluster")
+
+
 def _semantic_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = _distinct_texts(spark, sf_dir)
     vocabulary = cut(features.fit_vocabulary(texts, fixed.TFIDF_SEMANTIC_TERMS))
@@ -605,6 +612,7 @@ def queries() -> dict:
         "facet_values": facet_values,
         "count_logs": count_logs,
         "semantic_map": semantic_map,
+        "semantic_map_all": semantic_map_all,
         "diagnose_rules": diagnose_rules,
         "diagnose_semantic": diagnose_semantic,
         "diagnose_rows": diagnose_run_rows,
