@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from faultline.llm import classifier, fingerprints, mixing, preferences, quality_rules, set_join, sharding, substrings, token_files, unigram
+from faultline.llm import alignment, classifier, fingerprints, mixing, preferences, quality_rules, set_join, sharding, substrings, token_files, unigram
 from faultline.llm.labels import held_out
 from faultline.llm.oracles import oracles as oracles
 from faultline.llm.shared import documents
@@ -69,6 +69,12 @@ def op10_heavy_light_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return set_join.join(documents(spark, sf_dir))
 
 
+def op11_pair_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links between the tokens of both vocabularies for every row of documents; see ``alignment.align``."""
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align(documents(spark, sf_dir), *paths, size_b=32_000)
+
+
 def queries() -> dict:
     return {
         "op1_paragraph_sketches": op1_paragraph_sketches,
@@ -81,4 +87,5 @@ def queries() -> dict:
         "op8_preference_pairs": op8_preference_pairs,
         "op9_super_kmers": op9_super_kmers,
         "op10_heavy_light_join": op10_heavy_light_join,
+        "op11_pair_bitmaps": op11_pair_bitmaps,
     }
