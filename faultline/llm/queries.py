@@ -5,10 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from faultline.llm import alignment, classifier, fingerprints, mixing, preferences, quality_rules, set_join, sharding, substrings, token_files, unigram
+from faultline.llm import alignment, classifier, fingerprints, mixing, preferences, quality_rules, set_join, sharding, spelling, substrings, token_files, unigram
 from faultline.llm.labels import held_out
 from faultline.llm.oracles import oracles as oracles
 from faultline.llm.shared import documents
+from faultline.session import cut
 
 
 def op1_paragraph_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +76,11 @@ def op11_pair_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(documents(spark, sf_dir), *paths, size_b=32_000)
 
 
+def op12_trie_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their near words, forms and roots; see ``spelling.variants``."""
+    return spelling.variants(cut(spelling.word_counts(documents(spark, sf_dir))))
+
+
 def queries() -> dict:
     return {
         "op1_paragraph_sketches": op1_paragraph_sketches,
@@ -88,4 +94,5 @@ def queries() -> dict:
         "op9_super_kmers": op9_super_kmers,
         "op10_heavy_light_join": op10_heavy_light_join,
         "op11_pair_bitmaps": op11_pair_bitmaps,
+        "op12_trie_pairs": op12_trie_pairs,
     }
