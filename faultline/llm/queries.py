@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from faultline.llm import alignment, classifier, fingerprints, mixing, preferences, quality_rules, set_join, sharding, spelling, substrings, token_files, unigram
+from faultline.llm import alignment, classifier, fingerprints, mixing, preferences, private_data, quality_rules, set_join, sharding, spelling, substrings, token_files, unigram
 from faultline.llm.labels import held_out
 from faultline.llm.oracles import oracles as oracles
 from faultline.llm.shared import documents
@@ -81,6 +81,12 @@ def op12_trie_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(cut(spelling.word_counts(documents(spark, sf_dir))))
 
 
+def op13_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every row of documents; see ``private_data.find``. The counts are of base spans."""
+    docs = documents(spark, sf_dir)
+    return private_data.digest(private_data.find(docs, private_data.fit(docs)))
+
+
 def queries() -> dict:
     return {
         "op1_paragraph_sketches": op1_paragraph_sketches,
@@ -95,4 +101,5 @@ def queries() -> dict:
         "op10_heavy_light_join": op10_heavy_light_join,
         "op11_pair_bitmaps": op11_pair_bitmaps,
         "op12_trie_pairs": op12_trie_pairs,
+        "op13_weak_labels": op13_weak_labels,
     }
