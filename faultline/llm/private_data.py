@@ -54,6 +54,7 @@ _GROUP = re.compile("[0-9]+")
 _NATIONAL = re.compile(
     r"(?<![0-9])(?:\([0-9]{2,5}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|0{1,2}[1-9][0-9]{0,4}(?:[ ./-][0-9]{2,8}){1,5}|[0-9]{3}([ .-])[0-9]{3}\1[0-9]{4})(?![0-9])"
 )
+_PLUS = re.compile(r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-][0-9]{2,4}){1,4}(?![0-9])")
 _DATE = re.compile(r"(?:19|20)[0-9]{2}[-./][0-9]{1,2}[-./][0-9]{1,2}|[0-9]{1,2}[-./][0-9]{1,2}[-./](?:19|20)?[0-9]{2}")
 _NORTH = re.compile(r"(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}")
 _WORDS = re.compile(r"[^\W\d_]+|§")
@@ -178,6 +179,10 @@ def _loose(text: str, lower_dot: bool) -> Iterator[tuple[str, int, int]]:
         for m in _IP6.finditer(text):
             if m.end() - m.start() >= 6:
                 yield "ip", *m.span()
+    if "+" in text:
+        for m in _PLUS.finditer(text):
+            if 9 <= sum(map(str.isdigit, m[0])) <= 15:
+                yield "phone", *m.span()
     for run in _RUN.finditer(text):
         if run.end() - run.start() < 7:
             continue

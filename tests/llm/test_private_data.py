@@ -102,10 +102,12 @@ def held_out(seed, n):
         hidden, prefix = [
             (f"jane.doe{i}[at]mail.example[dot]com", "contact "), (f"{one[:4]}.{one[4:8]}.{one[8:12]}.{one[12:]}", "credit card "),
             (f"({part(3)}) {part(3)}-{part(4)}", "call "), (f"2001:db8::{i + 1:x}", "server "), (f"{one} {other}", ""),
-        ][i % 5]
-        spans = [hidden] if i % 5 < 4 else [one, other]
+            (f"+1 ({part(3)}) {part(3)}-{part(4)}", ""),
+        ][i % 6]
+        spans = [one, other] if i % 6 == 4 else [hidden]
+        tail = f"{part(16)} " if i % 6 == 5 else ""
         before = f"{words(5)} {prefix}"
-        text = f"{before}{hidden} {words(4)}"
+        text = f"{before}{hidden} {tail}{words(4)}"
         out.append((text, [(len(before) + hidden.index(s), len(before) + hidden.index(s) + len(s)) for s in spans]))
         decoy = [f"order {wrong()}", f"version 1.2.3.{300 + i}", f"on 2024-01-{i % 28 + 1:02d} at noon", "at 12:30:45 we met", f"look at it dot by dot {i}", f"pi is 3.14159265358{i}"][i % 6]
         out.append((f"{words(5)} {decoy} {words(3)}", []))
