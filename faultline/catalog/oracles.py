@@ -291,6 +291,40 @@ labelled AS (
 """
 
 
+# All leaves of the search tree step through their lines side by side; a leaf's state is the
+# list of its groups, each with the line that opened it and its words now.
+DRAIN = PARSED + """,
+leafed AS (
+  SELECT line_id, log_source, level, event_template AS text, string_split(event_template, ' ') AS words FROM parsed),
+keyed AS (
+  SELECT *, concat_ws(' ', len(words), array_to_string(
+    list_transform(words[1:3], lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END), ' ')) AS leaf
+  FROM leafed),
+steps AS (
+  SELECT *, row_number() OVER (PARTITION BY log_source, leaf ORDER BY line_id) AS step FROM keyed),
+play(log_source, leaf, step, state, line_id, group_line, template) AS (
+  SELECT log_source, leaf, step, [{'line': line_id, 'words': words}], line_id, line_id, text
+  FROM steps WHERE step = 1
+  UNION ALL
+  SELECT log_source, leaf, step,
+    CASE WHEN best >= 0.5 THEN list_concat(list_concat(state[1:place - 1], [{'line': state[place].line, 'words': merged}]), state[place + 1:])
+      ELSE list_append(state, {'line': line_id, 'words': words}) END,
+    line_id, CASE WHEN best >= 0.5 THEN state[place].line ELSE line_id END,
+    CASE WHEN best >= 0.5 THEN array_to_string(merged, ' ') ELSE text END
+  FROM (
+    SELECT *, list_transform(list_zip(state[place].words, words), lambda p: CASE WHEN p[1] = p[2] THEN p[1] ELSE '<*>' END) AS merged
+    FROM (
+      SELECT *, list_max(shares) AS best, list_position(shares, list_max(shares)) AS place
+      FROM (
+        SELECT s.*, p.state, list_transform(p.state, lambda g:
+          list_sum(list_transform(list_zip(g.words, s.words), lambda q: CASE WHEN q[1] = q[2] THEN 1 ELSE 0 END)) / len(s.words)) AS shares
+        FROM play p JOIN steps s ON s.log_source = p.log_source AND s.leaf = p.leaf AND s.step = p.step + 1)))),
+numbered AS (
+  SELECT log_source, line_id AS group_line, row_number() OVER (PARTITION BY log_source ORDER BY line_id) AS event_id
+  FROM play WHERE line_id = group_line)
+"""
+
+
 def oracles() -> dict[str, str]:
     parse = _with(SCORED, 'SELECT line_id, stamp AS "timestamp", level, message FROM scored')
     out = {
@@ -407,10 +441,18 @@ UNION ALL SELECT DISTINCT 'semantic_cluster', CAST(semantic_cluster AS VARCHAR)
         "count_logs": _with(RAW, "SELECT count(*) AS n FROM raw WHERE source = 'src1.log'"),
         "semantic_map": _with(PARSED, """,
 top AS (
-  SELECT event_template, CAST(min(line_id) % 8 AS INTEGER) AS label FROM parsed
-  GROUP BY 1 ORDER BY count(*) DESC, min(line_id), 1 LIMIT 100)
+  SELECT event_template, CAST(min(line_id) % 8 AS INTEGER) AS label FROM parsed GROUP BY 1)
 SELECT line_id, coalesce(label, -1) AS semantic_cluster
 FROM parsed LEFT JOIN top USING (event_template)"""),
+        "semantic_map_all": _dbscan(
+            _terms(ONE_EACH, fixed.TFIDF_SEMANTIC_TERMS), fixed.SEMANTIC_EPS,
+            fixed.SEMANTIC_MIN_SAMPLES, by_frequency=True,
+        ) + """SELECT line_id, coalesce(label, -1) AS semantic_cluster
+FROM parsed LEFT JOIN (SELECT text, label FROM labelled JOIN texts USING (first_line)) ON text = event_template""",
+        "drain_templates": f"WITH RECURSIVE {DRAIN}" + """
+SELECT p.log_source, p.line_id, k.level, event_id, template AS event_template
+FROM play p JOIN numbered n ON n.log_source = p.log_source AND n.group_line = p.group_line
+JOIN keyed k ON k.log_source = p.log_source AND k.line_id = p.line_id""",
         "diagnose_rules": _with(
             DIAGNOSED, "SELECT line_id, root_cause, recommendation, severity_label FROM diagnosed"
         ),
@@ -613,4 +655,5 @@ SELECT label, position, round(avg(x), 6) AS x FROM (
     CAST(unnest(range(len(embedding))) AS INTEGER) AS position FROM embeddings)
 GROUP BY label, position""",
     }
+    out["drain_hot_leaves"] = out["drain_templates"]
     return out

@@ -438,10 +438,10 @@ def diagnose_run_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def semantic_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Templates numbered by frequency among the 100 most frequent; the rest -1."""
+    """A label of its template (by its first line) on every row."""
     rows = fx.parsed(spark, sf_dir)
-    top = features.semantic_candidates(rows, 100)
-    labels = top.select("text", (F.col("first_line") % 8).cast("int").alias("label"))
+    every = features.semantic_candidates(rows)
+    labels = every.select("text", (F.col("first_line") % 8).cast("int").alias("label"))
     return diagnosis.map_semantic(rows, labels).select("line_id", "semantic_cluster")
 
 
@@ -521,6 +521,13 @@ def drain_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mined.select("log_source", "line_id", "level", "event_id", "event_template")
 
 
+def drain_hot_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with every leaf of more than 200 lines mined by ranges of lines."""
+    lines = fx.logs(spark, sf_dir).withColumn("clean_log", clean(F.col("raw_log")))
+    mined = templates.mine_templates(lines, hot_rows=200)
+    return mined.select("log_source", "line_id", "level", "event_id", "event_template")
+
+
 def most_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = fx.table(spark, sf_dir, "embeddings")
     query = vectors.orderBy("vec_id").first()["embedding"]
@@ -655,6 +662,7 @@ def queries() -> dict:
         "most_similar": most_similar,
         "mean_pool": mean_pool,
         "drain_templates": drain_templates,
+        "drain_hot_leaves": drain_hot_leaves,
         "isolation_forest": isolation_forest,
         "dbscan_clusters": dbscan_clusters,
         "semantic_clusters": semantic_clusters,

@@ -11,19 +11,21 @@ Two exact ways are used, by the size of the leaf:
 * A larger leaf is never sent to one task. Almost every line leaves the state of
   its leaf unchanged; only the few lines that open a group or generalise a
   template matter. A small set of candidate lines is replayed into a history of
-  state changes, every row is checked against that history in a map-only pass
-  (no shuffle, any partitioning), and the first rows that would have changed the
-  state join the candidates. When no row does, the history is the true one, and
-  a last map-only pass labels all rows. Each round is exact up to the earliest
+  state changes. An as-of join, bucketed by leaf and range of lines, tells every
+  line how many changes lie before it: its version. Equal texts of one version
+  have one answer, so lines are reduced to the first of each (leaf, version,
+  text); those are dealt out by blocks of versions, each with the state at the
+  start of its block and the changes within. First lines that would have changed
+  the state join the candidates. When there are none, the history is the true
+  one and the answers go back to the lines, again by ranges of lines, so that no
+  key holds more of them than a range. Each round is exact up to the earliest
   new candidate of a leaf, so the loop ends.
 """
 
 from __future__ import annotations
 
-import math
-
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from faultline import fixed
 from faultline.functions.levels import level_anywhere
@@ -34,9 +36,13 @@ from faultline.session import cut
 HOT_ROWS = 1_000_000
 SLOTS = 256
 HISTORY_BYTES = 64 * 1024 * 1024
+BUCKET_LINES = 65_536
+TASK_ROWS = 50_000
 WILDCARD = "<*>"
 _BLANK = "blank "
-_EVENT = "source string, leaf string, line long, group_index int, template string"
+_CHANGE = (
+    "leaf long, line long, ordinal long, group_index int, template string, group_line long, until long, span long"
+)
 
 
 class _Leaf:
@@ -90,29 +96,9 @@ class _Leaf:
         return self.lines[index] if index < len(self.lines) else line
 
 
-class _History:
-    """A leaf whose changes are known: its state can be read as of any line."""
-
-    def __init__(self, changes: list[tuple[int, int, str]], threshold: float):
-        self.changes = [(line, index, text.split(" ")) for line, index, text in sorted(changes)]
-        self.own_lines = {line for line, _, _ in self.changes}
-        self.leaf = _Leaf(threshold)
-        self.version = 0
-        self.at = 0
-
-    def seek(self, line: int):
-        if line < self.at:
-            self.leaf.clear()
-            self.version = 0
-        self.at = line
-        while self.version < len(self.changes) and self.changes[self.version][0] < line:
-            self.leaf.change(*self.changes[self.version])
-            self.version += 1
-
-
-def _prepare(logs: DataFrame, text: str) -> DataFrame:
+def _prepare(logs: DataFrame, text: str, max_chars: int | None) -> DataFrame:
     blank = F.col(text).isNull() | is_blank(F.col(text))
-    masked = F.when(blank, F.lit(None)).otherwise(masked_line(F.col(text)))
+    masked = F.when(blank, F.lit(None)).otherwise(masked_line(F.col(text), max_chars))
     # Blank lines belong to no leaf; they are spread over many keys.
     spread = F.concat(F.lit(_BLANK), F.pmod(F.xxhash64("line_id"), F.lit(4096)).cast("string"))
     rows = logs.withColumn("_masked", masked)
@@ -163,146 +149,143 @@ def _replay_cold(rows: DataFrame, source: str, threshold: float) -> DataFrame:
     return ordered.mapInArrow(replay, _with_result(rows.schema))
 
 
-def _simulate(candidates: DataFrame, threshold: float) -> DataFrame:
-    """Replay the candidate lines of each leaf and keep the state changes."""
+def _simulate(candidates: DataFrame, threshold: float, limit: int) -> DataFrame:
+    """Replay the candidate lines of each leaf and keep the state changes, numbered from 1.
+
+    ``until`` is the next change of the same group. ``span`` is the number of versions in a
+    block: as many as the leaf has groups, or as ``limit`` bytes of changes hold if that is more.
+    """
     import pandas as pd
 
     def play(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("line").sort_values("line")
         leaf, out = _Leaf(threshold), []
-        source, key = pdf["source"].iloc[0], pdf["leaf"].iloc[0]
         for line, text in zip(pdf["line"].tolist(), pdf["text"].tolist()):
             index, words, changed = leaf.look(text)
             if changed:
                 leaf.change(line, index, words)
-                out.append((source, key, line, index, " ".join(words)))
-        return pd.DataFrame(out, columns=["source", "leaf", "line", "group_index", "template"])
+                out.append((line, len(out) + 1, index, " ".join(words), leaf.lines[index]))
+        found = pd.DataFrame(out, columns=["line", "ordinal", "group_index", "template", "group_line"])
+        found.insert(0, "leaf", pdf["leaf"].iloc[0])
+        found["until"] = found.groupby("group_index")["ordinal"].shift(-1).fillna(len(out) + 1).astype("int64")
+        mean = max(1, int(found["template"].str.len().mean()))
+        found["span"] = max(len(leaf.words), limit // mean, 1)
+        return found
 
-    return candidates.groupBy("source", "leaf").applyInPandas(play, _EVENT)
-
-
-def _pieces(rows: DataFrame, events: DataFrame, source: str, limit: int):
-    """Pair rows with the history of their leaves, in pieces of at most ``limit`` bytes.
-
-    The size is measured first; a larger history is split by a hash of the leaf
-    and every piece meets only its own rows.
-    """
-    size = events.agg(
-        F.coalesce(F.sum(F.length("template") + F.length("leaf") + 64), F.lit(0))
-    ).first()[0]
-    parts = max(1, math.ceil(size / limit))
-    context = rows.sparkSession.sparkContext
-    for part in range(parts):
-        mine, near = events, rows
-        if parts > 1:
-            mine = events.where(F.pmod(F.xxhash64("source", "leaf"), F.lit(parts)) == part)
-            near = rows.where(F.pmod(F.xxhash64(source, "_leaf"), F.lit(parts)) == part)
-        known: dict = {}
-        for row in mine.toLocalIterator():
-            known.setdefault((row.source, row.leaf), []).append((row.line, row.group_index, row.template))
-        yield near, context.broadcast(known)
-
-
-def _histories(known, threshold: float):
-    cache: dict = {}
-
-    def get(key):
-        if key not in cache:
-            cache[key] = _History(known.value.get(key, []), threshold)
-        return cache[key]
-
-    return get
-
-
-def _in_line_order(batch: pa.RecordBatch, source: str):
-    """Row numbers and values of a batch, leaf by leaf in line order."""
-    values = zip(
-        batch.column(source).to_pylist(),
-        batch.column("_leaf").to_pylist(),
-        batch.column("line_id").to_pylist(),
-        range(batch.num_rows),
-        batch.column("_masked").to_pylist(),
-    )
-    return sorted(values, key=lambda v: v[:3])
-
-
-def _violations(rows: DataFrame, events: DataFrame, source: str, threshold: float, limit: int):
-    """First rows per leaf, state version and text slot that would change the state."""
-    found = None
-    narrow = rows.select(source, "_leaf", "line_id", "_masked")
-    schema = "source string, leaf string, version int, line long, text string"
-    for near, known in _pieces(narrow, events, source, limit):
-
-        def check(batches, known=known):
-            get = _histories(known, threshold)
-            for batch in batches:
-                out = []
-                for src, key, line, _, text in _in_line_order(batch, source):
-                    history = get((src, key))
-                    history.seek(line)
-                    if history.leaf.look(text)[2] and line not in history.own_lines:
-                        out.append((src, key, history.version, line, text))
-                if out:
-                    arrays = [list(column) for column in zip(*out)]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(arrays[0], pa.string()),
-                            pa.array(arrays[1], pa.string()),
-                            pa.array(arrays[2], pa.int32()),
-                            pa.array(arrays[3], pa.int64()),
-                            pa.array(arrays[4], pa.string()),
-                        ],
-                        names=["source", "leaf", "version", "line", "text"],
-                    )
-
-        part = near.mapInArrow(check, schema)
-        found = part if found is None else found.unionByName(part)
-    return _first_per_slot(found, "version")
+    return candidates.groupBy("leaf").applyInPandas(play, _CHANGE)
 
 
 def _first_per_slot(rows: DataFrame, *extra: str) -> DataFrame:
     slot = F.pmod(F.xxhash64("text"), F.lit(SLOTS)).alias("_slot")
     first = F.min(F.struct("line", "text")).alias("first")
-    return rows.groupBy("source", "leaf", *extra, slot).agg(first).select("source", "leaf", "first.*")
+    return rows.groupBy("leaf", *extra, slot).agg(first).select("leaf", "first.*")
+
+
+def _bucket(line: str) -> Column:
+    return F.floor(F.col(line) / BUCKET_LINES).alias("bucket")
 
 
-def _learn_hot(rows: DataFrame, source: str, threshold: float, limit: int) -> DataFrame:
-    """The true state changes of the hot leaves, by rounds of replay and check."""
-    plain = rows.select(
-        F.col(source).alias("source"),
-        F.col("_leaf").alias("leaf"),
-        F.col("line_id").alias("line"),
-        F.col("_masked").alias("text"),
+def _versions(lines: DataFrame, changes: DataFrame) -> DataFrame:
+    """leaf, bucket, line, key of every line with ``version``, the changes of its leaf on earlier lines.
+
+    An as-of join: lines and changes meet by leaf and range of lines, sorted by line, and what
+    lies before a range comes from the sums over the ranges.
+    """
+    told = changes.select("leaf", _bucket("line"), "line", F.lit(None).cast("binary").alias("key"), F.lit(1).alias("change"))
+    both = lines.select("leaf", "bucket", "line", "key", F.lit(0).alias("change")).unionByName(told)
+    earlier = W.partitionBy("leaf").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    base = both.groupBy("leaf", "bucket").agg(F.sum("change").alias("n")).select(
+        "leaf", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base")
+    )
+    # A line stands before the change that it makes itself.
+    inside = W.partitionBy("leaf", "bucket").orderBy("line", "change").rowsBetween(W.unboundedPreceding, 0)
+    counted = both.withColumn("inside", F.sum("change").over(inside)).where("change = 0")
+    return counted.join(base, ["leaf", "bucket"]).select(
+        "leaf", "bucket", "line", "key", (F.col("base") + F.col("inside")).alias("version")
+    )
+
+
+def _states(changes: DataFrame) -> DataFrame:
+    """What a block of versions needs: the groups as of its first version (start) and the changes within it."""
+    o, u, k = F.col("ordinal"), F.col("until"), F.col("span")
+    first, last = F.ceil(o / k), F.ceil(u / k) - 1
+    # A group's last template stays to the last block; ``until`` is one past the last change then.
+    at_start = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+    starts = F.transform(at_start, lambda b: F.struct(b.alias("block"), F.lit(True).alias("start")))
+    inside = F.when(o % k != 0, F.array(F.struct(F.floor(o / k).alias("block"), F.lit(False).alias("start"))))
+    blocks = F.concat(starts, F.coalesce(inside, F.array().cast("array<struct<block:bigint,start:boolean>>")))
+    return changes.withColumn("b", F.explode(blocks)).select(
+        "leaf", "b.block", "b.start", "ordinal", "group_index", "template", "group_line"
     )
-    candidates = cut(_first_per_slot(plain))
-    while True:
-        events = cut(_simulate(candidates, threshold))
-        fresh = cut(_violations(rows, events, source, threshold, limit))
-        if fresh.isEmpty():
-            return events
-        candidates = candidates.unionByName(fresh)
 
 
-def _label_hot(rows: DataFrame, events: DataFrame, source: str, threshold: float, limit: int):
-    labelled = None
-    for near, known in _pieces(rows, events, source, limit):
+def _answers(firsts: DataFrame, changes: DataFrame, threshold: float) -> DataFrame:
+    """Group line and template of every first line, and whether it would change the state unforeseen (fresh).
 
-        def label(batches, known=known):
-            get = _histories(known, threshold)
-            for batch in batches:
-                lines = [None] * batch.num_rows
-                templates = [None] * batch.num_rows
-                for src, key, line, at, text in _in_line_order(batch, source):
-                    history = get((src, key))
-                    history.seek(line)
-                    index, words, _ = history.leaf.look(text)
-                    lines[at] = history.leaf.line_of(index, line)
-                    templates[at] = " ".join(words)
-                yield _append(batch, lines, templates)
+    ``firsts`` has leaf, version, key, line, text. A task gets one block of versions, or a share
+    of it by text where the block has more than ``TASK_ROWS`` first lines.
+    """
+    import pandas as pd
 
-        part = near.mapInArrow(label, _with_result(rows.schema))
-        labelled = part if labelled is None else labelled.unionByName(part)
-    return labelled
+    spans = changes.groupBy("leaf").agg(F.max("span").alias("span"))
+    own = changes.select("leaf", "line", F.lit(True).alias("own"))
+    rows = firsts.join(spans, "leaf").withColumn("block", F.floor(F.col("version") / F.col("span")))
+    rows = rows.drop("span").join(own, ["leaf", "line"], "left")
+    slots = rows.groupBy("leaf", "block").agg(F.ceil(F.count(F.lit(1)) / TASK_ROWS).alias("slots"))
+    mine = rows.join(slots, ["leaf", "block"]).withColumn("slot", F.pmod(F.xxhash64("key"), F.col("slots")))
+    known = _states(changes).join(slots, ["leaf", "block"])
+    known = known.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)))
+
+    def answer(key, state: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        state = state.sort_values(["start", "ordinal"], ascending=[False, True])
+        leaf, out = _Leaf(threshold), []
+        # Groups of the start are put in by their number, whatever the order of their last changes.
+        begin = state[state["start"]].sort_values("group_index")
+        for index, template, line in zip(begin["group_index"], begin["template"], begin["group_line"]):
+            leaf.change(int(line), int(index), template.split(" "))
+        later = state[~state["start"]].drop_duplicates("ordinal")
+        steps = list(zip(later["ordinal"], later["group_index"], later["template"], later["group_line"]))
+        at = 0
+        asked = asked.sort_values("version")
+        for version, line, text, is_own in zip(asked["version"], asked["line"], asked["text"], asked["own"]):
+            while at < len(steps) and steps[at][0] <= version:
+                leaf.change(int(steps[at][3]), int(steps[at][1]), steps[at][2].split(" "))
+                at += 1
+            index, words, changed = leaf.look(text)
+            out.append((leaf.line_of(index, line), " ".join(words), changed and is_own is not True))
+        found = asked[["leaf", "version", "key", "line", "text"]].copy()
+        found[["group_line", "template", "fresh"]] = pd.DataFrame(out, index=found.index, columns=["a", "b", "c"])
+        return found
+
+    schema = "leaf long, version long, key binary, line long, text string, group_line long, template string, fresh boolean"
+    by = ["leaf", "block", "slot"]
+    return known.groupBy(*by).cogroup(mine.drop("slots").groupBy(*by)).applyInPandas(answer, schema)
+
+
+def _label_hot(rows: DataFrame, source: str, threshold: float, limit: int) -> DataFrame:
+    """(source, line_id, group_line, event_template) of the lines of hot leaves, which have a ``_number``."""
+    lines = cut(rows.select(
+        F.col("_number").alias("leaf"), _bucket("line_id"), F.col("line_id").alias("line"),
+        F.col("_masked").alias("text"), F.unhex(F.md5("_masked")).alias("key"), F.col(source).alias("source"),
+    ))
+    texts = cut(lines.groupBy("leaf", "key").agg(F.min("text").alias("text")))
+    candidates = cut(_first_per_slot(lines))
+    while True:
+        changes = cut(_simulate(candidates, threshold, limit))
+        versions = cut(_versions(lines, changes))
+        firsts = versions.groupBy("leaf", "version", "key").agg(F.min("line").alias("line"))
+        answers = cut(_answers(firsts.join(texts, ["leaf", "key"]), changes, threshold))
+        fresh = answers.where("fresh")
+        if fresh.isEmpty():
+            break
+        candidates = candidates.unionByName(cut(_first_per_slot(fresh, "version")))
+    # Every range of lines gets its own copy of an answer, as one text may be on most lines.
+    by = ["leaf", "version", "key"]
+    near = versions.select("bucket", *by).distinct().join(answers.select(*by, "group_line", "template"), by)
+    told = versions.join(near, ["bucket", *by]).select("leaf", "line", "group_line", F.col("template").alias("event_template"))
+    # Leaves of one source share no lines, and a line id is unique within its source.
+    places = lines.select("leaf", "line", F.col("source").alias(source))
+    return told.join(places, ["leaf", "line"]).select(source, F.col("line").alias("line_id"), "group_line", "event_template")
 
 
 def mine_templates(
@@ -312,19 +295,22 @@ def mine_templates(
     threshold: float = 0.5,
     hot_rows: int = HOT_ROWS,
     history_bytes: int = HISTORY_BYTES,
+    max_chars: int | None = None,
 ) -> DataFrame:
     """Add ``event_template``, ``level`` and ``event_id`` to every row.
 
     Event ids count groups per source in order of their first line; blank lines
-    take id 0. Line ids must be unique within a source. The result is a
+    take id 0. Line ids must be unique within a source. ``max_chars`` cuts longer
+    lines and marks them so; by default lines are read whole. ``history_bytes``
+    bounds the state changes that go to one task beyond a leaf's groups. The result is a
     checkpointed table, as everything downstream reads it several times.
     """
-    rows = _prepare(logs.drop("event_template", "event_id", "level"), text)
+    rows = _prepare(logs.drop("event_template", "event_id", "level"), text, max_chars)
     hot = cut(
         rows.groupBy(source, "_leaf")
         .agg(F.count("_masked").alias("n"))
         .where(F.col("n") > hot_rows)
-        .select(source, "_leaf")
+        .select(source, "_leaf", F.monotonically_increasing_id().alias("_number"))
     )
     n_hot = hot.count()
     if n_hot == 0:
@@ -332,12 +318,11 @@ def mine_templates(
     else:
         # At most rows / hot_rows keys; small enough lists spare the shuffle.
         keys = F.broadcast(hot) if n_hot <= 50_000 else hot
-        hot_side = rows.join(keys, [source, "_leaf"], "left_semi")
+        hot_side = rows.join(keys, [source, "_leaf"])
         cold_side = rows.join(keys, [source, "_leaf"], "left_anti")
-        events = _learn_hot(hot_side, source, threshold, history_bytes)
-        mined = _replay_cold(cold_side, source, threshold).unionByName(
-            _label_hot(hot_side, events, source, threshold, history_bytes)
-        )
+        told = _label_hot(hot_side, source, threshold, history_bytes)
+        hot_rows_told = hot_side.drop("_number").join(told, [source, "line_id"])
+        mined = _replay_cold(cold_side, source, threshold).unionByName(hot_rows_told)
     mined = cut(mined.drop("_masked", "_leaf"))
 
     # The line that opened a group is the group's own line, so no distinct is needed.

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from faultline.operators import templates
 from faultline.operators.templates import mine_templates
 
 WORDS = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "theta"]
@@ -67,12 +68,23 @@ def test_equal_to_replay(spark, options, partitions):
     assert got == want
 
 
+def test_small_blocks_and_ranges(spark, monkeypatch):
+    """Many ranges of lines, blocks of versions and shares of a block give the same."""
+    monkeypatch.setattr(templates, "BUCKET_LINES", 64)
+    monkeypatch.setattr(templates, "TASK_ROWS", 20)
+    data = sources(900, 5)
+    want = {(s, k): v for s, rows in data.items() for k, v in replay(rows).items()}
+    assert mined(frame(spark, data), hot_rows=30, history_bytes=1) == want
+
+
 def test_masks_and_ids(spark):
     lines = [(1, "Connection refused from 10.0.0.1 on port 22"), (2, ""), (3, "   "),
              (4, "Connection refused from 192.168.1.5 on port 80"), (5, "A" * 15000)]
     got = mined(frame(spark, {"s": lines}))
     assert got[("s", 1)] == got[("s", 4)] == (1, "Connection refused from <IP> on port <NUM>")
     assert got[("s", 2)] == got[("s", 3)] == (0, "[EMPTY_LOG]")
+    assert got[("s", 5)] == (2, "A" * 15000)
+    got = mined(frame(spark, {"s": lines}), max_chars=10_000)
     assert got[("s", 5)] == (2, "A" * 10000 + " ...[TRUNCATED]")
 
 
