@@ -649,6 +649,14 @@ SELECT round(avg(top), 6) AS davies_bouldin FROM (SELECT i, max(r) AS top FROM r
 SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])), 6) AS score
 FROM embeddings, (SELECT embedding AS q FROM embeddings ORDER BY vec_id LIMIT 1)
 ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])) DESC, vec_id LIMIT 10""",
+        "most_similar_batch": """
+WITH scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    round(list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 9) AS score
+  FROM embeddings q JOIN embeddings c ON q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(score, 6) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scores)
+WHERE rank <= 10""",
         "mean_pool": """
 SELECT label, position, round(avg(x), 6) AS x FROM (
   SELECT label, CAST(unnest(embedding) AS DOUBLE) AS x,

@@ -535,6 +535,14 @@ def most_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.withColumn("score", F.round("score", 6))
 
 
+def most_similar_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest embeddings of every one whose id is divisible by 50, among all."""
+    vectors = fx.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    asked = vectors.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    found = similarity.most_similar_batch(asked, vectors, 10)
+    return found.withColumn("score", F.round("score", 6))
+
+
 def mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     pooled = similarity.mean_pool(fx.table(spark, sf_dir, "embeddings"), "label", "embedding")
     return pooled.select("label", F.posexplode("pooled").alias("position", "x")).withColumn(
@@ -660,6 +668,7 @@ def queries() -> dict:
         "silhouette": silhouette,
         "davies_bouldin": davies_bouldin,
         "most_similar": most_similar,
+        "most_similar_batch": most_similar_batch,
         "mean_pool": mean_pool,
         "drain_templates": drain_templates,
         "drain_hot_leaves": drain_hot_leaves,
