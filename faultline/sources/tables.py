@@ -1,22 +1,20 @@
-"""The raw-log and incident tables: Parquet commits and a log that says which of them count.
+"""The raw-log and incident tables: Parquet, partitioned by a hash bucket of the source.
 
-A write adds the files of one commit and then, as its last step, one file of log entries: the
-commit, and what it takes the place of. A reader sees rows whose commit is in the log
-and whose source (and run) no later entry dropped. So replacing is atomic, a
-crash leaves at most files that nobody reads, a source may have any name or length,
-and nothing is deleted by the driver. One writer at a time is assumed.
+Appending adds files. Replacing or dropping a source or a run rewrites the buckets that hold
+any of its rows, by Spark's dynamic partition overwrite, which leaves all others alone. The
+number of buckets is fixed, so a source may have any name or length. One writer at a time is
+assumed. An overwrite only touches buckets that it writes rows to, so a rewritten bucket gets
+one row marked void, which readers skip: it can be emptied and remembers its largest id.
 """
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window as W, functions as F
 
 from faultline.operators.filters import incidents_of
 from faultline.session import cut
 
+BUCKETS = 1024
 RAW_COLUMNS = ["id", "line_id", "timestamp", "level", "message", "source", "ts"]
 INCIDENT_COLUMNS = [
     "line_id", "raw_log", "clean_log", "level", "event_template", "is_anomaly", "anomaly_score",
@@ -33,86 +31,77 @@ INCIDENT_SCHEMA = (
 )
 
 
-LOG_SCHEMA = "seq long, op string, commit string, source string, run_id string"
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
-def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The Parquet files of a folder; no rows where there is none yet."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
+def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """All rows with their bucket, void ones too; no rows where there is no table yet."""
+    schema = f"{schema}, void boolean, bucket int"
+    return spark.read.schema(schema).parquet(path) if _exists(spark, path) else spark.createDataFrame([], schema)
 
 
-def _log(spark: SparkSession, path: str) -> DataFrame:
-    return _read(spark, f"{path}/log", LOG_SCHEMA)
+def _bucket(source: str) -> Column:
+    return F.pmod(F.xxhash64(source), F.lit(BUCKETS)).cast("int")
 
 
-def _next_seq(spark: SparkSession, path: str) -> int:
-    return (_log(spark, path).agg(F.max("seq")).first()[0] or 0) + 1
+def _write(rows: DataFrame, path: str, mode: str) -> None:
+    writer = rows.write.mode(mode).option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("bucket").parquet(path)
 
 
-def _visible(spark: SparkSession, path: str, schema: str, source: str) -> DataFrame:
-    """Rows of logged commits without those that a later entry dropped.
+def _with_bucket(rows: DataFrame, source: str) -> DataFrame:
+    return rows.withColumns({"void": F.lit(False), "bucket": _bucket(source)})
 
-    The log is one row per commit and dropped source, so the planner decides by its
-    size how to join it.
-    """
-    log = _log(spark, path)
-    added = log.where("op = 'add'").select("commit", F.col("seq").alias("_added"))
-    rows = _read(spark, f"{path}/data", f"{schema}, commit string").join(added, "commit")
-    drops = log.where("op = 'drop'").groupBy("source", "run_id").agg(F.max("seq").alias("_dropped"))
-    drops = drops.withColumnsRenamed({"source": "_source", "run_id": "_run"})
-    by_source = drops.where("_source is not null and _run is null").drop("_run")
-    same = (F.col(source) == F.col("_source")) & (F.col("_dropped") > F.col("_added"))
-    kept = rows.join(by_source, same, "left_anti")
-    if "run_id" in kept.columns:
-        # Runs are dropped everywhere or in one source.
-        by_run = drops.where("_run is not null")
-        same = (
-            (F.col("run_id") == F.col("_run"))
-            & (F.col("_dropped") > F.col("_added"))
-            & (F.col("_source").isNull() | (F.col(source) == F.col("_source")))
-        )
-        kept = kept.join(by_run, same, "left_anti")
-    return kept.drop("commit", "_added")
 
+def _append(rows: DataFrame, path: str, source: str) -> int:
+    seen = Observation()
+    _write(_with_bucket(rows, source).observe(seen, F.count(F.lit(1)).alias("n")), path, "append")
+    return seen.get["n"]
 
-def _commit(rows: DataFrame | None, path: str, drops: DataFrame | None, spark: SparkSession) -> int:
-    """Write the rows, then the log entries in one file; returns how many rows there were.
 
-    ``drops`` has source and run_id, null standing for any; entries hide earlier commits only.
+def _rewrite(
+    spark: SparkSession, path: str, schema: str, source: str, dropped: DataFrame, new: DataFrame | None = None
+) -> int:
+    """Drop the rows equal to ``dropped`` in its columns and add the ``new`` ones, in one overwrite.
+
+    ``dropped`` has the column of the source, or ``run_id``, or both; nulls in it equal nothing. Returns how many rows are new.
+    Only buckets with rows to drop or to add are read and written again.
     """
-    seq, name, n = _next_seq(spark, path), uuid.uuid4().hex, 0
-    entries = spark.createDataFrame([], LOG_SCHEMA)
+    dropped = cut(dropped.distinct())
+    stored = _stored(spark, path, schema)
+    names = dropped.columns
+    same = [F.col(n) == F.col(f"_{n}") for n in names]
+    keys = dropped.select(*[F.col(n).alias(f"_{n}") for n in names])
+    # The bucket follows from the source: only those can hold rows to drop. There are at most BUCKETS.
+    wanted = dropped.select(_bucket(source).alias("bucket")) if source in names else (
+        stored.where("not void").join(keys, same, "left_semi").select("bucket"))
+    rows = None if new is None else cut(_with_bucket(new, source))
     if rows is not None:
-        seen = Observation()
-        counted = rows.observe(seen, F.count(F.lit(1)).alias("n")).withColumn("commit", F.lit(name))
-        counted.write.mode("append").partitionBy("commit").parquet(f"{path}/data")
-        n = seen.get["n"]
-        entries = spark.createDataFrame([(seq, "add", name, None, None)], LOG_SCHEMA)
-    if drops is not None:
-        entries = entries.union(
-            drops.select(F.lit(seq).cast("long"), F.lit("drop"), F.lit(None).cast("string"), "source", "run_id")
-        )
-    entries.coalesce(1).write.mode("append").parquet(f"{path}/log")
-    return n
+        wanted = wanted.union(rows.select("bucket"))
+    buckets = sorted(r.bucket for r in wanted.distinct().collect())
+    if not buckets:
+        return 0
+    touched = stored.where(F.col("bucket").isin(buckets))
+    kept = touched.where("not void").join(keys, same, "left_anti")
+    # The old rows are written aside first: the overwrite takes the place of the files they come from.
+    kept = cut(kept if rows is None else kept.unionByName(rows))
+    columns = [f.name for f in kept.schema.fields]
+    tops = cut(touched.unionByName(kept).groupBy("bucket").agg(F.max(columns[0]).alias(columns[0])))
+    every = spark.createDataFrame([(b,) for b in buckets], "bucket int").join(F.broadcast(tops), "bucket", "left")
+    filled = {f.name: F.lit(None).cast(f.dataType) for f in kept.schema.fields[1:]} | {"void": F.lit(True), "bucket": F.col("bucket")}
+    marks = every.select(columns[0], *[c.alias(n) for n, c in filled.items()])
+    _write(kept.unionByName(marks), path, "overwrite")
+    return 0 if rows is None else rows.count()
 
 
 def read_raw_logs(spark: SparkSession, path: str) -> DataFrame:
-    return _visible(spark, path, RAW_SCHEMA, "source")
+    return _stored(spark, path, RAW_SCHEMA).where("not void").drop("void", "bucket")
 
 
 def read_incidents(spark: SparkSession, path: str) -> DataFrame:
-    return _visible(spark, path, INCIDENT_SCHEMA, "log_source")
-
-
-def compact(spark: SparkSession, path: str, target: str, raw: bool = True) -> int:
-    """Write the rows that count to a new table without dropped ones or old log entries."""
-    rows = read_raw_logs(spark, path) if raw else read_incidents(spark, path)
-    return _commit(rows, target, None, spark)
+    return _stored(spark, path, INCIDENT_SCHEMA).where("not void").drop("void", "bucket")
 
 
 def _numbered(records: DataFrame, first_id: int) -> DataFrame:
@@ -156,7 +145,7 @@ def _start_id(records: DataFrame, path: str, first_id: int | None) -> int:
     """Above every id ever written, dropped ones too."""
     if first_id is not None or "id" in records.columns:
         return first_id or 1
-    top = _read(records.sparkSession, f"{path}/data", RAW_SCHEMA).agg(F.max("id")).first()[0]
+    top = _stored(records.sparkSession, path, RAW_SCHEMA).agg(F.max("id")).first()[0]
     return 1 if top is None else top + 1
 
 
@@ -168,28 +157,23 @@ def append_raw_logs(records: DataFrame, path: str, first_id: int | None = None)
     """
     if records.isEmpty():
         return 0
-    return _commit(_as_raw(records, _start_id(records, path, first_id)), path, None, records.sparkSession)
-
-
-def _every_run(rows: DataFrame, source: str) -> DataFrame:
-    return rows.where(F.col(source).isNotNull()).select(
-        F.col(source).alias("source"), F.lit(None).cast("string").alias("run_id")
-    ).distinct()
+    return _append(_as_raw(records, _start_id(records, path, first_id)), path, "source")
 
 
 def replace_sources(records: DataFrame, path: str, first_id: int | None = None) -> int:
-    """Write the records in place of everything their sources held before."""
+    """Write the records in place of everything their sources held before; those without a source are added."""
     if records.isEmpty():
         return 0
     rows = _as_raw(records, _start_id(records, path, first_id))
-    return _commit(rows, path, _every_run(records, "source"), records.sparkSession)
+    dropped = records.select(F.col("source").cast("string").alias("source"))
+    return _rewrite(records.sparkSession, path, RAW_SCHEMA, "source", dropped, rows)
 
 
 def clear_source(spark: SparkSession, path: str, source: str) -> int:
     """Drop one source; returns how many rows it had."""
     n = read_raw_logs(spark, path).where(F.col("source") == source).count()
     if n:
-        _commit(None, path, spark.createDataFrame([(source, None)], "source string, run_id string"), spark)
+        _rewrite(spark, path, RAW_SCHEMA, "source", spark.createDataFrame([(source,)], "source string"))
     return n
 
 
@@ -197,7 +181,7 @@ def write_incidents(incidents: DataFrame, path: str) -> int:
     """Write complete incident rows in place of earlier ones of the same source and run."""
     spark = incidents.sparkSession
     rows = incidents.select(*[F.col(f.name).cast(f.dataType) for f in _empty(spark, INCIDENT_SCHEMA).schema.fields])
-    return _commit(rows, path, rows.select(F.col("log_source").alias("source"), "run_id").distinct(), spark)
+    return _rewrite(spark, path, INCIDENT_SCHEMA, "log_source", rows.select("log_source", "run_id"), rows)
 
 
 def _empty(spark: SparkSession, schema: str) -> DataFrame:
@@ -230,8 +214,11 @@ def save_incidents(
         )
     )
     keep_earlier = not log_source or log_source == "unknown"
-    drops = None if keep_earlier else _every_run(rows.limit(1), "log_source")
-    saved = _commit(rows, path, drops, spark)
+    if keep_earlier:
+        saved = _append(rows, path, "log_source")
+    else:
+        dropped = spark.createDataFrame([(log_source,)], "log_source string")
+        saved = _rewrite(spark, path, INCIDENT_SCHEMA, "log_source", dropped, rows)
     if raw_path and not keep_earlier:
         clear_source(spark, raw_path, log_source)
     return saved
@@ -242,7 +229,7 @@ def delete_run(spark: SparkSession, path: str, run_id: str) -> int:
     rows = read_incidents(spark, path).where(F.col("run_id") == run_id)
     n = rows.agg(F.count_distinct(F.coalesce("log_source", F.lit("")))).first()[0]
     if n:
-        _commit(None, path, spark.createDataFrame([(None, run_id)], "source string, run_id string"), spark)
+        _rewrite(spark, path, INCIDENT_SCHEMA, "log_source", spark.createDataFrame([(run_id,)], "run_id string"))
     return n
 
 

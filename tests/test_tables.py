@@ -94,13 +94,30 @@ def test_long_source_and_dense_ids(spark, path):
     assert [(r.source, r.line_id, r.id) for r in rows] == [(long, 3, 3)]
 
 
-def test_a_write_without_its_log_entry_is_not_seen(spark, path):
-    tables.append_raw_logs(records(spark, record(1)), path)
-    stray = tables._as_raw(records(spark, record(2)), 50).withColumn("commit", F.lit("crashed"))
-    stray.write.mode("append").partitionBy("commit").parquet(f"{path}/data")
-    assert count(spark, path) == 1
-    target = path + "-compact"
-    assert tables.compact(spark, path, target) == 1 and count(spark, target) == 1
+def test_emptied_buckets_remember_their_ids(spark, path, monkeypatch):
+    monkeypatch.setattr(tables, "BUCKETS", 2)
+    tables.append_raw_logs(records(spark, *[record(i, source=f"s{i}") for i in range(1, 7)]), path)
+    for i in range(1, 7):
+        assert tables.clear_source(spark, path, f"s{i}") == 1
+        assert count(spark, path) == 6 - i
+    tables.replace_sources(records(spark, record(1, source="s1"), record(2, source=None)), path)
+    tables.replace_sources(records(spark, record(3, source="s1"), record(4, source=None)), path)
+    rows = {(r.source, r.line_id): r.id for r in tables.read_raw_logs(spark, path).collect()}
+    assert set(rows) == {("s1", 3), (None, 2), (None, 4)} and min(rows.values()) > 6
+
+
+def test_only_touched_buckets_are_written_again(spark, path):
+    import os
+
+    sources = [f"s{i}" for i in range(40)]
+    tables.append_raw_logs(records(spark, *[record(1, source=s) for s in sources]), path)
+    files = lambda: {os.path.join(d, f) for d, _, names in os.walk(path) for f in names if f.endswith(".parquet")}
+    before = files()
+    tables.replace_sources(records(spark, record(2, source="s7")), path)
+    assert len({os.path.dirname(f) for f in before - files()}) == 1
+    assert {(r.source, r.line_id) for r in tables.read_raw_logs(spark, path).collect()} == {
+        (s, 2 if s == "s7" else 1) for s in sources
+    }
 
 
 def test_replace_source_keeps_the_others(spark, path):
