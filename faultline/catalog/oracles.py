@@ -342,12 +342,19 @@ FROM scored"""),
         "parse_strict": _with(
             SCORED, "SELECT line_id, substr(stamp, 12) AS \"timestamp\", level, message FROM scored"
         ),
-        "csv_log_scan": _with(RAW, 'SELECT source, "timestamp", level, message FROM raw'),
+        "csv_log_scan": _with(RAW, 'SELECT source, "timestamp", level, message, CAST(1 AS BIGINT) AS first_line FROM raw'),
+        "directory_ingest": _with(RAW, """
+SELECT source, 'whole' AS status, count(*) AS n, count(*) AS stored,
+  CAST(count(DISTINCT CASE WHEN source IN ('src0.log', 'src1.log') THEN message ELSE raw_log END) AS BIGINT) AS messages,
+  min(CASE WHEN source IN ('src0.log', 'src1.log') THEN level ELSE 'INFO' END) AS least_level
+FROM raw JOIN (SELECT line_id, raw_log FROM scored) USING (line_id) GROUP BY 1"""),
         "ingest_counts": _with(SCORED, "SELECT log_source AS source, count(*) AS n FROM scored GROUP BY 1"),
         "raw_append": _with(RAW, """
-SELECT line_id, "timestamp", level, message, source, strptime("timestamp", '%Y-%m-%d %H:%M:%S') AS ts
+SELECT line_id, "timestamp", level, message, source, strptime("timestamp", '%Y-%m-%d %H:%M:%S') AS ts,
+  count(*) OVER () AS n_ids, count(*) OVER () AS id_span
 FROM raw"""),
-        "replace_source": _with(RAW, 'SELECT line_id, "timestamp", level, message, source FROM raw'),
+        "replace_source": _with(RAW, """
+SELECT line_id, "timestamp", level, message, source, count(*) OVER () AS n_ids, count(*) OVER () AS id_span FROM raw"""),
         "clear_source": _with(
             RAW, "SELECT source, count(*) AS n FROM raw WHERE source <> 'src0.log' GROUP BY 1"
         ),

@@ -89,7 +89,9 @@ def csv_log_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         .csv(path)
     )
     records = _named_source(scan.scan_csv_records(spark, path))
-    return records.select("source", "timestamp", "level", "message")
+    # Each source is one file or more; its records are numbered from 1 in each of them.
+    numbered = records.groupBy("source").agg(F.min("line_id").alias("first_line"))
+    return records.select("source", "timestamp", "level", "message").join(F.broadcast(numbered), "source")
 
 
 def ingest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,22 +103,36 @@ def ingest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def directory_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every source as a folder of CSV files, ingested into a table; files of one source are added up."""
-    path = scratch_path(spark, "dir")
-    (
-        fx.logs(spark, sf_dir).select("raw_log", "log_source").write.partitionBy("log_source")
-        .option("header", "true").option("escape", '"').csv(path)
+    """A folder of text files (sources 0 and 1) and CSV files (2 and 3), ingested twice into a table.
+
+    Rows of each source by status, with what the table then holds; files of one source are added up.
+    """
+    path, table = scratch_path(spark, "dir"), scratch_path(spark, "raw")
+    rows = fx.logs(spark, sf_dir).select("raw_log", "log_source")
+    text = F.col("log_source").isin("src0.log", "src1.log")
+    rows.where(text).write.partitionBy("log_source").text(f"{path}/text")
+    rows.where(~text).write.partitionBy("log_source").option("header", "true").option("escape", '"').csv(f"{path}/csv")
+    for _ in range(2):
+        files = ingest.ingest_directory(spark, path, table, fx.INGEST_TS, logs="*.txt")
+    files = _named_source(files).groupBy("source", "status").agg(F.sum("n").alias("n"))
+    stored = _named_source(tables.read_raw_logs(spark, table)).groupBy("source").agg(
+        F.count(F.lit(1)).alias("stored"), F.count_distinct("message").alias("messages"), F.min("level").alias("least_level")
     )
-    files = _named_source(ingest.ingest_directory(spark, path, scratch_path(spark, "raw"), fx.INGEST_TS))
-    return files.groupBy("source", "status").agg(F.sum("n").alias("n"))
+    return files.join(stored, "source")
+
+
+def _with_ids(rows: DataFrame) -> DataFrame:
+    """Rows with the number of ids that differ and the span of the ids, which are one without gaps."""
+    ids = rows.agg(F.count_distinct("id").alias("n_ids"), (F.max("id") - F.min("id") + 1).alias("id_span"))
+    return rows.drop("id").crossJoin(F.broadcast(ids))
 
 
 def raw_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "raw")
     tables.append_raw_logs(fx.raw_logs(spark, sf_dir).drop("id"), path)
-    return tables.read_raw_logs(spark, path).select(
-        "line_id", "timestamp", "level", "message", "source", "ts"
-    )
+    return _with_ids(tables.read_raw_logs(spark, path).select(
+        "id", "line_id", "timestamp", "level", "message", "source", "ts"
+    ))
 
 
 def replace_source(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,9 +140,9 @@ def replace_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = fx.raw_logs(spark, sf_dir).drop("id")
     tables.replace_sources(records, path)
     tables.replace_sources(records, path)
-    return tables.read_raw_logs(spark, path).select(
-        "line_id", "timestamp", "level", "message", "source"
-    )
+    return _with_ids(tables.read_raw_logs(spark, path).select(
+        "id", "line_id", "timestamp", "level", "message", "source"
+    ))
 
 
 def clear_source(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,16 +9,16 @@ from faultline.sources import scan, tables
 
 
 def ingest_directory(
-    spark: SparkSession, path, table: str, ingest_ts: Column | str, dry_run: bool = False
+    spark: SparkSession, path, table: str, ingest_ts: Column | str, dry_run: bool = False,
+    logs: str = "*.log", csv: str = "*.csv",
 ) -> DataFrame:
-    """(source, status, n) of every ``*.log`` and ``*.csv`` file; whole ones replace their source in the table.
+    """(source, status, n) of every log and CSV file (by the patterns of their names); whole ones replace their source in the table.
 
     Failed files give no rows and leave the table's rows of their source as they are. A dry run
     only counts.
     """
-    status = cut(scan.directory_status(spark, path))
-    whole = [r.source for r in status.where("status = 'whole'").select("source").toLocalIterator()]
-    records = scan.scan_files(spark, whole, ingest_ts)
+    status = cut(scan.directory_status(spark, path, logs, csv))
+    records = scan.scan_directory(spark, path, ingest_ts, status, logs, csv)
     if not dry_run:
         records = cut(records)
         tables.replace_sources(records, table)

@@ -8,8 +8,6 @@ before the split is a prefix sum over the (small) table of splits.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
-from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
@@ -17,6 +15,7 @@ from faultline import fixed
 from faultline.functions.levels import parse_header
 from faultline.functions.text import strip
 from faultline.session import cut
+from faultline.sources import csv_records
 
 _IN_TASK = (1 << 33) - 1
 BROADCAST_SPLITS = 1_000_000
@@ -32,10 +31,22 @@ def _pin_splits(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.files.minPartitionNum", str(cores))
 
 
-def _number(lines: DataFrame, whole: bool) -> DataFrame:
+def _only(splits: DataFrame, whole_files: DataFrame | None, lines: str) -> DataFrame:
+    """The splits of the files named in ``whole_files`` (source, lines), which must have that many lines."""
+    if whole_files is None:
+        return splits
+    known = whole_files.select(F.col("source").alias("_file"), F.col("lines").alias("_told"))
+    seen = F.sum(lines).over(W.partitionBy("_file"))
+    same = F.when(seen == F.col("_told"), F.col(lines)).otherwise(
+        F.raise_error(F.concat(F.lit("a file changed or can no longer be read: "), F.col("_file"))).cast("long")
+    )
+    return splits.join(known, "_file").withColumn(lines, same).drop("_told")
+
+
+def _number(lines: DataFrame, whole: bool, whole_files: DataFrame | None = None) -> DataFrame:
     """Add ``line_id`` to rows of a file scan that carry ``_file`` and ``_start``.
 
-    ``whole`` numbers all files as one log, in path order.
+    ``whole`` numbers all files as one log, in path order. ``whole_files`` leaves out all others.
     """
     placed = lines.withColumn("_task", F.spark_partition_id()).withColumn(
         "_at", F.monotonically_increasing_id().bitwiseAND(F.lit(_IN_TASK))
@@ -43,6 +54,7 @@ def _number(lines: DataFrame, whole: bool) -> DataFrame:
     splits = placed.groupBy("_file", "_start", "_task").agg(
         F.min("_at").alias("_base"), F.count(F.lit(1)).alias("_n")
     )
+    splits = _only(splits, whole_files, "_n")
     scope = W.partitionBy() if whole else W.partitionBy("_file")
     before = scope.orderBy("_file", "_start").rowsBetween(W.unboundedPreceding, -1)
     splits = cut(
@@ -56,6 +68,10 @@ def _number(lines: DataFrame, whole: bool) -> DataFrame:
     if splits.count() <= BROADCAST_SPLITS:
         splits = F.broadcast(splits)
     joined = placed.join(splits, ["_file", "_start", "_task"], "left")
+    if whole_files is not None:
+        # Splits of the files left out have no row in the table on purpose.
+        kept = whole_files.select(F.col("source").alias("_file"))
+        joined = joined.join(kept, "_file", "left_semi")
     line_id = F.col("_before") + F.col("_at") - F.col("_base") + 1
     # A split that moved between the passes must not go unnoticed.
     checked = F.coalesce(line_id, F.raise_error(F.lit("file splits changed during the scan")).cast("long"))
@@ -72,9 +88,10 @@ def _file_name(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+)$", 1)
 
 
-def _read_lines(spark: SparkSession, path, glob: str | None) -> DataFrame:
+def _read_lines(spark: SparkSession, path, glob: str | None, tolerant: bool = False) -> DataFrame:
+    """``tolerant`` ends a damaged file at the damage; the caller must leave such files out."""
     _pin_splits(spark)
-    reader = spark.read.option("recursiveFileLookup", "true")
+    reader = spark.read.option("recursiveFileLookup", "true").option("ignoreCorruptFiles", str(tolerant).lower())
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     return reader.text(path).select(
@@ -90,14 +107,15 @@ def scan_lines(
     path,
     glob: str | None = None,
     as_one_log: bool = False,
+    whole_files: DataFrame | None = None,
 ) -> DataFrame:
     """(source, file_name, line_id, raw_log): non-blank lines, stripped.
 
     ``line_id`` is the physical 1-based line number of the file, so blank lines
     leave gaps. ``source`` is the full file path. ``as_one_log`` numbers the files
-    of a directory as the parts of one log.
+    of a directory as the parts of one log. ``whole_files`` (``file_status``) reads only those.
     """
-    lines = _number(_read_lines(spark, path, glob), as_one_log)
+    lines = _number(_read_lines(spark, path, glob, whole_files is not None), as_one_log, whole_files)
     text = strip(_valid_text(F.col("value")))
     return (
         lines.select(
@@ -118,106 +136,52 @@ def with_header(lines: DataFrame, ingest_ts: Column | str, extended: bool = Fals
 
 
 def scan_log_records(
-    spark: SparkSession, path, ingest_ts: Column | str, glob: str | None = "*.log"
+    spark: SparkSession, path, ingest_ts: Column | str, glob: str | None = "*.log", whole_files: DataFrame | None = None
 ) -> DataFrame:
     """Log files as raw-log records: source, line_id, timestamp, level, message."""
-    records = with_header(scan_lines(spark, path, glob), ingest_ts)
+    records = with_header(scan_lines(spark, path, glob, whole_files=whole_files), ingest_ts)
     return records.select("source", "line_id", "timestamp", "level", "message")
 
 
-@dataclass(frozen=True)
-class _CsvGroup:
-    header: str
-    multi_line: bool
-    files: list[str]
-
-
-def _csv_groups(spark: SparkSession, path, glob: str | None) -> list[_CsvGroup]:
-    """Files by header line and by whether a quoted field spans lines.
+def scan_csv_records(
+    spark: SparkSession, path, glob: str | None = "*.csv", whole_files: DataFrame | None = None
+) -> DataFrame:
+    """CSV files with a header as raw-log records, one plan for any number of files and headers.
 
-    A line with an odd number of quotes opens or closes a field that spans lines;
-    only such files need the unsplittable multi-line reader.
+    The message is the ``message`` column, else ``raw_log``; rows without one are
+    dropped, but still counted in ``line_id`` (the 1-based data row). Of columns with one name
+    the last counts, missing ones are empty. Files are split, also where quoted fields hold line breaks.
     """
-    lines = _read_lines(spark, path, glob).withColumn(
-        "_at", F.monotonically_increasing_id()
+    lines = _read_lines(spark, path, glob, whole_files is not None).select(
+        "_file", "_start", _valid_text(F.col("value")).alias("value")
     )
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    per_file = lines.groupBy("_file").agg(
-        F.min_by("value", F.struct("_start", "_at")).alias("header"),
-        F.max(quotes % 2).alias("odd"),
+    splits = _only(csv_records.split_table(lines), whole_files, "lines")
+    near = splits.count() <= BROADCAST_SPLITS
+    found = csv_records.records(lines, splits, near)
+    # One header a file, at the first split that holds one or in the pieces of a longer one.
+    first = splits.where("header is not null").select("_file", "header").unionByName(
+        found.where("number = 1").select("_file", F.col("fields").alias("header"))
     )
-    groups: dict[tuple[str, bool], list[str]] = {}
-    for row in per_file.toLocalIterator():
-        groups.setdefault((row.header, row.odd == 1), []).append(row._file)
-    return [_CsvGroup(header, odd, files) for (header, odd), files in sorted(groups.items())]
-
-
-def scan_csv_records(spark: SparkSession, path, glob: str | None = "*.csv") -> DataFrame:
-    """CSV files with a header as raw-log records.
-
-    The message is the ``message`` column, else ``raw_log``; rows without one are
-    dropped, but still counted in ``line_id`` (the 1-based data row).
-    """
-    parts = []
-    for group in _csv_groups(spark, path, glob):
-        names = spark.range(1).select(F.from_csv(F.lit(group.header), _csv_schema(group.header))).first()[0]
-        columns = [str(name) for name in names]
-        schema = ", ".join(f"`c{place}` string" for place in range(len(columns)))
-        rows = (
-            spark.read.schema(schema)
-            .option("header", "true")
-            .option("enforceSchema", "true")
-            .option("multiLine", str(group.multi_line).lower())
-            .option("quote", '"')
-            .option("escape", '"')
-            .csv(_as_paths(group.files))
-            .select(
-                "*",
-                F.col("_metadata.file_path").alias("_file"),
-                F.col("_metadata.file_block_start").alias("_start"),
-            )
-        )
-        numbered = _number(rows, whole=False)
-        position = {name: F.col(f"c{place}") for place, name in reversed(list(enumerate(columns)))}
-
-        def column(name: str) -> Column:
-            value = F.coalesce(position.get(name, F.lit(None).cast("string")), F.lit(""))
-            # The reader's mark for bytes that are not UTF-8; they are dropped as in logs.
-            return F.replace(value, F.lit("\ufffd"), F.lit(""))
-
-        message = strip(F.coalesce(F.nullif(column("message"), F.lit("")), column("raw_log")))
-        level = F.upper(F.coalesce(F.nullif(column("level"), F.lit("")), F.lit("INFO")))
-        parts.append(
-            numbered.select(
-                F.col("_file").alias("source"),
-                "line_id",
-                column("timestamp").alias("timestamp"),
-                level.alias("level"),
-                message.alias("message"),
-            ).where(F.col("message") != "")
-        )
-    if not parts:
-        return spark.createDataFrame(
-            [], "source string, line_id long, timestamp string, level string, message string"
-        )
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
-def _csv_schema(header: str) -> str:
-    return ", ".join(f"`h{place}` string" for place in range(header.count(",") + 1))
+    headers = cut(first.dropDuplicates(["_file"]))
+    rows = found.where("number > 1").join(F.broadcast(headers) if near else headers, "_file")
 
+    def column(name: str) -> Column:
+        place = F.size("header") - F.array_position(F.reverse("header"), F.lit(name))
+        missing = F.array_position("header", F.lit(name)) == 0
+        return F.when(missing, F.lit("")).otherwise(F.coalesce(F.get("fields", place.cast("int")), F.lit("")))
 
-def _as_paths(files: list[str]) -> list[str]:
-    """Paths for a reader from the encoded ones that the scan gives; no character is a wildcard."""
-    return [re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(f)) for f in files]
+    message = strip(F.coalesce(F.nullif(column("message"), F.lit("")), column("raw_log")))
+    level = F.upper(F.coalesce(F.nullif(column("level"), F.lit("")), F.lit("INFO")))
+    return rows.select(
+        F.col("_file").alias("source"), (F.col("number") - 1).alias("line_id"),
+        column("timestamp").alias("timestamp"), level.alias("level"), message.alias("message"),
+    ).where(F.col("message") != "")
 
 
 def file_status(spark: SparkSession, path, glob: str) -> DataFrame:
-    """(source, status) of every file: whole, or failed if its bytes can't all be read.
+    """(source, status, lines) of every file: whole, or failed if its bytes can't all be read.
 
+    ``lines`` counts what a scan takes for lines. The names come from the scan's own list of files.
     A reader that ends at the first damage is measured: the lines and their ends must
     be as long as the file. It leaves out a byte order mark of three bytes.
     """
@@ -229,41 +193,38 @@ def file_status(spark: SparkSession, path, glob: str) -> DataFrame:
     sizes = reader.format("binaryFile").load(path).select(
         F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_size").alias("size")
     )
+    # A scan also ends lines at carriage returns that no line feed follows.
+    inner = F.regexp_replace("value", "\r$", "")
+    returns = F.octet_length(inner) - F.octet_length(F.replace(inner, F.lit("\r"), F.lit("")))
     read = lines.groupBy(F.col("_metadata.file_path").alias("source")).agg(
-        F.sum(F.octet_length("value") + 1).alias("read")
+        F.sum(F.octet_length("value") + 1).alias("read"), F.sum(returns + 1).alias("lines")
     )
     missing = F.coalesce("size", F.lit(0)) - F.coalesce("read", F.lit(0))
     # No end behind the last line: one byte less than counted.
     status = F.when(missing.isin(-1, 0, 2, 3), "whole").otherwise("failed")
-    return files.join(sizes, "source", "left").join(read, "source", "left").select("source", status.alias("status"))
-
-
-def scan_files(spark: SparkSession, files: list[str], ingest_ts: Column | str) -> DataFrame:
-    """The ``*.log`` and ``*.csv`` files among ``files``, as the scan names them, as raw-log records.
-
-    A file that can't be read to its end is an error.
-    """
-    logs = [f for f in _as_paths(files) if f.endswith(".log")]
-    tables = [f for f in _as_paths(files) if f.endswith(".csv")]
-    none = spark.createDataFrame(
-        [], "source string, line_id long, timestamp string, level string, message string"
+    return files.join(sizes, "source", "left").join(read, "source", "left").select(
+        "source", status.alias("status"), F.coalesce("lines", F.lit(0)).alias("lines")
     )
-    out = scan_log_records(spark, logs, ingest_ts) if logs else none
-    return out.unionByName(scan_csv_records(spark, tables)) if tables else out
 
 
-def directory_status(spark: SparkSession, path) -> DataFrame:
-    """``file_status`` of all ``*.log`` and ``*.csv`` files below a directory."""
-    return file_status(spark, path, "*.{log,csv}")
+def directory_status(spark: SparkSession, path, logs: str = "*.log", tables: str = "*.csv") -> DataFrame:
+    """``file_status`` of all log and CSV files below a directory."""
+    return file_status(spark, path, f"{{{logs},{tables}}}")
 
 
-def scan_directory(spark: SparkSession, path, ingest_ts: Column | str) -> DataFrame:
-    """All ``*.log`` and ``*.csv`` files below a directory as raw-log records.
+def scan_directory(
+    spark: SparkSession, path, ingest_ts: Column | str, status: DataFrame | None = None,
+    logs: str = "*.log", tables: str = "*.csv",
+) -> DataFrame:
+    """All log and CSV files below a directory, by the patterns of their names, as raw-log records.
 
-    A file that can't be read whole is left out whole and does not stop the others.
+    A file that can't be read whole, by ``status`` (``directory_status``), is left out whole
+    and does not stop the others. One that can no longer be read as it was then is an error.
     """
-    whole = directory_status(spark, path).where("status = 'whole'")
-    return scan_files(spark, [r.source for r in whole.toLocalIterator()], ingest_ts)
+    status = cut(directory_status(spark, path, logs, tables)) if status is None else status
+    whole = status.where("status = 'whole' and lines > 0").select("source", "lines")
+    records = scan_log_records(spark, path, ingest_ts, logs, whole)
+    return records.unionByName(scan_csv_records(spark, path, tables, whole))
 
 
 def ingest_counts(records: DataFrame) -> DataFrame:

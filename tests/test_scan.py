@@ -1,4 +1,5 @@
 import csv
+import random
 
 import pytest
 
@@ -56,10 +57,11 @@ def write_csv(path, header, rows):
 def expected_csv(path):
     out = []
     with open(path, newline="", encoding="utf-8") as f:
-        for i, row in enumerate(csv.DictReader(f), 1):
+        # Blank lines above the header are no header.
+        for i, row in enumerate(csv.DictReader(f.read().lstrip("\n").splitlines(keepends=True)), 1):
             message = (row.get("message") or row.get("raw_log") or "").strip()
             if message:
-                out.append((path.name, i, row.get("timestamp", ""), (row.get("level") or "INFO").upper(), message))
+                out.append((path.name, i, row.get("timestamp") or "", (row.get("level") or "INFO").upper(), message))
     return out
 
 
@@ -73,6 +75,31 @@ def test_csv_of_several_shapes(spark, tmp_path, small_splits):
     assert sorted((r.source.rsplit("/", 1)[1], r.line_id, r.timestamp, r.level, r.message) for r in got) == sorted(want)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_csv_split_anywhere(spark, tmp_path, small_splits, seed):
+    """Line breaks and quotes in fields, many headers, blank lines, rows too short and too long."""
+    rnd = random.Random(seed)
+    piece = lambda: rnd.choice(["a", "b,", '"', '""', "\n", " ", "é", "\ufffd", "x" * 30, ",", "\n\n", 'say "no"'])
+    for name in "abcde":
+        header = rnd.sample(["timestamp", "level", "message", "raw_log", "extra, one", 'odd "x"'], rnd.randint(1, 6))
+        header += ["message"] * (name == "e")
+        rows = [["".join(piece() for _ in range(rnd.randint(0, 6))) for _ in range(max(1, len(header) + rnd.choice([-1, 0, 0, 1])))] for _ in range(rnd.randint(0, 25))]
+        with open(tmp_path / f"{name}.csv", "w", newline="", encoding="utf-8") as f:
+            out = csv.writer(f, lineterminator="\n")
+            f.write("\n" * rnd.choice([0, 0, 40]))
+            out.writerow(header)
+            for row in rows:
+                out.writerow(row)
+                f.write("\n" * rnd.choice([0, 0, 0, 2]))
+            # A quote that opens no field, and one that is never closed.
+            f.write('5" disk,in 3" bay\n')
+            f.write('last,"not closed' * rnd.choice([0, 1]))
+    (tmp_path / "none.csv").write_text("\n\n")
+    got = scan.scan_csv_records(spark, str(tmp_path)).collect()
+    want = [r for name in "abcde" for r in expected_csv(tmp_path / f"{name}.csv")]
+    assert sorted((r.source.rsplit("/", 1)[1], r.line_id, r.timestamp, r.level, r.message) for r in got) == sorted(want)
+
+
 def test_directory_ingest_counts(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub" / "a.log").write_text("2026-01-15 12:34:56 ERROR x\n\nplain\n")
