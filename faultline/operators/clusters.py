@@ -8,6 +8,7 @@ from faultline import fixed
 from faultline.functions.text import embeddable
 from faultline.operators.centroids import kmeans, reduced_kmeans
 from faultline.operators.density import dbscan
+from faultline.operators.lookup import lookup
 from faultline.operators.features import VECTOR, fit_vocabulary, vectorize
 from faultline.session import cut
 
@@ -40,11 +41,9 @@ def attach_statistical_label(
     logs: DataFrame, vectors: DataFrame, labels: DataFrame
 ) -> DataFrame:
     """Put the label of its template on every row, as ``dbscan_cluster``."""
-    by_text = vectors.join(labels, "vec_id").select(
-        F.col("text").alias("_key"), F.col("label").alias("dbscan_cluster")
-    )
+    by_text = vectors.join(labels, "vec_id").select("text", F.col("label").alias("dbscan_cluster"))
     key: Column = F.coalesce(F.col("event_template"), F.lit(""))
-    return logs.join(by_text, key == F.col("_key"), "left").drop("_key")
+    return lookup(logs.drop("dbscan_cluster"), by_text, {"text": key})
 
 
 def _numbered(texts: DataFrame) -> DataFrame:

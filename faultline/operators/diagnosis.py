@@ -10,6 +10,7 @@ from faultline import fixed
 from faultline.functions.levels import severity_label
 from faultline.functions.rules import recommended_action, rule_cause, rule_family
 from faultline.functions.text import embeddable
+from faultline.operators.lookup import lookup
 from faultline.operators.features import fit_vocabulary, vectorize
 from faultline.operators.filters import is_alert
 from faultline.operators.similarity import embed
@@ -124,22 +125,15 @@ def attach_diagnosis(logs: DataFrame, diagnosis: DataFrame) -> DataFrame:
     # would gather most of the table in a single task.
     spread = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64("line_id"), F.lit(4096)).cast("string"))
     key = F.when(alert, F.coalesce(F.col("event_template"), F.lit(""))).otherwise(spread)
-    looked_up = logs.withColumn("_key", key).join(
-        diagnosis.select(
-            F.col("text").alias("_key"),
-            F.col("root_cause").alias("_cause"),
-            F.col("recommendation").alias("_action"),
-        ),
-        "_key",
-        "left",
-    )
+    table = diagnosis.select("text", F.col("root_cause").alias("_cause"), F.col("recommendation").alias("_action"))
+    looked_up = lookup(logs, table, {"text": key})
     cause = F.when(alert, F.col("_cause"))
     action = F.when(alert, F.col("_action"))
     return (
         looked_up.withColumn("root_cause", F.coalesce(cause, F.lit(fixed.NORMAL_CAUSE)))
         .withColumn("recommendation", F.coalesce(action, F.lit(fixed.NORMAL_ACTION)))
         .withColumn("severity_label", severity_label(F.col("level")))
-        .drop("_key", "_cause", "_action")
+        .drop("_cause", "_action")
     )
 
 
@@ -168,11 +162,8 @@ def generate_alerts(
 
 def map_semantic(logs: DataFrame, clusters: DataFrame) -> DataFrame:
     """Template -> cluster lookup; templates without a cluster get -1."""
-    looked_up = logs.drop("semantic_cluster").join(
-        clusters.select(F.col("text").alias("_key"), F.col("label").alias("_label")),
-        F.coalesce(F.col("event_template"), F.lit("")) == F.col("_key"),
-        "left",
-    )
+    table = clusters.select("text", F.col("label").alias("_label"))
+    looked_up = lookup(logs.drop("semantic_cluster"), table, {"text": F.coalesce(F.col("event_template"), F.lit(""))})
     return looked_up.withColumn(
         "semantic_cluster", F.coalesce(F.col("_label"), F.lit(-1)).cast("int")
-    ).drop("_key", "_label")
+    ).drop("_label")

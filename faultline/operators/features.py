@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from faultline import fixed
 from faultline.functions.levels import severity_weight
 from faultline.functions.text import terms
+from faultline.operators.lookup import lookup
 
 VECTOR = "array<struct<i:int,w:double>>"
 
@@ -107,20 +108,19 @@ def long_form(vectors: DataFrame, vocabulary: DataFrame) -> DataFrame:
     )
 
 
+def row_features(logs: DataFrame) -> DataFrame:
+    """Add severity and message_length, which a row tells by itself."""
+    length = F.char_length(F.coalesce(F.col("clean_log"), F.col("raw_log"))).cast("double")
+    return logs.withColumn("severity", severity_weight(F.col("level"))).withColumn("message_length", length)
+
+
 def numeric_features(logs: DataFrame) -> DataFrame:
     """Add severity, template_frequency and message_length; a null template counts as a template."""
-    frequency = logs.groupBy(F.col("event_template").alias("_template")).agg(
-        F.count(F.lit(1)).cast("double").alias("template_frequency")
-    )
-    return (
-        logs.join(frequency, F.col("event_template").eqNullSafe(F.col("_template")))
-        .drop("_template")
-        .withColumn("severity", severity_weight(F.col("level")))
-        .withColumn(
-            "message_length",
-            F.char_length(F.coalesce(F.col("clean_log"), F.col("raw_log"))).cast("double"),
-        )
-    )
+    template = F.col("event_template")
+    # Nulls have a key of their own, which no template has.
+    key = F.coalesce(F.concat(F.lit("="), template), F.lit(""))
+    frequency = logs.groupBy(key.alias("_template")).agg(F.count(F.lit(1)).cast("double").alias("template_frequency"))
+    return row_features(lookup(logs.drop("template_frequency"), frequency, {"_template": key}))
 
 
 NUMERIC = ["severity", "template_frequency", "message_length"]

@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.errors import PythonException
+from pyspark.errors import AnalysisException, PythonException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from faultline import fixed
@@ -23,11 +23,13 @@ from faultline.operators.features import (
     distinct_texts,
     fit_vocabulary,
     numeric_features,
+    row_features,
     scaled_features,
     semantic_candidates,
     vectorize,
 )
 from faultline.operators.forest import detect, fit_forest, sample_rows, score_forest
+from faultline.operators.lookup import lookup
 from faultline.operators.quality import davies_bouldin, silhouette
 from faultline.operators.similarity import embed
 from faultline.operators.templates import mine_templates
@@ -79,21 +81,22 @@ def _on_group(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(right, same)
 
 
-def with_anomalies(
-    logs: DataFrame,
+def group_verdicts(
+    rows: DataFrame,
+    groups: DataFrame,
     vectors: DataFrame,
     width: int,
     contamination: float = fixed.CONTAMINATION,
     keys: tuple[str, ...] = ("log_source", "line_id"),
     trees: int = fixed.FOREST_TREES,
+    subsample: int = fixed.FOREST_SUBSAMPLE,
 ) -> DataFrame:
-    """Add is_anomaly and anomaly_score from the forest.
+    """Distinct feature rows with is_anomaly and anomaly_score.
 
     Rows with equal features score alike, so the forest sees each distinct feature
-    row once; its number of rows is the weight in the scaling and the percentile.
+    row of ``groups`` once; its number of rows, ``m``, is the weight in the scaling and the
+    percentile. ``rows`` has the keys and the features of every row; the training sample is drawn from it.
     """
-    rows = numeric_features(logs)
-    groups = cut(rows.groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("m")))
     features = (
         scaled_features(groups, "m")
         .withColumn("_key", F.coalesce(F.col("event_template"), F.lit("")))
@@ -102,51 +105,73 @@ def with_anomalies(
         .drop("_key")
     )
     features = cut(features.select(*_GROUP, "m", "vec", "numeric"))
-
     # A fixed-size sample: at most trees x subsample rows.
-    sample = sample_rows(
-        rows.select(*keys, *_GROUP), list(keys), trees * fixed.FOREST_SUBSAMPLE, fixed.SEED
-    )
+    sample = cut(sample_rows(rows.select(*keys, *_GROUP), list(keys), trees * subsample, fixed.SEED))
     drawn = cut(
         _on_group(features, sample).select(*[sample[k] for k in keys], "vec", "numeric")
     )
     model = fit_forest(drawn, list(keys), width, trees)
-    per_tree = min(fixed.FOREST_SUBSAMPLE, drawn.count())
+    per_tree = min(subsample, drawn.count())
     scored = cut(score_forest(features, model, width, per_tree).drop("vec", "numeric"))
-    verdicts = detect(scored, "m", contamination).drop("m")
+    return detect(scored, "m", contamination).drop("m")
+
+
+def with_anomalies(
+    logs: DataFrame,
+    vectors: DataFrame,
+    width: int,
+    contamination: float = fixed.CONTAMINATION,
+    keys: tuple[str, ...] = ("log_source", "line_id"),
+    trees: int = fixed.FOREST_TREES,
+    subsample: int = fixed.FOREST_SUBSAMPLE,
+) -> DataFrame:
+    """Add is_anomaly and anomaly_score from the forest."""
+    rows = numeric_features(logs)
+    # What the forest needs of a row is written once, not worked out for each of its uses.
+    narrow = cut(rows.select(*keys, *_GROUP))
+    groups = cut(narrow.groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("m")))
+    verdicts = group_verdicts(narrow, groups, vectors, width, contamination, keys, trees, subsample)
     extra = [verdicts["is_anomaly"], verdicts["anomaly_score"]]
     kept = [rows[c] for c in rows.columns if c not in NUMERIC]
     return _on_group(rows, verdicts).select(*kept, *extra)
 
 
-def with_semantics(
-    logs: DataFrame,
-    encode: Callable[[list[str]], object] | None = None,
-    limit: int | None = None,
+def semantic_labels(
+    candidates: DataFrame, encode: Callable[[list[str]], object] | None = None
 ) -> tuple[DataFrame, str]:
-    """Add semantic_cluster; an embedder that fails falls back to TF-IDF."""
-    column = "event_template" if "event_template" in logs.columns else "clean_log"
-    named = logs.withColumn("event_template", F.col(column))
-    candidates = cut(semantic_candidates(named, limit))
+    """(text, label) of the templates and the backend; an embedder that fails falls back to TF-IDF."""
     backend = "tfidf"
-    clusters = None
     if encode is not None:
         try:
             embedded = cut(
                 embed(candidates.withColumnRenamed("first_line", "vec_id"), encode)
             )
             labels = semantic_clusters_dense(embedded.select("vec_id", "embedding"))
-            clusters = cut(embedded.join(labels, "vec_id").select("text", "label"))
-            backend = "embedder"
+            return cut(embedded.join(labels, "vec_id").select("text", "label")), "embedder"
         except PythonException:
             # Only a fault of the caller's function; anything else ends the run.
             backend = "tfidf (embedder failed)"
-    if clusters is None:
-        clusters = cut(semantic_clusters(candidates))
+    return cut(semantic_clusters(candidates)), backend
+
+
+def with_semantics(
+    logs: DataFrame,
+    encode: Callable[[list[str]], object] | None = None,
+    limit: int | None = None,
+) -> tuple[DataFrame, str]:
+    """Add semantic_cluster; an embedder that fails falls back to TF-IDF."""
+    column = "event_template" if "event_template" in logs.columns else "clean_log"
+    named = logs.withColumn("event_template", F.col(column))
+    clusters, backend = semantic_labels(cut(semantic_candidates(named, limit)), encode)
     mapped = map_semantic(named, clusters)
     return (mapped if column == "event_template" else mapped.drop("event_template")), backend
 
 
+def _keyed(kinds: DataFrame) -> DataFrame:
+    """Groups with a stand-in for a line id, which the lookups use to deal out rows."""
+    return kinds.withColumn("line_id", F.xxhash64("event_template", "level", "message_length"))
+
+
 def run(
     spark: SparkSession,
     path: str,
@@ -196,28 +221,44 @@ def run_on(
     run_id = f"run_{uuid.uuid4().hex[:8]}"
     if lines.isEmpty():
         raise ValueError("the log is empty or has no valid lines")
-    parsed = cut(parse(lines))
+    parsed = cut(row_features(parse(lines)))
     vectors, vocabulary = template_vectors(parsed)
     width = vocabulary.count()
 
-    scored = with_anomalies(parsed, vectors, width, contamination)
+    # All that is found out is the same for rows of one template, level and length. One table
+    # of these groups collects it and meets the rows once.
+    template = F.coalesce(F.col("event_template"), F.lit(""))
+    frequency = vectors.select(F.col("text").alias("_text"), F.col("m").cast("double").alias("template_frequency"))
+    kinds = parsed.groupBy("event_template", "level", "severity", "message_length").agg(F.count(F.lit(1)).alias("m"))
+    kinds = cut(kinds.join(frequency, template == F.col("_text")).drop("_text"))
+    groups = cut(kinds.groupBy(*_GROUP).agg(F.sum("m").alias("m")))
+    told = {"_text": template}
+    rows = lookup(parsed.select("log_source", "line_id", "event_template", "severity", "message_length"), frequency, told)
+    verdicts = group_verdicts(rows, groups, vectors, width, contamination)
     labels, backend = statistical_clusters(vectors, width, method, eps, min_samples, n_clusters)
     labels = cut(labels)
-    scored = cut(attach_statistical_label(scored, vectors, labels))
     points = vectors.join(labels, "vec_id").select("vec_id", "vec", "m", "label")
     shape = silhouette(points).first()[0]
     spread = davies_bouldin(points).first()[0]
+    texts = vectors.select("text", "m", F.col("vec_id").alias("first_line"))
+    clusters, semantic_backend = semantic_labels(texts, encode)
 
-    semantic, semantic_backend = with_semantics(scored, encode)
-    semantic = cut(semantic)
+    found = _on_group(kinds, verdicts).select(
+        kinds["event_template"], kinds["level"], kinds["message_length"], verdicts["is_anomaly"], verdicts["anomaly_score"]
+    )
+    found = cut(map_semantic(attach_statistical_label(_keyed(found), vectors, labels), clusters))
     # An embedder that failed on the templates is not tried again.
-    diagnosed = cut(generate_alerts(semantic, encode=encode if semantic_backend == "embedder" else None))
+    found = generate_alerts(found, encode=encode if semantic_backend == "embedder" else None).drop("line_id")
+    by = {c: F.col(c) for c in ("event_template", "level", "message_length")}
+    plain = parsed.drop("severity")
+    diagnosed = cut(lookup(plain, found, by).drop("message_length"))
 
     saved, error = 0, None
     if incidents_path:
         try:
             saved = save_incidents(diagnosed, incidents_path, log_source, run_id)
-        except Exception as failure:
+        except AnalysisException as failure:
+            # A path or table that can't be written to; a lost job ends the run.
             error = str(failure)
     if raw_path:
         # The lines of this run, under the source name that its incidents have.
