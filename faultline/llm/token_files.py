@@ -38,14 +38,14 @@ class Encoder:
 
     The vocabulary's pattern never joins characters across a blank between two other
     characters, so such texts fall into words that encode alike wherever they stand.
-    Texts with other blanks go to the library whole.
+    Texts with other blanks, and those that hold the string of an added token, go to the library whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.line_break = int(self._ids("\n")[0])
         self.line_bytes = self._ids("\n").tobytes()
         self.known: dict[str, bytes] = {}
@@ -69,7 +69,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         units: list[list[str] | None] = []
         for text in texts:
-            if not text or _IRREGULAR.search(text):
+            if not text or _IRREGULAR.search(text) or any(t in text for t in self.added):
                 units.append(None)
             else:
                 # A line break goes with the word behind it; two mark the first word, which has no space.

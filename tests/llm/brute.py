@@ -19,7 +19,6 @@ def token_rows(docs, vocabulary):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(vocabulary)
-    library.encode_special_tokens = True
     start, out = 0, []
     for doc_id, text in sorted(docs, key=lambda d: (d[0] is not None, d[0], d[1] or "")):
         ids = library.encode(text or "", add_special_tokens=False).ids + [0]

@@ -23,7 +23,7 @@ ODD = [
     (0, None, None), (1, "", "b"), (2, "one", "a"), (3, "one", "a"), (4, "two words", None),
     (5, "x " * 4000, "b"), (6, "unïcode   odd\xa0blank", "é"), (7, "  lead and trail  ", "Z"),
     (8, "tab\tand\n\n\nlines\n", "a"), (9, "I'm he'll\n it's", "a"), (10, "a\x00b \U0001f600", "c"),
-    (11, "\nfirst line", "c"), (12, "<|endoftext|> stays", "c"),
+    (11, "\nfirst line", "c"), (12, "<|endoftext|> stays", "c"), (13, "in<|endoftext|>side a text", "c"), (14, "<|endoftext|", "c"),
 ]
 MANY = [(i, " ".join(f"w{i * j % 97}" for j in range(i % 23)), f"s{i * i % 5}") for i in range(300)]
 
