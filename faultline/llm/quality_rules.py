@@ -66,24 +66,27 @@ def certify(
 ) -> dict[str, int]:
     """stratum -> strictest certified variant, from (false rejections, good) per variant, loosest first.
 
-    Holm's steps run over strata by the probability of their loosest variant; the
-    level a stratum passes at then serves its stricter variants in turn.
+    A graphical procedure: strata share the error evenly, and a stratum's whole share tests its
+    variants in turn, the next only once the one before is certified. A stratum that has all its
+    variants certified hands its share on, once, to the strata still at work.
     """
-    first = {s: binomial_tail(*v[0], limit) if v and v[0][0] <= limit * v[0][1] else 1.0 for s, v in tested.items()}
-    order = sorted(first, key=lambda s: (first[s], s))
-    out: dict[str, int] = {}
-    for i, stratum in enumerate(order):
-        level = error / (len(order) - i)
-        if first[stratum] > level:
-            break
-        # Stricter variants keep the stratum's share of the error, as in the first of Holm's steps.
-        share, held = error / len(order), 0
-        for number, (k, n) in enumerate(tested[stratum][1:], 1):
-            if k > limit * n or binomial_tail(k, n, limit) > share:
-                break
-            held = number
-        out[stratum] = held
-    return out
+    share = {s: error / len(tested) for s in tested}
+    at = {s: 0 for s, variants in tested.items() if variants}
+    active = sorted(at)
+    moved = True
+    while moved:
+        moved = False
+        for stratum in list(active):
+            k, n = tested[stratum][at[stratum]]
+            if k > limit * n or binomial_tail(k, n, limit) > share[stratum]:
+                continue
+            moved = True
+            at[stratum] += 1
+            if at[stratum] == len(tested[stratum]):
+                active.remove(stratum)
+                for other in active:
+                    share[other] += share[stratum] / len(active)
+    return {s: n - 1 for s, n in at.items() if n}
 
 
 def propose(tuning: DataFrame) -> list[dict[str, float]]:

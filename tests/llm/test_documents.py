@@ -267,7 +267,7 @@ def test_binomial_bound():
     plain = sum(math.comb(30, i) * 0.1**i * 0.9 ** (30 - i) for i in range(3))
     assert quality_rules.binomial_tail(2, 30, 0.1) == pytest.approx(plain)
     assert quality_rules.binomial_tail(0, 100, 0.05) == pytest.approx(0.95**100)
-    # Holm: the least likely stratum at a third of the error, the next at a half, and none behind one that fails.
+    # Each stratum at its share of the error, and what a finished one hands on.
     assert quality_rules.certify({"a": [(0, 100), (4, 100)], "b": [(0, 60)], "c": [(9, 100)]}) == {"a": 0}
     assert quality_rules.certify({"a": [(0, 100), (0, 100)], "b": [(0, 60)]}) == {"a": 1, "b": 0}
     assert "c" not in quality_rules.certify({"a": [(0, 100)], "c": [(9, 100)]})
