@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from faultline.llm.shared import WORD, running_sum
+from faultline.llm.shared import WORD, free_names, running_sum
 from faultline.session import cut
 
 MOST_EPOCHS = 3
@@ -104,15 +104,18 @@ def mix(docs: DataFrame, seed: int = 17) -> DataFrame:
 def repeated_rows(docs: DataFrame, seed: int = 17) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it; rows without words go.
 
-    Of rows that repeat id, text and source, one carries the copies of all.
+    Of rows that repeat id, text and source, one carries the copies of all. Null ids and sources
+    count as in ``mix``; an empty table gives no rows and other columns may have any name.
     """
     rows = cut(sized_rows(docs, seed))
     _, copies = fair_queue(rows, seed)
     times = copies.join(rows.select("row", "doc_id", "digest"), "row")
-    times = times.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("_times"))
-    times = times.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_other"), "_times")
-    named = docs.withColumn("_digest", _digest())
-    joined = named.join(times, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_other")))
-    one = F.row_number().over(Window.partitionBy("doc_id", "_digest").orderBy("_digest")) == 1
-    joined = joined.withColumn("_one", one).where("_one")
-    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))).alias("_copy")).drop("_copy")
+    id, own, other, n, first, copy = free_names(docs, "_id", "_digest", "_other", "_times", "_first", "_copy")
+    times = times.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias(n))
+    times = times.select(F.col("doc_id").alias(id), F.col("digest").alias(other), n)
+    named = docs.withColumn(own, _digest())
+    joined = named.join(times, F.col("doc_id").eqNullSafe(F.col(id)) & (F.col(own) == F.col(other)))
+    one = F.row_number().over(Window.partitionBy("doc_id", own).orderBy(own)) == 1
+    joined = joined.withColumn(first, one).where(F.col(first))
+    each = F.explode(F.sequence(F.lit(1), F.col(n).cast("int"))).alias(copy)
+    return joined.select(*docs.columns, each).drop(copy)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from faultline.llm.components import components
-from faultline.llm.shared import slices
+from faultline.llm.shared import free_names, slices
 from faultline.session import cut
 
 SHINGLE = 5
@@ -344,14 +344,18 @@ def join(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stand for their component: the least id of each.
 
-    Of repeated rows one stays; texts without words and rows without an id stay as they are.
+    Of repeated rows one stays; null and wordless texts and rows without an id stay as they are.
+    An empty table gives no rows; other columns may have any name.
     """
     rows, parts = similar_nodes(docs)
     rows = rows.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     kept = rows.where("n > 0 and doc_id is not null").groupBy("component").agg(F.min(F.struct("doc_id", "hash")).alias("p"))
-    kept = kept.select(F.col("p.doc_id").alias("_d"), F.col("p.hash").alias("_h"))
-    named = docs.withColumns({"_hash": F.xxhash64("text"), "_alone": F.col("doc_id").isNull() | ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")})
-    joined = named.join(kept, (F.col("doc_id") == F.col("_d")) & (F.col("_hash") == F.col("_h")), "left")
-    alone = joined.where("_alone").select(*docs.columns)
-    chosen = joined.where("not _alone and _d is not null").dropDuplicates(["doc_id", "_hash"]).select(*docs.columns)
-    return alone.unionAll(chosen)
+    own_hash, alone, least, least_hash = free_names(docs, "_hash", "_alone", "_least", "_least_hash")
+    kept = kept.select(F.col("p.doc_id").alias(least), F.col("p.hash").alias(least_hash))
+    wordless = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    named = docs.withColumns({own_hash: F.xxhash64("text"), alone: F.col("doc_id").isNull() | wordless})
+    same = (F.col("doc_id") == F.col(least)) & (F.col(own_hash) == F.col(least_hash))
+    joined = named.join(kept, same, "left")
+    single = joined.where(F.col(alone)).select(*docs.columns)
+    chosen = joined.where(~F.col(alone) & F.col(least).isNotNull()).dropDuplicates(["doc_id", own_hash])
+    return single.unionAll(chosen.select(*docs.columns))

@@ -16,6 +16,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as ``df`` needs to have no such column."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def words(text: str | None) -> list[bytes]:
     """The words of a text as UTF-8; ``bytes.split`` parts at exactly the six blanks."""
     return text.encode("utf-8", "surrogatepass").split() if text else []

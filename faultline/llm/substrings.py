@@ -23,7 +23,7 @@ import zstandard
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, functions as F
 
-from faultline.llm.shared import slices, words
+from faultline.llm.shared import free_names, slices, words
 from faultline.session import cut
 
 WINDOW = 20
@@ -261,12 +261,13 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return found.mapInArrow(_find, "id bigint, hash bigint, spans binary")
 
 
-def _with_spans(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` with ``_spans``, the lists of their repeated word ranges or null."""
-    spans = cut(repeated_spans(docs)).distinct().groupBy("id", "hash").agg(F.collect_list("spans").alias("_spans"))
-    named = _identified(docs, {"id": "_id", "hash": "_hash"})
-    spans = spans.withColumnsRenamed({"id": "_id", "hash": "_hash"})
-    return named.join(spans, ["_id", "_hash"], "left").drop("_id", "_hash")
+def _with_spans(docs: DataFrame) -> tuple[DataFrame, str]:
+    """Rows of ``docs`` with the lists of their repeated word ranges, or null, and the name of that column."""
+    id, hash, found = free_names(docs, "_id", "_hash", "_spans")
+    spans = cut(repeated_spans(docs)).distinct().groupBy("id", "hash").agg(F.collect_list("spans").alias(found))
+    named = _identified(docs, {"id": id, "hash": hash})
+    spans = spans.withColumnsRenamed({"id": id, "hash": hash})
+    return named.join(spans, [id, hash], "left").drop(id, hash), found
 
 
 def kept_words(text: str | None, spans: list[bytes] | None) -> tuple[int, list[bytes]]:
@@ -304,7 +305,8 @@ def removal(docs: DataFrame) -> DataFrame:
             )
 
     kind = dict(docs.dtypes)["doc_id"]
-    return _with_spans(docs.select("doc_id", "text")).mapInArrow(
+    # Two columns clash with no helper's name.
+    return _with_spans(docs.select("doc_id", "text"))[0].mapInArrow(
         digest, f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string"
     )
 
@@ -312,15 +314,17 @@ def removal(docs: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated windows cut out of ``text`` and ``n_chars`` set anew.
 
-    Texts without repeats stay as they are. Kept words of the others are joined by a
-    space; rows that lose every word go.
+    Texts without repeats, null and empty ones too, stay as they are. Kept words of the others are
+    joined by a space; rows that lose every word go. Ids, nulls and repeated rows count as in
+    ``removal``; an empty table gives no rows and other columns may have any name.
     """
     schema = docs.schema
+    marked, found = _with_spans(docs)
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches):
             texts, stays = [], []
-            for text, spans in zip(piece.column("text").to_pylist(), piece.column("_spans").to_pylist()):
+            for text, spans in zip(piece.column("text").to_pylist(), piece.column(found).to_pylist()):
                 if spans:
                     text = b" ".join(kept_words(text, spans)[1]).decode("utf-8", "surrogatepass")
                 texts.append(text)
@@ -332,9 +336,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                     column = pa.array(texts, pa.string())
                 elif field.name == "n_chars":
                     old = column.to_pylist()
-                    changed = piece.column("_spans").is_valid().to_pylist()
+                    changed = piece.column(found).is_valid().to_pylist()
                     column = pa.array([len(t) if c else o for t, o, c in zip(texts, old, changed)], column.type)
                 columns.append(column)
             yield pa.record_batch(columns, names=schema.names).filter(pa.array(stays))
 
-    return _with_spans(docs).mapInArrow(rewrite, schema)
+    return marked.mapInArrow(rewrite, schema)
