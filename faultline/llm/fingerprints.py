@@ -4,7 +4,9 @@ A fingerprint has 30 cells; each distinct paragraph adds its digest to three of
 (count, xor of digests, xor of checks). Subtracting two fingerprints leaves the
 paragraphs that differ, and peeling takes them out of cells that hold just one. Where
 too many differ to be peeled, the pair is sketched again, larger: digests are spread
-over blocks of cells, twice as many with every attempt. Only DataFrame functions are used.
+over blocks of cells, twice as many with every attempt. Only DataFrame functions are used;
+sketches are made and peeled inside the row of the two versions, so that texts are shuffled
+once, to meet their neighbours, and digests not at all.
 """
 
 from __future__ import annotations
@@ -18,7 +20,9 @@ from faultline.session import cut
 WIDTH = 10
 CELLS = 3 * WIDTH
 ROUNDS = 7
-LOAD = 6
+# The blocks of larger sketches are narrower, for so many digests each.
+BLOCK_WIDTH = 6
+LOAD = 4
 SEGMENTS = 64
 PARTS = 16
 # A line, cut after the first end of a sentence behind every 160 characters.
@@ -39,36 +43,54 @@ def _check(digest: Column) -> Column:
     return F.xxhash64(digest, F.lit(-1)).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def _places(digest: Column, salt: Column) -> list[Column]:
+def _places(digest: Column, salt: Column, width: int) -> list[Column]:
     return [
-        (F.pmod(F.xxhash64(digest, salt, F.lit(i)), F.lit(WIDTH)) + i * WIDTH).cast("int") for i in range(3)
+        (F.pmod(F.xxhash64(digest, salt, F.lit(i)), F.lit(width)) + i * width).cast("int") for i in range(3)
     ]
 
 
-def _entries(found: Column, salt: Column, sign: int) -> Column:
-    """Cell entries (i, n, x, c) of an array of digests."""
-    return F.flatten(
-        F.transform(
-            found,
-            lambda d: F.array(
-                *[
-                    F.struct(p.alias("i"), F.lit(sign).alias("n"), d.alias("x"), _check(d).alias("c"))
-                    for p in _places(d, salt)
-                ]
-            ),
-        )
-    )
+def _placed(found: Column, salt: Column, sign: int, width: int, blocks: Column | None = None) -> Column:
+    """Digests with their sign, check, three places and, if there are some, their block."""
 
+    def one(d: Column) -> Column:
+        p, q, r = _places(d, salt, width)
+        fields = [d.alias("d"), F.lit(sign).alias("s"), _check(d).alias("k"), p.alias("p"), q.alias("q"), r.alias("r")]
+        if blocks is not None:
+            fields.append(F.pmod(F.xxhash64(d, F.lit("block"), salt), blocks).cast("int").alias("b"))
+        return F.struct(*fields)
+
+    return F.transform(found, one)
+
+
+def _cells(placed: Column, width: int) -> Column:
+    """All cells, in their order, of an array of placed digests."""
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("c"))
+
+    def third(field: str, first: int) -> Column:
+        def cell(i: Column) -> Column:
+            def add(a: Column, e: Column) -> Column:
+                more = F.struct(
+                    (a["n"] + e["s"]).alias("n"), a["x"].bitwiseXOR(e["d"]).alias("x"), a["c"].bitwiseXOR(e["k"]).alias("c")
+                )
+                return F.when(e[field] == i, more).otherwise(a)
+
+            def named(t: Column) -> Column:
+                return F.struct(i.alias("i"), t["n"].alias("n"), t["x"].alias("x"), t["c"].alias("c"))
+
+            return F.aggregate(placed, start, add, named)
+
+        return F.transform(F.array(*[F.lit(first + k) for k in range(width)]), cell)
+
+    return F.concat(third("p", 0), third("q", width), third("r", 2 * width))
 
-def _sum_cells(entries: DataFrame, by: list[str]) -> DataFrame:
-    """One row for each cell of each key, with its fields added up."""
-    return entries.groupBy(*by, "e.i").agg(
-        F.sum("e.n").cast("int").alias("n"), F.bit_xor("e.x").alias("x"), F.bit_xor("e.c").alias("c")
-    )
 
+def _bind(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once."""
+    return F.transform(F.array(value), use)[0]
 
-def peel(cells: Column, salt: Column) -> Column:
-    """(cells left, found) of an array of cells; found has (d, s): digest and side, +1 the first, -1 the second."""
+
+def peel(cells: Column, salt: Column, width: int = WIDTH) -> Column:
+    """(cells left, found) of an array of cells, of which only those that are not empty are kept; found has (d, s): digest and side, +1 the first, -1 the second."""
 
     def pure(of: Column) -> Column:
         alone = F.filter(of, lambda c: (F.abs(c["n"]) == 1) & (c["c"] == _check(c["x"])))
@@ -76,7 +98,7 @@ def peel(cells: Column, salt: Column) -> Column:
 
     def placed(found: Column) -> Column:
         def one(p: Column) -> Column:
-            a, b, c = _places(p["d"], salt)
+            a, b, c = _places(p["d"], salt, width)
             return F.struct(
                 p["d"].alias("d"), p["s"].alias("s"), a.alias("p"), b.alias("q"), c.alias("r"), _check(p["d"]).alias("k")
             )
@@ -91,27 +113,37 @@ def peel(cells: Column, salt: Column) -> Column:
         )
         return F.when(here, left).otherwise(c)
 
+    def some(of: Column) -> Column:
+        return F.filter(of, lambda c: (c["n"] != 0) | (c["x"] != 0) | (c["c"] != 0))
+
     def step(state: Column, _: Column) -> Column:
-        # Arrays of one bind what is used twice; pure cells are found once in a round.
+        # Arrays of one bind what is used twice; pure cells are found once in a round, and
+        # when a round finds none the rest have nothing to do.
         def taken(s: Column) -> Column:
+            left = some(F.transform(s["cells"], lambda c: F.aggregate(s["pure"], c, without)))
             return F.struct(
-                F.transform(s["cells"], lambda c: F.aggregate(s["pure"], c, without)).alias("cells"),
+                left.alias("cells"),
                 F.concat(s["found"], F.transform(s["pure"], lambda p: F.struct(p["d"].alias("d"), p["s"].alias("s")))).alias("found"),
+                F.lit(True).alias("on"),
             )
 
-        held = F.struct(
-            state["cells"].alias("cells"), state["found"].alias("found"), placed(pure(state["cells"])).alias("pure")
-        )
-        return F.transform(F.array(held), taken)[0]
+        def last(s: Column) -> Column:
+            return F.struct(s["cells"].alias("cells"), s["found"].alias("found"), F.lit(False).alias("on"))
+
+        def tried(s: Column) -> Column:
+            held = F.struct(s["cells"].alias("cells"), s["found"].alias("found"), placed(pure(s["cells"])).alias("pure"))
+            return _bind(held, lambda h: F.when(F.size(h["pure"]) > 0, taken(h)).otherwise(last(h)))
+
+        return F.when(state["on"] & (F.size(state["cells"]) > 0), tried(state)).otherwise(state)
 
     start = F.struct(
-        cells.alias("cells"), F.array().cast("array<struct<d:bigint,s:int>>").alias("found")
+        some(cells).alias("cells"), F.array().cast("array<struct<d:bigint,s:int>>").alias("found"), F.lit(True).alias("on")
     )
     return F.aggregate(F.array(*[F.lit(i) for i in range(ROUNDS)]), start, step)
 
 
 def _clean(state: Column) -> Column:
-    return F.forall(state["cells"], lambda c: (c["n"] == 0) & (c["x"] == 0) & (c["c"] == 0))
+    return F.size(state["cells"]) == 0
 
 
 def as_text(cells: Column) -> Column:
@@ -183,7 +215,7 @@ def with_next(docs: DataFrame, paragraph: str = PARAGRAPH) -> DataFrame:
 
 
 def edited_rows(docs: DataFrame, paragraph: str = PARAGRAPH) -> DataFrame:
-    """Narrow rows: row, doc_id, n_chars, edited_sha256 and the digests own, edited and next."""
+    """Rows: row, doc_id, n_chars, edited_sha256 and the digests own, edited and next."""
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(
         F.substring("_text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("_next_text", F.lit(1), half)
@@ -195,26 +227,17 @@ def edited_rows(docs: DataFrame, paragraph: str = PARAGRAPH) -> DataFrame:
     )
 
 
+def sketch(found: Column) -> Column:
+    """The fingerprint of an array of digests: its cells as an array in their order."""
+    return _bind(_placed(found, F.lit(0), 1, WIDTH), lambda placed: _cells(placed, WIDTH))
+
+
 def fingerprints(rows: DataFrame, roles: list[str]) -> DataFrame:
     """row and, for each role (a column of digests), its cells as an array in their order."""
-    salt = F.lit(0)
-    zeros = F.array(
-        *[
-            F.struct(F.lit(i).alias("i"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("c"))
-            for i in range(CELLS)
-        ]
-    )
-    each = F.array(*[F.struct(F.lit(k).alias("role"), F.concat(zeros, _entries(F.col(r), salt, 1)).alias("e")) for k, r in enumerate(roles)])
-    spread = rows.select("row", *roles).repartition("row").select("row", F.explode(each).alias("r"))
-    spread = spread.select("row", F.col("r.role").alias("role"), F.explode("r.e").alias("e"))
-    cells = _sum_cells(spread, ["row", "role"])
-    cells = cells.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("role", "i", "n", "x", "c"))).alias("_all"))
-    plain = F.transform("_all", lambda c: F.struct(c["i"].alias("i"), c["n"].alias("n"), c["x"].alias("x"), c["c"].alias("c")))
-    cells = cells.select("row", plain.alias("_all"))
-    return cells.select("row", *[F.slice("_all", 1 + k * CELLS, CELLS).alias(r) for k, r in enumerate(roles)])
+    return rows.select("row", *[sketch(F.col(r)).alias(r) for r in roles])
 
 
-def _minus(a: str, b: str) -> Column:
+def _minus(a: Column, b: Column) -> Column:
     return F.zip_with(
         a, b,
         lambda x, y: F.struct(
@@ -224,57 +247,75 @@ def _minus(a: str, b: str) -> Column:
     )
 
 
+def _told(state: Column) -> Column:
+    """(found, ok) of a peeled state."""
+    return F.struct(state["found"].alias("found"), _clean(state).alias("ok"))
+
+
+def subtracted(own: Column, other: Column) -> Column:
+    """(found, ok): what peeling the difference of two fingerprints gives, and whether it gave all."""
+    return _bind(peel(_minus(own, other), F.lit(0)), _told)
+
+
 def attempt(prints: DataFrame, others: list[str], keep: list[str]) -> DataFrame:
     """row, the fingerprints to ``keep``, and for each other role what peeling its difference to ``own`` gives."""
-    states = prints.select(
-        "row", *keep, *[peel(_minus("own", o), F.lit(0)).alias(f"_{o}") for o in others]
-    )
-    results = [
-        F.struct(F.col(f"_{o}.found").alias("found"), _clean(F.col(f"_{o}")).alias("ok")).alias(f"_{o}") for o in others
-    ]
-    return states.select("row", *keep, *results)
+    return prints.select("row", *keep, *[subtracted(F.col("own"), F.col(o)).alias(f"_{o}") for o in others])
+
+
+def sketched_again(own: Column, other: Column, level: int) -> Column:
+    """(found, ok) of two arrays of digests by a larger sketch: blocks of cells, twice as many with every level.
+
+    Blocks are looked up in two steps, about the square root of their number in each.
+    """
+    salt = F.lit(level)
+
+    def peeled(entries: Column) -> Column:
+        return F.when(F.size(entries) == 0, F.struct(F.array().cast("array<struct<d:bigint,s:int>>").alias("found"), F.lit(True).alias("ok"))).otherwise(
+            _bind(peel(_cells(entries, BLOCK_WIDTH), salt, BLOCK_WIDTH), _told)
+        )
+
+    def all_blocks(t: Column) -> Column:
+        def some_blocks(first: Column) -> Column:
+            last = F.least(first + t["step"], t["blocks"]) - 1
+            near = F.filter(t["entries"], lambda e: (e["b"] >= first) & (e["b"] <= last))
+            return _bind(near, lambda n: F.transform(
+                F.sequence(first, last), lambda b: _bind(F.filter(n, lambda e: e["b"] == b), peeled)
+            ))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), t["blocks"] - 1, t["step"]), some_blocks))
+
+    def placed(t: Column) -> Column:
+        entries = F.concat(
+            _placed(t["own"], salt, 1, BLOCK_WIDTH, t["blocks"]), _placed(t["other"], salt, -1, BLOCK_WIDTH, t["blocks"])
+        )
+        step = F.ceil(F.sqrt(t["blocks"])).cast("int")
+        return _bind(F.struct(entries.alias("entries"), t["blocks"].alias("blocks"), step.alias("step")), all_blocks)
+
+    size = F.size(own) + F.size(other)
+    blocks = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(size / LOAD, F.lit(1.0)))) + level - 1).cast("int")
+    parts = _bind(F.struct(own.alias("own"), other.alias("other"), blocks.alias("blocks")), placed)
+    return _bind(parts, lambda p: F.struct(
+        F.flatten(F.transform(p, lambda x: x["found"])).alias("found"), F.forall(p, lambda x: x["ok"]).alias("ok")
+    ))
 
 
 def differences(rows: DataFrame, first: DataFrame, others: list[str]) -> DataFrame:
     """row, pair (name of the other column) and found, the digests (d, s) that differ from ``own``.
 
     ``first`` is the ``attempt`` with the fingerprints, which decides where they can be
-    peeled; the other pairs are sketched again with more and more blocks until all are.
+    peeled; the other pairs are sketched again, larger and larger, until all are.
     """
     each = F.array(*[F.struct(F.lit(o).alias("pair"), F.col(f"_{o}.found"), F.col(f"_{o}.ok")) for o in others])
     tried = first.select("row", F.explode(each).alias("p")).select("row", "p.pair", "p.found", "p.ok")
-    done = [tried.where("ok").select("row", "pair", "found")]
-    failed = tried.where("not ok").select("row", "pair")
-    level = 1
+    sides = F.array(*[F.struct(F.lit(o).alias("pair"), F.col(o).alias("other")) for o in others])
+    both = rows.select("row", "own", F.explode(sides).alias("p")).select("row", "own", "p.pair", "p.other")
+    done, level = [tried.where("ok").select("row", "pair", "found")], 1
+    failed = cut(both.join(tried.where("not ok").select("row", "pair"), ["row", "pair"]))
     while not failed.isEmpty():
-        # Larger from one attempt to the next, with other places for the same digest.
-        size = F.size("own") + F.size("other")
-        blocks = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(size / LOAD, F.lit(1.0)))) + level - 1).cast("int")
-        salt = F.lit(level)
-        digest_columns = F.array(*[F.struct(F.lit(o).alias("pair"), F.col(o).alias("other")) for o in others])
-        both = rows.select("row", "own", F.explode(digest_columns).alias("p")).select("row", "own", "p.pair", "p.other")
-        both = both.join(failed, ["row", "pair"]).withColumn("_blocks", blocks)
-        signed = F.concat(
-            F.transform("own", lambda d: F.struct(d.alias("d"), F.lit(1).alias("s"))),
-            F.transform("other", lambda d: F.struct(d.alias("d"), F.lit(-1).alias("s"))),
-        )
-        spread = both.select("row", "pair", "_blocks", F.explode(signed).alias("z")).select(
-            "row", "pair", F.pmod(F.xxhash64("z.d", F.lit("block"), salt), F.col("_blocks")).cast("int").alias("block"),
-            F.col("z.d").alias("d"), F.col("z.s").alias("s"),
-        )
-        entry = [F.struct(p.alias("i"), F.col("s").alias("n"), F.col("d").alias("x"), _check(F.col("d")).alias("c")) for p in _places(F.col("d"), salt)]
-        cells = _sum_cells(spread.select("row", "pair", "block", F.explode(F.array(*entry)).alias("e")), ["row", "pair", "block"])
-        held = cells.where("n != 0 or x != 0 or c != 0").groupBy("row", "pair", "block").agg(
-            F.collect_list(F.struct("i", "n", "x", "c")).alias("cells")
-        )
-        peeled = held.select("row", "pair", peel(F.col("cells"), salt).alias("state")).select(
-            "row", "pair", F.col("state.found").alias("found"), _clean(F.col("state")).alias("ok")
-        )
-        again = cut(
-            peeled.groupBy("row", "pair").agg(F.flatten(F.collect_list("found")).alias("found"), F.min("ok").alias("ok"))
-        )
-        done.append(again.where("ok").select("row", "pair", "found"))
-        failed = again.where("not ok").select("row", "pair")
+        again = failed.withColumn("again", sketched_again(F.col("own"), F.col("other"), level))
+        again = cut(again)
+        done.append(again.where("again.ok").select("row", "pair", "again.found"))
+        failed = again.where("not again.ok").drop("again")
         level += 1
     return reduce(DataFrame.unionByName, done)
 
@@ -291,21 +332,60 @@ def compare_versions(docs: DataFrame, paragraph: str = PARAGRAPH) -> DataFrame:
     Rows of one id stand by their text's digest and repeated rows behind each other. One row
     is its own next; an empty table gives no rows. ``paragraph`` is the pattern of what is compared.
     """
-    rows = cut(edited_rows(docs, paragraph))
-    others = ["edited", "next"]
-    prints = cut(attempt(fingerprints(rows, ["own", *others]), others, ["own", "edited"]))
-    found = differences(rows, prints, others).select("row", "pair", F.size("found").alias("n"))
-    found = found.groupBy("row").agg(
-        F.sum(F.when(F.col("pair") == "edited", F.col("n"))).alias("_edited"),
-        F.sum(F.when(F.col("pair") == "next", F.col("n"))).alias("_next"),
-    )
-    texts = prints.select("row", as_text(F.col("own")).alias("fingerprint"), as_text(F.col("edited")).alias("edited_fingerprint"))
-    return (
-        rows.withColumns({"_a": F.size("own"), "_b": F.size("edited"), "_c": F.size("next")}).drop("own", "edited", "next")
-        .join(found, "row").join(texts, "row")
-        .select(
-            "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-            likeness(F.col("_a"), F.col("_b"), F.col("_edited")).alias("near_edited"),
-            likeness(F.col("_a"), F.col("_c"), F.col("_next")).alias("near_next"),
+    def tried(own: Column, mine: Column, other: Column, theirs: Column) -> Column:
+        """(n, ok): digests that differ, by the fingerprints or else by a larger sketch."""
+        def counted(t: Column) -> Column:
+            return F.struct(F.size(t["found"]).alias("n"), t["ok"].alias("ok"))
+
+        again = lambda: _bind(sketched_again(own, other, 1), counted)
+        return _bind(subtracted(mine, theirs), lambda t: F.when(t["ok"], counted(t)).otherwise(again()))
+
+    def compared(t: Column) -> Column:
+        return F.struct(
+            as_text(t["mine"]).alias("fingerprint"), as_text(t["changed"]).alias("edited_fingerprint"),
+            tried(t["own"], t["mine"], t["edited"], t["changed"]).alias("_edited"),
+            tried(t["own"], t["mine"], t["next"], t["theirs"]).alias("_next"),
+            F.size(t["own"]).alias("_a"), F.size(t["edited"]).alias("_b"), F.size(t["next"]).alias("_c"),
+            t["own"].alias("own"), t["edited"].alias("edited"), t["next"].alias("next"),
+        )
+
+    def sketched(t: Column) -> Column:
+        prints = F.struct(
+            t["own"].alias("own"), t["edited"].alias("edited"), t["next"].alias("next"),
+            sketch(t["own"]).alias("mine"), sketch(t["edited"]).alias("changed"), sketch(t["next"]).alias("theirs"),
         )
+        return _bind(prints, compared)
+
+    given = edited_rows(docs, paragraph)
+    once = F.explode_outer(F.array(F.struct("own", "edited", "next"))).alias("t")
+    rows = given.select("row", "doc_id", "n_chars", "edited_sha256", once).select(
+        "row", "doc_id", "n_chars", "edited_sha256", "t.own", "t.edited", "t.next"
+    )
+    # The outer form of explode is a step of its own: what it makes is not worked out again for each use.
+    found = F.explode_outer(F.array(_bind(F.struct("own", "edited", "next"), sketched))).alias("r")
+    ok = F.col("r._edited.ok") & F.col("r._next.ok")
+    # Digests are written only for rows that need a still larger sketch.
+    kept = [F.when(~ok, F.col(f"r.{c}")).alias(c) for c in ("own", "edited", "next")]
+    names = ["fingerprint", "edited_fingerprint", "_edited", "_next", "_a", "_b", "_c"]
+    rows = cut(rows.select("row", "doc_id", "n_chars", "edited_sha256", found).select(
+        "row", "doc_id", "n_chars", "edited_sha256", *[f"r.{c}" for c in names], *kept
+    ))
+    done, level = [rows.where("_edited.ok and _next.ok")], 2
+    failed = rows.where("not (_edited.ok and _next.ok)")
+    while not failed.isEmpty():
+        def larger(other: str) -> Column:
+            again = _bind(
+                sketched_again(F.col("own"), F.col(other), level),
+                lambda t: F.struct(F.size(t["found"]).alias("n"), t["ok"].alias("ok")),
+            )
+            return F.when(F.col(f"_{other}.ok"), F.col(f"_{other}")).otherwise(again)
+
+        tried_again = cut(failed.withColumns({"_edited": larger("edited"), "_next": larger("next")}))
+        done.append(tried_again.where("_edited.ok and _next.ok"))
+        failed = tried_again.where("not (_edited.ok and _next.ok)")
+        level += 1
+    return reduce(DataFrame.unionByName, done).select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        likeness(F.col("_a"), F.col("_b"), F.col("_edited.n")).alias("near_edited"),
+        likeness(F.col("_a"), F.col("_c"), F.col("_next.n")).alias("near_next"),
     )
