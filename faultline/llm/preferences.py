@@ -13,12 +13,15 @@ TRAINED = "assistant"
 def conversations_of(turns: DataFrame) -> DataFrame:
     """conv_id and turns, an array of (role, text) by turn number; null roles and texts are empty.
 
-    Turns of one number stand by role and text. Rows without an id are one conversation.
+    Turns of one number stand by role and text, repeated rows as often as they are there. A row without
+    an id is a conversation of its own: nothing tells which belong together. An empty table gives no rows.
     """
     row = F.struct(
         "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
-    grouped = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(row)).alias("turns"))
+    named = turns.where("conv_id is not null").groupBy("conv_id")
+    single = turns.where("conv_id is null").select("conv_id", F.array(row).alias("turns"))
+    grouped = named.agg(F.sort_array(F.collect_list(row)).alias("turns")).union(single)
     return grouped.select(
         "conv_id",
         F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"),
@@ -75,19 +78,23 @@ def with_foreign_replies(conversations: DataFrame) -> DataFrame:
     """conv_id, chosen and rejected: each conversation, and it with another's last reply.
 
     The other is the next conversation in the order of the ids' digests, the first after
-    the last. Where either has no assistant turn the two are the same.
+    the last. Where either has no assistant turn the two are the same, and so they are for a
+    conversation without an id, which has no place in that order.
     """
+    # Read for the replies and for the pairs.
+    conversations = cut(conversations)
     replied = F.filter("turns", lambda t: t["role"] == TRAINED)
     last = F.when(F.size(replied) > 0, F.element_at(replied, -1)["text"])
-    key = F.md5(F.coalesce(F.col("conv_id").cast("string"), F.lit("")))
-    replies = conversations.select("conv_id", last.alias("reply"))
+    key = F.md5(F.col("conv_id").cast("string"))
+    replies = conversations.where("conv_id is not null").select("conv_id", last.alias("reply"))
     keyed = replies.withColumns({"key": key, "_bucket": F.substring(key, 1, 3), "_one": F.lit(1)})
     placed = cut(running_sum(keyed, [], "_bucket", ["key", "conv_id"], "_one", "place"))
     total = placed.count()
     own = placed.select("conv_id", F.when(F.col("place") == total, 1).otherwise(F.col("place") + 1).alias("_next"))
     other = placed.select(F.col("place").alias("_next"), F.col("reply").alias("_reply"))
     foreign = own.join(other, "_next").select(F.col("conv_id").alias("_conv"), "_reply")
-    joined = conversations.join(foreign, F.col("conv_id").eqNullSafe(F.col("_conv")))
+    # Left, so that conversations without an id stay; null keys match nothing and don't meet in one task.
+    joined = conversations.join(foreign, F.col("conv_id") == F.col("_conv"), "left")
     at = F.size("turns") - F.array_position(
         F.reverse(F.transform("turns", lambda t: t["role"] == TRAINED)), True
     )
