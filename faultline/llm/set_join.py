@@ -10,7 +10,8 @@ boundary is where enumerating costs as much as scanning.
 Equal sets are one node, so copies never meet each other. In every list all nodes are first
 compared with one pivot; only lists whose nodes are then in different components are compared
 further, block against block, and only across components. So no link between components
-is lost and a large group of near copies costs about one comparison per member.
+is lost and a large group of near copies costs about one comparison per member. A list that may
+be long by the sketch is dealt over tasks until its pivot is known.
 """
 
 from __future__ import annotations
@@ -34,6 +35,10 @@ SKETCH_BITS = 20
 SKETCH_PARTS = 16
 BLOCK = 128
 MOST_LIGHT = 60
+# Entries of an inverted list, by the sketch, for each part of it that a task may hold.
+HOT_LIST = 1 << 20
+# Words of 64 bits in the bitmap of the documents whose texts are compared.
+WANTED_WORDS = 1 << 20
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _SHIFT = np.uint64(64 - SKETCH_BITS)
@@ -112,7 +117,7 @@ def _sketch(rows: DataFrame) -> np.ndarray:
     total = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.int64)
     for r in first.repartition("part").mapInArrow(add, "part int, counts binary").collect():
         total[r["part"]] += np.frombuffer(zlib.decompress(r["counts"]), np.int64)
-    return total.ravel().astype(np.int32)
+    return np.minimum(total, np.iinfo(np.int32).max).ravel().astype(np.int32)
 
 
 def prefix_length(n: int) -> int:
@@ -131,31 +136,43 @@ def boundary(sizes: dict[int, int], list_length: float) -> int:
     return min(range(MOST_LIGHT + 1), key=lambda light: (cost(light), light))
 
 
-def keys(found: np.ndarray, sketch: np.ndarray, light: int) -> np.ndarray:
-    """The list keys of a set: pairs of prefix shingles, single ones, or both near the boundary."""
+def keys(found: np.ndarray, sketch: np.ndarray, light: int) -> tuple[np.ndarray, np.ndarray]:
+    """The list keys of a set and a bound of each list's length.
+
+    Keys are pairs of prefix shingles, single ones, or both near the boundary. No list holds more
+    sets than the sketch counts for any of its shingles.
+    """
     n = len(found)
     if n == 0:
-        return np.zeros(0, np.uint64)
-    ordered = found[np.argsort(sketch[(found >> _SHIFT).astype(np.int64)], kind="stable")]
-    out = []
+        return np.zeros(0, np.uint64), np.zeros(0, np.int32)
+    count = sketch[(found >> _SHIFT).astype(np.int64)]
+    order = np.argsort(count, kind="stable")
+    ordered, count = found[order], count[order]
+    out, bounds = [], []
     if n <= light:
         longer = ordered[: prefix_length(n) + 1]
         i, j = np.triu_indices(len(longer), 1)
         low, high = np.minimum(longer[i], longer[j]), np.maximum(longer[i], longer[j])
         mixed = (low * _ODD[0]) ^ (high * _ODD[1])
         out.append((mixed ^ (mixed >> np.uint64(31))) * _ODD[2])
+        bounds.append(np.minimum(count[i], count[j]))
     if n > light or n >= 0.8 * light:
         out.append(ordered[: prefix_length(n)])
-    return np.concatenate(out)
+        bounds.append(count[: prefix_length(n)])
+    return np.concatenate(out), np.concatenate(bounds)
 
 
 def _postings(docs: DataFrame, sketch: np.ndarray, light: int) -> DataFrame:
-    """(key, node, n) of every set; a task sends equal sets once."""
+    """(key, salt, node, n) of every set; a task sends equal sets once.
+
+    The nodes of a list that may be long are dealt over salts from 1; the salt of all others is 0.
+    """
+    hot, usual = HOT_LIST, float(sketch.mean())
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for piece in slices(batches):
-            parts, nodes, sizes = [], [], []
+            parts, salts, nodes, sizes = [], [], [], []
             for text in piece.column("text").to_pylist():
                 found = shingles(text)
                 node = node_of(found)
@@ -163,7 +180,11 @@ def _postings(docs: DataFrame, sketch: np.ndarray, light: int) -> DataFrame:
                     if len(seen) > 1 << 20:
                         seen.clear()
                     seen.add(node)
-                    parts.append(keys(found, sketch, light))
+                    listed, bounds = keys(found, sketch, light)
+                    # A cell at the mean holds many short lists, whatever the size of the corpus.
+                    shares = np.maximum((bounds - usual) // hot, 0).astype(np.int64) + 1
+                    parts.append(listed)
+                    salts.append(np.where(shares > 1, node % shares + 1, 0).astype(np.int32))
                     nodes.append(node)
                     sizes.append(len(found))
             if parts:
@@ -171,13 +192,48 @@ def _postings(docs: DataFrame, sketch: np.ndarray, light: int) -> DataFrame:
                 yield pa.record_batch(
                     [
                         pa.array(np.concatenate(parts).view(np.int64)),
+                        pa.array(np.concatenate(salts)),
                         pa.array(np.repeat(np.array(nodes, np.int64), times)),
-                        pa.array(np.repeat(np.array(sizes, np.int64), times)),
+                        pa.array(np.repeat(np.array(sizes, np.int32), times)),
                     ],
-                    names=["key", "node", "n"],
+                    names=["key", "salt", "node", "n"],
                 )
 
-    return docs.select("text").mapInArrow(post, "key bigint, node bigint, n bigint")
+    return docs.select("text").mapInArrow(post, "key bigint, salt int, node bigint, n int")
+
+
+def _lists(postings: DataFrame) -> DataFrame:
+    """key, size_class, node, n, pivot, pivot_n, members of the lists that different nodes share.
+
+    A set stands in its size class and the next, so linked sets meet. Postings travel once; the
+    windows keep the partitions of the keys. The parts of a dealt list are added up by
+    aggregates that reduce in every task, and joined back.
+    """
+    classes = F.floor(F.log(F.col("n")) / math.log(1.25) + 1e-9).cast("int")
+    together = postings.repartition("key", "salt")
+    listed = Window.partitionBy("key", "salt")
+    shared = together.withColumn("_a", F.min("node").over(listed)).withColumn("_b", F.max("node").over(listed))
+    # Nodes of a part that holds no other may meet those of other parts.
+    shared = shared.where("_a != _b or salt > 0")
+    shared = shared.select("key", "salt", "node", "n", F.explode(F.array(classes, classes + 1)).alias("size_class"))
+    part = Window.partitionBy("key", "salt", "size_class")
+    held = (
+        shared.withColumn("_p", F.min(F.struct("node", "n")).over(part))
+        .withColumn("_last", F.max("node").over(part))
+        .withColumn("members", F.count(F.lit(1)).over(part))
+        .where("salt > 0 or _p.node != _last")
+        .select("key", "salt", "size_class", "node", "n", F.col("_p.node").alias("pivot"), F.col("_p.n").alias("pivot_n"), "members")
+    )
+    held = cut(held)
+    single = held.where("salt = 0").drop("salt")
+    dealt = held.where("salt > 0").select("key", "size_class", "node", "n")
+    whole = dealt.groupBy("key", "size_class").agg(
+        F.min(F.struct("node", "n")).alias("_p"), F.max("node").alias("_last"), F.count(F.lit(1)).alias("members")
+    )
+    whole = whole.where("_p.node != _last").select(
+        "key", "size_class", F.col("_p.node").alias("pivot"), F.col("_p.n").alias("pivot_n"), "members"
+    )
+    return single.unionByName(dealt.join(whole, ["key", "size_class"]))
 
 
 def _compare(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -239,6 +295,31 @@ def _compare(rows: DataFrame, by: list[str]) -> DataFrame:
     return together.select(*by, "node", "component", "pivot", "text").mapInArrow(compare, "a bigint, b bigint")
 
 
+def _texts(docs: DataFrame, rows: DataFrame, needed: DataFrame) -> DataFrame:
+    """node and the text of one document of each needed node.
+
+    Before the texts travel, a bitmap of fixed size of the documents wanted leaves out most others; with
+    very many wanted it leaves out less, and the join decides alone.
+    """
+    id = F.coalesce("doc_id", F.lit(-(2**63)))
+    place = rows.where("n > 0").groupBy("node").agg(F.min(F.struct(id.alias("id"), "hash")).alias("p"))
+    place = cut(place.join(needed, "node").select("node", F.col("p.id").alias("_id"), F.col("p.hash").alias("_hash")))
+    spot = F.pmod(F.xxhash64("_id", "_hash"), F.lit(WANTED_WORDS * 64))
+    word = F.floor(spot / 64).alias("_word")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(spot, F.lit(64)).cast("int"))
+    wanted = place.groupBy(word).agg(F.bit_or(bit).alias("_bits"))
+    named = docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_id"), F.xxhash64("text").alias("_hash"), "text"
+    )
+    # At most WANTED_WORDS rows of two longs.
+    near = named.withColumn("_word", word).join(F.broadcast(wanted), "_word")
+    near = near.where(F.col("_bits").bitwiseAND(bit) != 0).select("_id", "_hash", "text")
+    # Repeated rows hold the same text; one of them is enough.
+    return place.join(near, ["_id", "_hash"]).groupBy("_id", "_hash", "node").agg(F.any_value("text").alias("text")).select(
+        "node", "text"
+    )
+
+
 def similar_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, hash, n, node) of every row, and (node, component) of the nodes with links.
 
@@ -253,35 +334,13 @@ def similar_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     distinct = -len(sketch) * math.log1p(-min(taken, 1 - 1e-9))
     light = boundary({r["n"]: r["count"] for r in small}, float(sketch.sum()) / max(distinct, 1.0))
 
-    # Lists that two different nodes share; a set stands in its size class and the next, so linked sets meet.
-    listed = Window.partitionBy("key")
-    shared = _postings(docs, sketch, light).withColumn("_a", F.min("node").over(listed)).withColumn(
-        "_b", F.max("node").over(listed)
-    )
-    classes = F.floor(F.log(F.col("n")) / math.log(1.25) + 1e-9).cast("int")
-    members = shared.where("_a != _b").select(
-        "key", "node", "n", F.explode(F.array(classes, classes + 1)).alias("size_class")
-    )
-    members = cut(members)
-    lists = members.groupBy("key", "size_class").agg(
-        F.min("node").alias("pivot"), F.max("node").alias("_last"), F.count(F.lit(1)).alias("members"),
-        F.min_by("n", "node").alias("pivot_n"),
-    )
-    lists = cut(lists.where("pivot != _last").drop("_last"))
-    held = cut(members.join(lists, ["key", "size_class"]))
+    held = _lists(_postings(docs, sketch, light))
 
     # Sets of too different sizes can't link, whatever they share.
     fits = 10 * F.least("n", "pivot_n") >= 8 * F.greatest("n", "pivot_n")
     stars = cut(held.where(F.col("node") != F.col("pivot")).where(fits).select("pivot", "node").distinct())
     needed = held.where("members > 2").select("node").union(stars.select("node")).union(stars.select("pivot")).distinct()
-    place = rows.where("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "hash")).alias("p"))
-    place = place.join(needed, "node").select("node", F.col("p.doc_id").alias("_d"), F.col("p.hash").alias("_h"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_hash"), "text")
-    # Repeated rows hold the same text; one of them is enough.
-    texts = cut(
-        place.join(texts, F.col("_d").eqNullSafe(F.col("_doc")) & (F.col("_h") == F.col("_hash")))
-        .select("node", "text").dropDuplicates(["node"])
-    )
+    texts = cut(_texts(docs, rows, needed))
 
     block = F.pmod(F.xxhash64("node", "pivot"), F.greatest(F.lit(1), F.ceil(F.col("count") / BLOCK)))
     counts = stars.groupBy("pivot").agg(F.count(F.lit(1)).alias("count"))
@@ -307,19 +366,22 @@ def similar_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.min("component").alias("_a"), F.max("component").alias("_b")
     ).where("_a != _b").select("key", "size_class")
     left = named.join(open_lists, ["key", "size_class"])
-    blocks = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.col("members") / BLOCK, F.lit(1.0))))).cast("int")
-    left = left.select("pivot", "node", "component", blocks.alias("blocks")).distinct()
+    # Lists of one pivot and about one length hold much the same nodes: their union is what is cut into blocks.
+    length = F.ceil(F.log2(F.greatest(F.col("members") / BLOCK, F.lit(1.0)))).cast("int")
+    left = cut(left.select("pivot", "node", "component", length.alias("length")).distinct())
+    blocks = left.groupBy("pivot", "length").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    left = left.join(blocks, ["pivot", "length"])
     left = left.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     left = left.select(
-        "pivot", "blocks", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+        "pivot", "length", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
         "node", "component",
-    ).distinct()
+    )
     second = _compare(
         left.join(texts, "node").select(
-            F.col("pivot").alias("group"), "blocks", "i", "j", "node", "component", F.lit(False).alias("pivot"), "text"
+            F.col("pivot").alias("group"), "length", "i", "j", "node", "component", F.lit(False).alias("pivot"), "text"
         ),
-        ["group", "blocks", "i", "j"],
+        ["group", "length", "i", "j"],
     )
     return rows, cut(components(links.union(second)))
 

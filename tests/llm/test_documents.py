@@ -7,6 +7,7 @@ import struct
 import brute
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from faultline.llm import (
     classifier, components, fingerprints, labels, preferences, quality_rules, set_join, statistics, substrings, unigram,
@@ -137,8 +138,8 @@ def test_join(spark, monkeypatch, light):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute.component_rows(CORPUS)
 
 
-def test_join_in_small_blocks(spark, monkeypatch):
-    monkeypatch.setattr(set_join, "BLOCK", 3)
+def versions():
+    """Sixty texts that differ from one in at most three words."""
     rnd = random.Random(1)
     base = [f"w{i}" for i in range(60)]
     rows = []
@@ -147,6 +148,34 @@ def test_join_in_small_blocks(spark, monkeypatch):
         for _ in range(rnd.randint(0, 3)):
             own[rnd.randrange(60)] = f"x{rnd.random()}"
         rows.append((i, " ".join(own)))
+    return rows
+
+
+def test_a_full_bitmap_of_wanted_documents_loses_none(spark, monkeypatch):
+    monkeypatch.setattr(set_join, "WANTED_WORDS", 1)
+    rows = versions() + [(100 + d, t) for d, t in CORPUS]
+    rows += rows[:20]
+    found = set_join.join(table(spark, rows)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute.component_rows(rows[:-20])
+
+
+@pytest.mark.parametrize("light", [0, 60])
+@pytest.mark.parametrize("hot", [1, 7])
+def test_long_lists_are_dealt_over_tasks(spark, monkeypatch, light, hot):
+    monkeypatch.setattr(set_join, "HOT_LIST", hot)
+    monkeypatch.setattr(set_join, "BLOCK", 5)
+    monkeypatch.setattr(set_join, "boundary", lambda sizes, length: light)
+    rows = versions() + [(100 + d, t) for d, t in CORPUS]
+    sketch = set_join._sketch(set_join._summaries(table(spark, rows)).where("part is not null").withColumn("salt", F.lit(0)))
+    salts = {r["salt"] for r in set_join._postings(table(spark, rows), sketch, light).select("salt").distinct().collect()}
+    assert 0 in salts and len(salts) > 3
+    found = set_join.join(table(spark, rows)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute.component_rows(rows)
+
+
+def test_join_in_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(set_join, "BLOCK", 3)
+    rows = versions()
     found = set_join.join(table(spark, rows)).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute.component_rows(rows)
 
@@ -281,6 +310,18 @@ def test_rules(spark, tmp_path):
     assert [r["kept"] for r in found if r["doc_id"] is None] == [False]
 
 
+def test_turns_without_an_id_are_conversations_of_one_turn(spark):
+    turns = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "c"), (2, 1, "assistant", "d")]
+    turns += [(None, i, "assistant", f"n{i}") for i in range(30)]
+    rows = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string")
+    pairs = preferences.with_foreign_replies(preferences.conversations_of(rows)).collect()
+    named = {r["conv_id"]: (r["chosen"][-1]["text"], r["rejected"][-1]["text"]) for r in pairs if r["conv_id"]}
+    assert named == {1: ("b", "d"), 2: ("d", "b")}
+    single = [r for r in pairs if r["conv_id"] is None]
+    assert sorted(r["chosen"][0]["text"] for r in single) == sorted(f"n{i}" for i in range(30))
+    assert all(r["chosen"] == r["rejected"] and len(r["chosen"]) == 1 for r in single)
+
+
 def test_preferences(spark):
     turns = [(1, 0, "system", "s"), (1, 1, "user", "q"), (1, 2, "assistant", "r"), (2, 0, "user", "u"), (2, 1, "assistant", "v"),
              (3, 0, "user", None), (3, 0, None, "t"), (None, 1, "assistant", "z")]
