@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 LABEL_BLOCK = 512
+POINT_PART = 4_096
 
 
 def _long(points: DataFrame) -> DataFrame:
@@ -27,50 +28,76 @@ def _defined(points: DataFrame) -> bool:
     return row["n"] is not None and 1 < row["k"] < row["n"]
 
 
-def silhouette(points: DataFrame) -> DataFrame:
+def _matrix(places: list, weights: list, columns: np.ndarray) -> np.ndarray:
+    """Rows of sparse entries as a dense matrix over the sorted ``columns``."""
+    out = np.zeros((len(places), len(columns)))
+    rows = np.repeat(np.arange(len(places)), [len(p) for p in places])
+    if len(rows):
+        out[rows, np.searchsorted(columns, np.concatenate(places))] = np.concatenate(weights)
+    return out
+
+
+def _nearest_other(key: tuple, points: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
+    """For each point the least distance to the other clusters of a block, and its product with its own."""
+    none = np.zeros(0)
+    sides = [
+        [[none if e is None else np.asarray(e) for e in side[c]] for c in ("i", "w")] for side in (points, sums)
+    ]
+    columns = np.unique(np.concatenate([e for side in sides for e in side[0]] + [none]))
+    dots = _matrix(*sides[0], columns) @ _matrix(*sides[1], columns).T
+    own = points["own"].to_numpy()[:, None] == sums["label"].to_numpy()[None, :]
+    distance = np.where(own, np.inf, 1.0 - dots / sums["size"].to_numpy()[None, :])
+    return pd.DataFrame(
+        {
+            "vec_id": points["vec_id"],
+            "own": points["own"],
+            "closest": distance.min(axis=1, initial=np.inf),
+            "own_dot": np.where(own, dots, -np.inf).max(axis=1, initial=-np.inf),
+        }
+    )
+
+
+def silhouette(points: DataFrame, block: int = LABEL_BLOCK, part: int = POINT_PART) -> DataFrame:
     """Mean cosine silhouette over all rows (noise counts as a label), one row.
 
     The mean distance of x to a cluster is 1 - x . (sum of the cluster) / size; in
     its own cluster x itself is taken out. Vectors without terms are at distance 1
-    from everything but themselves.
+    from everything but themselves. Parts of the points are multiplied with blocks of
+    the sums; a part gives one row for each point and block. 0 where it is not defined.
     """
     if not _defined(points):
         return points.sparkSession.range(1).select(F.lit(0.0).alias("silhouette"))
-    long = _long(points)
     sizes = points.groupBy("label").agg(F.sum("m").alias("size"))
-    sums = long.groupBy("label", "i").agg(F.sum(F.col("w") * F.col("m")).alias("s"))
-    # Distances to the clusters sharing a term; all others are at distance 1.
-    dots = (
-        long.select("vec_id", F.col("label").alias("own"), "i", "w")
-        .join(sums, "i")
-        .groupBy("vec_id", "own", "label")
-        .agg(F.sum(F.col("w") * F.col("s")).alias("dot"))
-        .join(sizes, "label")
-    )
-    n_labels = sizes.count()
-    other = F.when(F.col("label") != F.col("own"), 1.0 - F.col("dot") / F.col("size"))
-    reached = dots.groupBy("vec_id", "own").agg(
-        F.min(other).alias("closest"),
-        F.count(other).alias("others"),
-        F.max(F.when(F.col("label") == F.col("own"), F.col("dot"))).alias("own_dot"),
+    sums = _long(points).groupBy("label", "i").agg(F.sum(F.col("w") * F.col("m")).alias("s"))
+    sums = sums.groupBy("label").agg(F.collect_list(F.struct("i", "s")).alias("sums"))
+    rows = points.select("vec_id", F.col("label").alias("own"), "m", "vec").join(
+        sizes.select(F.col("label").alias("own"), "size"), "own"
     )
-    rows = (
-        points.select("vec_id", F.col("label").alias("own"), "m", F.size("vec").alias("terms"))
-        .join(reached, ["vec_id", "own"], "left")
-        .join(sizes.select(F.col("label").alias("own"), "size"), "own")
+    parts = F.lit(-(-points.count() // part))
+    blocks = F.lit(-(-sizes.count() // block))
+
+    left = points.select(
+        "vec_id", F.col("label").alias("own"), F.col("vec.i").alias("i"), F.col("vec.w").alias("w"),
+        F.pmod(F.xxhash64("vec_id", "label"), parts).cast("int").alias("part"),
+        F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"),
     )
-    # x . x is 1 for a unit vector and the self distance of an empty one is 0.
-    inside = F.col("size") - F.coalesce(F.col("own_dot"), F.lit(0.0))
-    a = (inside - F.when(F.col("terms") > 0, 0.0).otherwise(1.0)) / F.nullif(
-        F.col("size") - 1, F.lit(0)
+    right = sizes.join(sums, "label", "left").select(
+        "label", "size", F.col("sums.i").alias("i"), F.col("sums.s").alias("w"),
+        F.pmod(F.xxhash64("label"), blocks).cast("int").alias("block"),
+        F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"),
     )
-    missing = F.coalesce(F.col("others"), F.lit(0)) < n_labels - 1
-    b = F.when(missing, F.least(F.lit(1.0), F.coalesce("closest", F.lit(1.0)))).otherwise(
-        F.col("closest")
+    kinds = dict(points.dtypes)
+    found = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInPandas(
+        _nearest_other, f"vec_id {kinds['vec_id']}, own {kinds['label']}, closest double, own_dot double"
     )
+    reached = found.groupBy("vec_id", "own").agg(F.min("closest").alias("closest"), F.max("own_dot").alias("own_dot"))
+    # x . x is 1 for a unit vector and the self distance of an empty one is 0.
+    inside = F.col("size") - F.col("own_dot")
+    a = (inside - F.when(F.size("vec") > 0, 0.0).otherwise(1.0)) / F.nullif(F.col("size") - 1, F.lit(0))
+    b = F.col("closest")
     top = F.greatest(a, b)
     value = F.when(F.col("size") == 1, 0.0).when(top > 0, (b - a) / top).otherwise(0.0)
-    return rows.agg((F.sum(value * F.col("m")) / F.sum("m")).alias("silhouette"))
+    return rows.join(reached, ["vec_id", "own"]).agg((F.sum(value * F.col("m")) / F.sum("m")).alias("silhouette"))
 
 
 def davies_bouldin(points: DataFrame, block: int = LABEL_BLOCK) -> DataFrame:

@@ -102,7 +102,8 @@ def test_silhouette_and_davies_bouldin(spark):
         b = min(distance[k][y == other].mean() for other in set(y) - {y[k]})
         values.append((b - a) / max(a, b))
     points = spark.createDataFrame([(*r, l) for r, l in zip(rows, labels)], VECTORS + ", label int")
-    assert quality.silhouette(points).first()[0] == pytest.approx(np.mean(values))
+    for block, part in ((512, 4096), (1, 7), (2, 60)):
+        assert quality.silhouette(points, block, part).first()[0] == pytest.approx(np.mean(values))
 
     names = sorted(set(y))
     centres = np.array([x[y == n].mean(axis=0) for n in names])
