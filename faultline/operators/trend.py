@@ -5,21 +5,53 @@ computed as a sliding frame. Scores are turned into prefix sums and every row
 subtracts two of them, found by equi-joins on the row position:
 
 * positions and prefix sums come from bounded line-id buckets plus the prefix
-  sums of the (small) bucket table, so no window ever spans a whole log;
+  sums of the bucket table, taken in groups of buckets and over the groups, so no
+  window ever spans a whole log;
 * both joins are on (key, position), which is unique, so they do not skew.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from faultline.session import cut
 
 BUCKET_LINES = 65_536
+GROUP_BUCKETS = 4_096
+
+
+def _offsets(per_bucket: DataFrame, keys: list[str], group_buckets: int) -> DataFrame:
+    """Rows and sum before each bucket, and all rows of its keys, by two levels of prefix sums.
+
+    A window holds the buckets of one group, another one row for each group.
+    """
+    per_bucket = cut(per_bucket.withColumn("_g", F.floor(F.col("_b") / group_buckets)))
+    per_group = per_bucket.groupBy(*keys, "_g").agg(F.sum("_bn").alias("_gn"), F.sum("_bs").alias("_gs"))
+
+    def before(column: str, parts: list[str], order: str) -> Column:
+        earlier = W.partitionBy(*parts).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+        return F.coalesce(F.sum(column).over(earlier), F.lit(0))
+
+    groups = per_group.select(
+        *keys,
+        "_g",
+        before("_gn", keys, "_g").alias("_gon"),
+        before("_gs", keys, "_g").alias("_gos"),
+        F.sum("_gn").over(W.partitionBy(*keys)).alias("n_rows"),
+    )
+    return per_bucket.select(
+        *keys, "_b", "_g", before("_bn", [*keys, "_g"], "_b").alias("_n"), before("_bs", [*keys, "_g"], "_b").alias("_s")
+    ).join(groups, [*keys, "_g"]).select(
+        *keys, "_b", (F.col("_gon") + F.col("_n")).alias("_on"), (F.col("_gos") + F.col("_s")).alias("_os"), "n_rows"
+    )
 
 
 def with_position(
-    rows: DataFrame, keys: list[str], value: str, bucket_lines: int = BUCKET_LINES
+    rows: DataFrame,
+    keys: list[str],
+    value: str,
+    bucket_lines: int = BUCKET_LINES,
+    group_buckets: int = GROUP_BUCKETS,
 ) -> DataFrame:
     """Add the 1-based position by line_id and the running sum of ``value`` (a bigint).
 
@@ -27,17 +59,8 @@ def with_position(
     ``bucket_lines`` rows whatever the size of the log.
     """
     bucketed = rows.withColumn("_b", F.floor(F.col("line_id") / bucket_lines))
-    per_bucket = bucketed.groupBy(*keys, "_b").agg(
-        F.count(F.lit(1)).alias("_bn"), F.sum(value).alias("_bs")
-    )
-    before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    whole = W.partitionBy(*keys)
-    offsets = per_bucket.select(
-        *keys,
-        "_b",
-        F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_on"),
-        F.coalesce(F.sum("_bs").over(before), F.lit(0)).alias("_os"),
-        F.sum("_bn").over(whole).alias("n_rows"),
+    offsets = _offsets(
+        bucketed.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_bn"), F.sum(value).alias("_bs")), keys, group_buckets
     )
     inside = W.partitionBy(*keys, "_b").orderBy("line_id")
     return (

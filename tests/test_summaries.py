@@ -108,6 +108,19 @@ def test_risk_trend_against_pandas(spark, n, bucket):
         assert (mine.high_band - scaled.clip(lower=0.7)).abs().max() < 1e-6
 
 
+@pytest.mark.parametrize("group", [1, 3, 4096])
+def test_positions_by_groups_of_buckets(spark, group):
+    values = {s: [(i * 31 + k) % 17 - 5 for i in range(90)] for k, s in enumerate("ab")}
+    rows = [(s, i * 5, v) for s, listed in values.items() for i, v in enumerate(listed)]
+    df = spark.createDataFrame(rows, "log_source string, line_id long, v long").repartition(4)
+    found = trend.with_position(df, ["log_source"], "v", 8, group).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        assert (r.pos, r.n_rows) == (r.line_id // 5 + 1, 90)
+        assert r.running == sum(values[r.log_source][: r.pos])
+    assert trend.with_position(df.where("false"), ["log_source"], "v", 8, group).count() == 0
+
+
 def test_compare_with_a_missing_run(spark):
     rows = frame(spark, [{"run": "r1", "level": "ERROR"}, {"run": "r1"}])
     row = history.compare_runs(rows, ("r0", "s"), ("r1", "s")).first()
