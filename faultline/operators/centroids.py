@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, functions as F
 from faultline import fixed
 
 
-def _dense(entries: list, width: int) -> np.ndarray:
+def _dense(entries: pa.ListArray, width: int) -> np.ndarray:
+    """Lists of (i, w) as the rows of a matrix."""
     out = np.zeros((len(entries), width))
-    for row, pairs in enumerate(entries):
-        for pair in pairs:
-            out[row, pair["i"]] = pair["w"]
+    rows = np.repeat(np.arange(len(entries)), entries.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    flat = entries.flatten()
+    out[rows, flat.field("i").to_numpy(zero_copy_only=False)] = flat.field("w").to_numpy(zero_copy_only=False)
     return out
 
 
@@ -25,8 +26,8 @@ def gram_matrix(vectors: DataFrame, width: int) -> np.ndarray:
     def partial(batches):
         total = np.zeros((width, width))
         for batch in batches:
-            x = _dense(batch.column("vec").to_pylist(), width)
-            m = np.asarray(batch.column("m").to_pylist(), dtype=float)
+            x = _dense(batch.column("vec"), width)
+            m = batch.column("m").to_numpy(zero_copy_only=False).astype(float)
             total += (x * m[:, None]).T @ x
         rows = pa.array(range(width), pa.int32())
         yield pa.RecordBatch.from_arrays(
@@ -66,7 +67,7 @@ def svd_project(vectors: DataFrame, basis: np.ndarray) -> DataFrame:
 
     def project(batches):
         for batch in batches:
-            reduced = _dense(batch.column("vec").to_pylist(), width) @ basis
+            reduced = _dense(batch.column("vec"), width) @ basis
             yield batch.append_column("reduced", pa.array(reduced.tolist(), pa.list_(pa.float64())))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.schema.fields)
