@@ -4,9 +4,8 @@ A fingerprint has 30 cells; each distinct paragraph adds its digest to three of
 (count, xor of digests, xor of checks). Subtracting two fingerprints leaves the
 paragraphs that differ, and peeling takes them out of cells that hold just one. Where
 too many differ to be peeled, the pair is sketched again, larger: digests are spread
-over blocks of cells, twice as many with every attempt. Only DataFrame functions are used;
-sketches are made and peeled inside the row of the two versions, so that texts are shuffled
-once, to meet their neighbours, and digests not at all.
+over more cells. Only DataFrame functions are used. Cells are rows that are summed by key in
+the partition where neighbouring texts met, so texts are shuffled once and cells not at all.
 """
 
 from __future__ import annotations
@@ -23,8 +22,14 @@ ROUNDS = 7
 # The blocks of larger sketches are narrower, for so many digests each.
 BLOCK_WIDTH = 6
 LOAD = 4
+# A larger sketch has three segments, each of twice as many cells as both versions have
+# digests, but at least LEAST; its segments are peeled in turn, PEELS times.
+LEAST = 64
+PEELS = 6
 SEGMENTS = 64
-PARTS = 16
+# Blocks of a segment of ids, by the bytes of the texts, and those that one task may hold.
+PARTS = (16, 4096)
+TASK_BYTES = 1 << 20
 # A line, cut after the first end of a sentence behind every 160 characters.
 PARAGRAPH = r"[^\n]{160,}?[.!?](?=\s|$)|[^\n]+"
 # A piece of a line of at most 12 words, to the end of a sentence. Every 8 characters of a
@@ -160,69 +165,79 @@ def as_text(cells: Column) -> Column:
     )
 
 
-def _blocks(docs: DataFrame) -> Column:
-    """A block number rising with ``_id``, of about even blocks: segments between percentiles, in equal parts."""
+def _blocks(docs: DataFrame) -> tuple[Column, int]:
+    """A block number rising with ``_id``, of about even blocks, and the number of tasks for them.
+
+    Blocks are segments between percentiles, in equal parts.
+    """
     steps = [i / SEGMENTS for i in range(SEGMENTS + 1)]
-    bounds = docs.agg(F.percentile_approx("_id", steps, 10000)).first()[0]
+    bounds, size = docs.agg(F.percentile_approx("_id", steps, 10000), F.sum(F.octet_length("_text"))).first()
     if not bounds:
-        return F.lit(0)
+        return F.lit(0), 1
     bounds = sorted(set(bounds))
+    tasks = size // TASK_BYTES + 1
+    parts = min(max(tasks * 4 // SEGMENTS, PARTS[0]), PARTS[1])
 
     def search(low: int, high: int) -> Column:
         if high - low <= 1:
             first, last = bounds[low], bounds[min(low + 1, len(bounds) - 1)]
-            part = F.floor((F.col("_id") - F.lit(first)) / F.lit(float(max(last - first, 1))) * PARTS)
-            return F.lit(low * PARTS) + F.least(F.greatest(part, F.lit(0)), F.lit(PARTS - 1))
+            part = F.floor((F.col("_id") - F.lit(first)) / F.lit(float(max(last - first, 1))) * parts)
+            return F.lit(low * parts) + F.least(F.greatest(part, F.lit(0)), F.lit(parts - 1))
         middle = (low + high) // 2
         return F.when(F.col("_id") < F.lit(bounds[middle]), search(low, middle)).otherwise(search(middle, high))
 
-    return search(0, len(bounds)).cast("int")
+    return search(0, len(bounds)).cast("int"), min(tasks, SEGMENTS * parts)
 
 
 def with_next(docs: DataFrame, paragraph: str = PARAGRAPH) -> DataFrame:
-    """Every row with ``_text``, ``_own`` digests and those of the row after it, ``_next_text`` and ``_next``.
+    """Every row with ``_block``, ``_text``, ``_own`` digests and those of the row after it, ``_next_text`` and ``_next``.
 
     Rows stand by doc_id, null first, and text digest; the first follows the last. Rows
-    meet in at most ``SEGMENTS * PARTS`` blocks of neighbouring ids; the first row of
-    each block also goes to the block before. Texts are shuffled once.
+    meet in blocks of neighbouring ids, at most 262,144; the first row of each block also
+    goes to the block before. Texts are shuffled once.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
         "doc_id", text.alias("_text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**62))).alias("_id"),
         F.xxhash64(text).alias("_hash"),
     )
-    rows = rows.withColumn("_block", _blocks(rows))
+    block, tasks = _blocks(rows)
+    rows = rows.withColumn("_home", block)
     # At most one row for each block.
-    heads = rows.groupBy("_block").agg(F.min(F.struct("_id", "_hash")).alias("head")).orderBy("_block").collect()
+    heads = rows.groupBy("_home").agg(F.min(F.struct("_id", "_hash")).alias("head")).orderBy("_home").collect()
     if heads:
-        goal = [(heads[i]["head"]["_id"], heads[i]["head"]["_hash"], heads[i - 1]["_block"]) for i in range(len(heads))]
+        goal = [(heads[i]["head"]["_id"], heads[i]["head"]["_hash"], heads[i - 1]["_home"]) for i in range(len(heads))]
         guards = docs.sparkSession.createDataFrame(goal, "_gi long, _gh long, _goal int")
         rows = rows.join(
             F.broadcast(guards), (F.col("_id") == F.col("_gi")) & (F.col("_hash") == F.col("_gh")), "left"
         ).drop("_gi", "_gh")
     else:
         rows = rows.withColumn("_goal", F.lit(None).cast("int"))
-    own, guard = F.struct(F.col("_block").alias("b"), F.lit(False).alias("g")), F.struct(
+    own, guard = F.struct(F.col("_home").alias("b"), F.lit(False).alias("g")), F.struct(
         F.col("_goal").alias("b"), F.lit(True).alias("g")
     )
     sent = rows.withColumn("_own", digests(F.col("_text"), paragraph)).withColumn(
         "_to", F.explode(F.when(F.col("_goal").isNull(), F.array(own)).otherwise(F.array(own, guard)))
     )
-    order = Window.partitionBy("_to.b").orderBy("_to.g", "_id", "_hash")
-    sent = sent.withColumns({"_next_text": F.lead("_text").over(order), "_next": F.lead("_own").over(order)})
+    sent = sent.select("doc_id", "_text", "_own", "_id", "_hash", F.col("_to.b").alias("_block"), F.col("_to.g").alias("_guard"))
+    order = Window.partitionBy("_block").orderBy("_guard", "_id", "_hash")
+    sent = sent.repartition(tasks, "_block").withColumns(
+        {"_next_text": F.lead("_text").over(order), "_next": F.lead("_own").over(order)}
+    )
     # The last row of the table has the guard of the first behind it, so nothing is missing.
-    return sent.where("not _to.g").select("doc_id", "_text", "_own", "_next_text", "_next")
+    return sent.where("not _guard").select("_block", "doc_id", "_text", "_own", "_next_text", "_next")
 
 
 def edited_rows(docs: DataFrame, paragraph: str = PARAGRAPH) -> DataFrame:
-    """Rows: row, doc_id, n_chars, edited_sha256 and the digests own, edited and next."""
+    """Rows: _block, row, doc_id, n_chars, edited_sha256 and the digests own, edited and next."""
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(
         F.substring("_text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("_next_text", F.lit(1), half)
     )
     rows = with_next(docs, paragraph).withColumn("n_chars", F.length("_text").cast("long")).withColumn("_edited", edited)
     return rows.select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", "n_chars", F.sha2("_edited", 256).alias("edited_sha256"),
+        "_block", F.monotonically_increasing_id().alias("row"), "doc_id", "n_chars",
+        F.sha2("_edited", 256).alias("edited_sha256"),
         F.col("_own").alias("own"), digests(F.col("_edited"), paragraph).alias("edited"), F.col("_next").alias("next"),
     )
 
@@ -325,52 +340,154 @@ def likeness(n: Column, m: Column, differ: Column) -> Column:
     return F.when(n + m == 0, F.lit(1.0)).otherwise((n + m - differ) / (n + m + differ))
 
 
+# Sketches of a row: the fingerprints of the three texts, the larger sketches of own minus edited
+# and own minus next, and one more row that carries what is known of the texts.
+OWN, EDITED, NEXT, BY_EDITED, BY_NEXT, KNOWN = range(6)
+KEYS = ["_block", "row", "sketch", "width", "known"]
+
+
+def _some() -> Column:
+    """Whether a cell holds anything."""
+    return (F.col("n") != 0) | (F.col("x") != 0) | (F.col("c") != 0)
+
+
+def _summed(parts: DataFrame) -> DataFrame:
+    """Cells of one key and place added up; of larger sketches only those that hold anything."""
+    cells = parts.groupBy(*KEYS, "i").agg(
+        F.sum("n").cast("int").alias("n"), F.bit_xor("x").alias("x"), F.bit_xor("c").alias("c"),
+        F.sum("gone").cast("int").alias("gone"),
+    )
+    return cells.where(~F.col("sketch").isin(BY_EDITED, BY_NEXT) | _some() | (F.col("gone") != 0))
+
+
+def _all_cells(rows: DataFrame) -> DataFrame:
+    """The cells of all sketches of a row: ``KEYS``, place i, n, x, c and gone, the digests peeled so far."""
+    def width(other: str) -> Column:
+        return F.greatest(F.lit(LEAST), (F.size("own") + F.size(other)) * 2).cast("int")
+
+    known = F.struct("doc_id", "n_chars", "edited_sha256", "own", "edited", "next")
+    nothing = F.when(F.lit(False), known)
+
+    def side(of: int, found: Column, tells: Column = nothing) -> Column:
+        return F.struct(
+            F.lit(of).alias("side"), found.alias("found"), width("edited").alias("w"), width("next").alias("v"),
+            tells.alias("known"),
+        )
+
+    zero = F.lit(0).cast("long")
+    sides = F.array(
+        side(OWN, F.col("own")), side(EDITED, F.col("edited")), side(NEXT, F.col("next")), side(KNOWN, F.array(zero), known)
+    )
+    each = rows.select("_block", "row", F.explode(sides).alias("s")).select(
+        "_block", "row", "s.side", "s.w", "s.v", "s.known", F.explode("s.found").alias("d")
+    )
+
+    def part(number: int, width: Column, i: Column, n: int) -> Column:
+        return F.struct(F.lit(number).alias("sketch"), width.alias("width"), i.cast("int").alias("i"), F.lit(n).alias("n"))
+
+    def placed(number: int, n: int) -> list[Column]:
+        if number <= NEXT:
+            return [part(number, F.lit(WIDTH), p, n) for p in _places(F.col("d"), F.lit(0), WIDTH)]
+        wide = F.col("w" if number == BY_EDITED else "v")
+        return [part(number, wide, p, n) for p in _wide_places(F.col("d"), wide)]
+
+    empty = [part(r, F.lit(WIDTH), F.lit(i), 0) for r in (OWN, EDITED, NEXT) for i in range(CELLS)]
+    parts = (
+        F.when(F.col("side") == OWN, F.array(*placed(OWN, 1), *placed(BY_EDITED, 1), *placed(BY_NEXT, 1)))
+        .when(F.col("side") == EDITED, F.array(*placed(EDITED, 1), *placed(BY_EDITED, -1)))
+        .when(F.col("side") == NEXT, F.array(*placed(NEXT, 1), *placed(BY_NEXT, -1)))
+        .otherwise(F.array(*empty, part(KNOWN, F.lit(WIDTH), F.lit(0), 0)))
+    )
+    holds = F.col("p.n") != 0
+    return _summed(each.select("_block", "row", "known", "d", F.explode(parts).alias("p")).select(
+        "_block", "row", "p.sketch", "p.width", F.when(F.col("p.sketch") == KNOWN, F.col("known")).alias("known"), "p.i",
+        "p.n", F.when(holds, F.col("d")).otherwise(zero).alias("x"),
+        F.when(holds, _check(F.col("d"))).otherwise(zero).alias("c"), F.lit(0).alias("gone"),
+    ))
+
+
+def _wide_places(digest: Column, width: Column) -> list[Column]:
+    """The place of a digest in each of the three segments of a larger sketch."""
+    return [(F.pmod(F.xxhash64(digest, F.lit(1), F.lit(i)), width) + width * i).cast("int") for i in range(3)]
+
+
+def _peeled_segment(cells: DataFrame, segment: int) -> DataFrame:
+    """Larger sketches without the digests that stand alone in a cell of one segment.
+
+    A digest has one cell in a segment, so none is taken out twice. Taken digests are
+    counted in ``gone`` of place -1.
+    """
+    alone = (
+        F.col("sketch").isin(BY_EDITED, BY_NEXT) & (F.floor(F.col("i") / F.col("width")) == segment)
+        & (F.abs("n") == 1) & (F.col("c") == _check(F.col("x")))
+    )
+
+    def part(i: Column, n: Column, x: Column, c: Column, gone: Column) -> Column:
+        return F.struct(i.alias("i"), n.alias("n"), x.alias("x"), c.alias("c"), gone.alias("gone"))
+
+    zero = F.lit(0).cast("long")
+    places = _wide_places(F.col("x"), F.col("width"))
+    others = [
+        part(p, -F.col("n"), F.col("x"), F.col("c"), F.lit(0)) for k, p in enumerate(places) if k != segment
+    ]
+    taken = F.array(*others, part(F.lit(-1), F.lit(0), zero, zero, F.col("gone") + 1))
+    stays = F.array(part(*[F.col(f) for f in ("i", "n", "x", "c", "gone")]))
+    return _summed(cells.select(*KEYS, F.explode(F.when(alone, taken).otherwise(stays)).alias("p")).select(*KEYS, "p.*"))
+
+
+def _compared(cells: DataFrame) -> DataFrame:
+    """row, known, the three fingerprints, and of both larger sketches the digests peeled and whether these are all."""
+    for turn in range(PEELS):
+        cells = _peeled_segment(cells, turn % 3)
+    cell = F.struct("sketch", "i", "n", "x", "c")
+
+    def of(number: int) -> Column:
+        here = F.col("sketch") == number
+        return F.struct(
+            F.coalesce(F.sum(F.when(here, F.col("gone"))), F.lit(0)).cast("int").alias("n"),
+            F.coalesce(~F.bool_or(here & _some()), F.lit(True)).alias("ok"),
+        )
+
+    found = cells.groupBy("_block", "row").agg(
+        F.sort_array(F.collect_list(F.when(F.col("sketch") <= NEXT, cell))).alias("cells"),
+        of(BY_EDITED).alias("by_edited"), of(BY_NEXT).alias("by_next"), F.first("known", ignorenulls=True).alias("known"),
+    )
+    return found.select(
+        "row", "known", "by_edited", "by_next",
+        *[F.slice("cells", 1 + r * CELLS, CELLS).alias(name) for r, name in enumerate(("mine", "changed", "theirs"))],
+    )
+
+
 def compare_versions(docs: DataFrame, paragraph: str = PARAGRAPH) -> DataFrame:
     """doc_id, n_chars, edited_sha256, both fingerprints, near_edited and near_next of every row.
 
     Null texts are empty; texts without a paragraph have cells of 0, so two such are alike.
     Rows of one id stand by their text's digest and repeated rows behind each other. One row
     is its own next; an empty table gives no rows. ``paragraph`` is the pattern of what is compared.
+    Where two fingerprints hide too many differences, the larger sketch of the pair tells them,
+    and where that cannot, others of twice as many cells with every level.
     """
-    def tried(own: Column, mine: Column, other: Column, theirs: Column) -> Column:
-        """(n, ok): digests that differ, by the fingerprints or else by a larger sketch."""
-        def counted(t: Column) -> Column:
-            return F.struct(F.size(t["found"]).alias("n"), t["ok"].alias("ok"))
+    rows = _compared(_all_cells(edited_rows(docs, paragraph)))
 
-        again = lambda: _bind(sketched_again(own, other, 1), counted)
-        return _bind(subtracted(mine, theirs), lambda t: F.when(t["ok"], counted(t)).otherwise(again()))
+    def tried(other: str, larger: str) -> Column:
+        def told(t: Column) -> Column:
+            return F.when(t["ok"], F.struct(F.size(t["found"]).alias("n"), t["ok"].alias("ok"))).otherwise(F.col(larger))
 
-    def compared(t: Column) -> Column:
-        return F.struct(
-            as_text(t["mine"]).alias("fingerprint"), as_text(t["changed"]).alias("edited_fingerprint"),
-            tried(t["own"], t["mine"], t["edited"], t["changed"]).alias("_edited"),
-            tried(t["own"], t["mine"], t["next"], t["theirs"]).alias("_next"),
-            F.size(t["own"]).alias("_a"), F.size(t["edited"]).alias("_b"), F.size(t["next"]).alias("_c"),
-            t["own"].alias("own"), t["edited"].alias("edited"), t["next"].alias("next"),
-        )
+        return _bind(subtracted(F.col("mine"), F.col(other)), told)
 
-    def sketched(t: Column) -> Column:
-        prints = F.struct(
-            t["own"].alias("own"), t["edited"].alias("edited"), t["next"].alias("next"),
-            sketch(t["own"]).alias("mine"), sketch(t["edited"]).alias("changed"), sketch(t["next"]).alias("theirs"),
-        )
-        return _bind(prints, compared)
-
-    given = edited_rows(docs, paragraph)
-    once = F.explode_outer(F.array(F.struct("own", "edited", "next"))).alias("t")
-    rows = given.select("row", "doc_id", "n_chars", "edited_sha256", once).select(
-        "row", "doc_id", "n_chars", "edited_sha256", "t.own", "t.edited", "t.next"
-    )
     # The outer form of explode is a step of its own: what it makes is not worked out again for each use.
-    found = F.explode_outer(F.array(_bind(F.struct("own", "edited", "next"), sketched))).alias("r")
+    once = F.explode_outer(F.array(F.struct(
+        tried("changed", "by_edited").alias("_edited"), tried("theirs", "by_next").alias("_next"),
+        as_text(F.col("mine")).alias("fingerprint"), as_text(F.col("changed")).alias("edited_fingerprint"),
+    ))).alias("r")
     ok = F.col("r._edited.ok") & F.col("r._next.ok")
+    roles = ("own", "edited", "next")
     # Digests are written only for rows that need a still larger sketch.
-    kept = [F.when(~ok, F.col(f"r.{c}")).alias(c) for c in ("own", "edited", "next")]
-    names = ["fingerprint", "edited_fingerprint", "_edited", "_next", "_a", "_b", "_c"]
-    rows = cut(rows.select("row", "doc_id", "n_chars", "edited_sha256", found).select(
-        "row", "doc_id", "n_chars", "edited_sha256", *[f"r.{c}" for c in names], *kept
+    rows = cut(rows.select("row", "known", once).select(
+        "row", "known.doc_id", "known.n_chars", "known.edited_sha256", "r.*",
+        *[F.size(f"known.{c}").alias(f"_n_{c}") for c in roles], *[F.when(~ok, F.col(f"known.{c}")).alias(c) for c in roles],
     ))
-    done, level = [rows.where("_edited.ok and _next.ok")], 2
+    done, level = [rows.where("_edited.ok and _next.ok")], 1
     failed = rows.where("not (_edited.ok and _next.ok)")
     while not failed.isEmpty():
         def larger(other: str) -> Column:
@@ -386,6 +503,6 @@ def compare_versions(docs: DataFrame, paragraph: str = PARAGRAPH) -> DataFrame:
         level += 1
     return reduce(DataFrame.unionByName, done).select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        likeness(F.col("_a"), F.col("_b"), F.col("_edited.n")).alias("near_edited"),
-        likeness(F.col("_a"), F.col("_c"), F.col("_next.n")).alias("near_next"),
+        likeness(F.col("_n_own"), F.col("_n_edited"), F.col("_edited.n")).alias("near_edited"),
+        likeness(F.col("_n_own"), F.col("_n_next"), F.col("_next.n")).alias("near_next"),
     )

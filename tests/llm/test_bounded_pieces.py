@@ -73,3 +73,21 @@ def test_one_changed_character_changes_one_piece():
             changed = re.findall(fingerprints.BOUNDED, text[:100] + ("x" if text[100] != "x" else "y") + text[101:], re.ASCII)
             if text[100] not in " \n|;.":
                 assert len(set(found) - set(changed)) <= 1
+
+
+def test_versions_that_the_larger_sketch_cannot_tell_are_sketched_again(spark, tmp_path, monkeypatch):
+    docs = list(texts().values())
+    want = run(spark, tmp_path / "a", docs)
+    monkeypatch.setattr(fingerprints, "PEELS", 1)
+    cells = fingerprints._all_cells(fingerprints.edited_rows(spark.read.parquet(f"{tmp_path}/a/in/documents.parquet")))
+    assert fingerprints._compared(cells).where("not (by_edited.ok and by_next.ok)").count() > 0
+    assert run(spark, tmp_path / "b", docs) == want
+
+
+def test_sketches_are_summed_where_texts_met(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "TASK_BYTES", 1)
+    rows = spark.createDataFrame([(1, "a b c"), (2, "d e f")], "doc_id long, text string")
+    plan = fingerprints._compared(fingerprints._all_cells(fingerprints.edited_rows(rows)))
+    # One shuffle of the texts; the other exchange is the broadcast of the block heads.
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") == 1 and "Python" not in text
