@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from faultline import fixed
 from faultline.functions.text import embeddable
 from faultline.operators.centroids import kmeans, reduced_kmeans
-from faultline.operators.density import dbscan
+from faultline.operators.density import dbscan, dbscan_dense
 from faultline.operators.lookup import lookup
 from faultline.operators.features import VECTOR, fit_vocabulary, vectorize
 from faultline.session import cut
@@ -96,6 +96,10 @@ def semantic_clusters_dense(
         points = embedded.select("vec_id", F.lit(1).alias("m"), values.alias("reduced"))
         return kmeans(points, "reduced", n_clusters)
     norm = F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, x: a + x * x))
+    if eps < 1:
+        kind = embedded.schema["embedding"].dataType.elementType.typeName()
+        numbers = F.col("embedding") if kind in ("float", "double") else values
+        return dbscan_dense(embedded.select("vec_id", numbers.alias("embedding"), norm.alias("norm")), eps, min_samples)
     entries = F.transform(
         values, lambda x, k: F.struct(k.alias("i"), (x / F.col("norm")).alias("w"))
     )

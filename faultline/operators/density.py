@@ -14,7 +14,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from faultline import fixed
-from faultline.operators.neighbours import BLOCK_ROWS, block_sides, compare_blocks
+from faultline.operators.neighbours import (
+    BLOCK_ROWS,
+    DENSE_ROWS,
+    block_sides,
+    compare_blocks,
+    compare_dense,
+    dense_points,
+)
 from faultline.operators.trend import with_position
 from faultline.session import cut
 
@@ -60,24 +67,75 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
+class _Forest:
+    """A spanning forest of neighbour pairs, which come a strip of rows at a time."""
+
+    def __init__(self, nodes: np.ndarray):
+        self.ids, self.place = np.unique(nodes, return_inverse=True)
+        self.root = np.arange(len(self.ids))
+        self.kept: list[tuple[int, int]] = []
+
+    def add(self, left: np.ndarray, right: np.ndarray, near: np.ndarray) -> None:
+        """Neighbours by the positions of their rows among the ``nodes``."""
+        right = self.place[right]
+        for i in np.flatnonzero(near.any(axis=1)).tolist():
+            mine, others = self.place[left[i]], right[near[i]]
+            roots = self.root[others]
+            if (roots == self.root[mine]).all():
+                continue
+            found, first = np.unique(roots, return_index=True)
+            for root, at in zip(found.tolist(), first.tolist()):
+                if root != self.root[mine]:
+                    self.kept.append((int(self.ids[mine]), int(self.ids[others[at]])))
+            found = np.append(found, self.root[mine])
+            self.root[np.isin(self.root, found)] = found.min()
+
+
 def _forest(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
     """A spanning forest of the neighbour pairs of one pair of blocks."""
-    parent: dict[int, int] = {}
+    forest = _Forest(np.concatenate([left, right]))
+    forest.add(np.arange(len(left)), np.arange(len(left), len(left) + len(right)), near)
+    return forest.kept
+
+
+class _Counts:
+    """How many rows, by their ``m``, are near each row of a task."""
+
+    def __init__(self, rows: pd.DataFrame):
+        self.ids, self.weight = rows["vec_id"].to_numpy(), rows["m"].to_numpy()
+        self.found = np.zeros(len(rows), np.int64)
 
-    def find(v):
-        while parent.setdefault(v, v) != v:
-            parent[v] = parent[parent[v]]
-            v = parent[v]
-        return v
+    def add(self, left: np.ndarray, right: np.ndarray, near: np.ndarray) -> None:
+        self.found[left] += near @ self.weight[right]
+        self.found[right] += self.weight[left] @ near
+
+    def rows(self) -> pd.DataFrame:
+        keep = self.found > 0
+        return pd.DataFrame({"vec_id": self.ids[keep], "found": self.found[keep]})
+
+
+class _Links:
+    """A forest of the core rows of a task by their ``root``, and the border rows next to a core row."""
+
+    def __init__(self, rows: pd.DataFrame):
+        self.ids, self.core = rows["vec_id"].to_numpy(), rows["core"].to_numpy(dtype=bool)
+        self.forest, self.border = _Forest(rows["root"].to_numpy()), []
+
+    def add(self, left: np.ndarray, right: np.ndarray, near: np.ndarray) -> None:
+        core_a, core_b = self.core[left], self.core[right]
+        if core_a.all() and core_b.all():
+            self.forest.add(left, right, near)
+            return
+        self.forest.add(left, right, near & core_a[:, None] & core_b[None, :])
+        # A border point has fewer than min_samples neighbours, so these stay few.
+        for i, j in zip(*np.nonzero(near & (core_a[:, None] != core_b[None, :]))):
+            a, b = (left[i], right[j]) if core_a[i] else (right[j], left[i])
+            self.border.append((int(self.ids[a]), int(self.ids[b])))
 
-    kept = []
-    for i, j in zip(*np.nonzero(near)):
-        a, b = int(left[i]), int(right[j])
-        ra, rb = find(a), find(b)
-        if ra != rb:
-            parent[max(ra, rb)] = min(ra, rb)
-            kept.append((a, b))
-    return kept
+    def rows(self) -> pd.DataFrame:
+        rows = [(a, b, True) for a, b in self.forest.kept] + [(a, b, False) for a, b in self.border]
+        a, b, both = zip(*rows) if rows else ((), (), ())
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64), "both": np.array(both, bool)})
 
 
 def _only_partly_close(vectors: DataFrame) -> bool:
@@ -160,6 +218,46 @@ def dbscan(
 
     flagged = sides.join(points, "vec_id")
     links = cut(compare_blocks(flagged, eps, link, "a long, b long, both boolean"))
+    return _labels(vectors, points, empty, links, min_samples)
+
+
+def dbscan_dense(
+    vectors: DataFrame, eps: float, min_samples: int, block_rows: int = DENSE_ROWS
+) -> DataFrame:
+    """(vec_id, label), -1 for noise, as ``dbscan`` gives with an ``eps`` below 1, a weight of 1 a row.
+
+    ``vectors`` has vec_id, embedding (numbers) and norm; rows without a norm above 0 are at distance 1
+    from everything else. Blocks of vectors are compared within, then across, where what
+    the first pass joined is one node: a large cluster gives few links.
+    """
+    some = F.col("norm") > 0
+    long = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "norm", F.lit(1).cast("long").alias("m"))
+    points = cut(dense_points(long.where(some), ["m"], block_rows))
+    empty = vectors.where(~F.coalesce(some, F.lit(False))).select("vec_id")
+    if min_samples <= 1:
+        cores = cut(points.select("vec_id", F.lit(True).alias("core")))
+    else:
+        counts = compare_dense(points, eps, _Counts, "vec_id long, found long", inside=True, across=True)
+        counts = counts.groupBy("vec_id").agg(F.sum("found").alias("found"))
+        around = F.col("m") + F.coalesce(F.col("found"), F.lit(0))
+        cores = cut(
+            points.select("vec_id", "m").join(counts, "vec_id", "left").select(
+                "vec_id", (around >= min_samples).alias("core")
+            )
+        )
+    core = cores.groupBy("vec_id").agg(F.max("core").alias("core"))
+    schema = "a long, b long, both boolean"
+    alone = points.join(core, "vec_id").withColumn("root", F.col("vec_id"))
+    first = cut(compare_dense(alone, eps, _Links, schema, inside=True, across=False))
+    ids = core.where("core").select("vec_id")
+    joined = connected_components(ids, first.where("both"))
+    joined = points.join(core, "vec_id").join(joined, "vec_id", "left").withColumn("root", F.coalesce("root", "vec_id"))
+    second = cut(compare_dense(joined, eps, _Links, schema, inside=False, across=True))
+    return _labels(vectors, cores, empty, first.unionByName(second), min_samples)
+
+
+def _labels(vectors: DataFrame, points: DataFrame, empty: DataFrame, links: DataFrame, min_samples: int) -> DataFrame:
+    """(vec_id, label): components of the core points by their first line, border points with the least label beside them."""
     core = points.where("core").select("vec_id")
     if min_samples <= 1:
         core = core.union(empty)

@@ -7,6 +7,9 @@ below the wanted similarity (Bayardo et al. 2007, all-pairs search). Postings of
 one leading term are cut into blocks; a task multiplies two blocks and reports
 only what is asked for, never the candidate pairs. A pair sharing several leading
 terms is handled under the rarest of them only.
+
+Dense vectors share all terms, so every pair is compared, once: blocks of rows travel as
+arrays of numbers and a task multiplies two of them a strip at a time.
 """
 
 from __future__ import annotations
@@ -15,10 +18,17 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 BLOCK_ROWS = 1000
+# Rows of a dense block, and numbers of it, whichever is less.
+DENSE_ROWS = 16_384
+DENSE_NUMBERS = 1 << 21
+# Blocks that a small table is cut into all the same, to keep all tasks busy.
+LEAST_BLOCKS = 12
 _SLACK = 1e-9
+_STRIP = 1 << 23
 
 
 def _ranks(vectors: DataFrame) -> tuple[dict[int, int], int]:
@@ -152,3 +162,75 @@ def cosine_neighbors(vectors: DataFrame, eps: float, block_rows: int = BLOCK_ROW
 
     schema = "id_a long, id_b long, similarity double"
     return compare_blocks(block_sides(vectors, eps, [], block_rows), eps, report, schema)
+
+
+def dense_points(vectors: DataFrame, carry: list[str], block_rows: int = DENSE_ROWS) -> DataFrame:
+    """vec_id, ``carry``, numbers (as many in every row), norm, and block of ``n_blocks``.
+
+    ``vectors`` has vec_id (long), embedding (not null, float or double), norm (above 0) and the ``carry`` columns.
+    """
+    rows, width = vectors.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
+    blocks = max(-(-rows // max(1, min(block_rows, DENSE_NUMBERS // max(width, 1)))), min(LEAST_BLOCKS, -(-rows // BLOCK_ROWS)), 1)
+    kind = vectors.schema["embedding"].dataType.elementType
+    # A shorter vector has zeros where others have more.
+    padding = F.array_repeat(F.lit(0).cast(kind), F.lit(width) - F.size("embedding"))
+    return vectors.select(
+        "vec_id", *carry, F.concat("embedding", padding).alias("numbers"), "norm",
+        F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), F.lit(blocks).alias("n_blocks"),
+    )
+
+
+def compare_dense(
+    points: DataFrame, eps: float, report: Callable[[pd.DataFrame], object], schema: str, inside: bool, across: bool
+) -> DataFrame:
+    """Compare rows within blocks (``inside``), of different blocks (``across``), or both.
+
+    ``report`` makes, from the rows of a task without their numbers, an object whose ``add(left, right, near)``
+    gets the neighbour pairs of a strip of rows (positions of rows, and a matrix; each unordered
+    pair once over all tasks) and whose ``rows()`` gives what the task returns.
+    """
+    similarity = 1.0 - eps
+    # Numbers of half the length decide all but the pairs this near to the limit.
+    unsure = 1e-4
+    names = [c for c in points.columns if c not in ("numbers", "norm", "block", "n_blocks")]
+
+    def run(table: pa.Table) -> pa.Table:
+        flat = table.column("numbers").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        unit = flat.reshape(table.num_rows, -1).astype(np.float64)
+        unit /= table.column("norm").to_numpy()[:, None]
+        short = unit.astype(np.float32)
+        mine, low, high = (table.column(c).to_numpy() for c in ("block", "low", "high"))
+        left, right = np.flatnonzero(mine == low[0]), np.flatnonzero(mine == high[0])
+        across = np.ascontiguousarray(short[right].T)
+        found = report(table.select(names).to_pandas())
+        step = max(1, _STRIP // max(len(right), 1))
+        for start in range(0, len(left), step):
+            strip = left[start : start + step]
+            with np.errstate(all="ignore"):
+                close = short[strip] @ across
+            near = close >= similarity + unsure
+            maybe = close >= similarity - unsure
+            if np.count_nonzero(maybe) != np.count_nonzero(near):
+                i, j = np.nonzero(maybe & ~near)
+                for at in range(0, len(i), 1 << 16):
+                    a, b = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+                    exact = np.einsum("ik,ik->i", unit[strip[a]], unit[right[b]])
+                    near[a, b] = np.round(exact, 9) >= similarity - 1e-12
+            if low[0] == high[0]:
+                near &= np.arange(len(right))[None, :] > np.arange(start, start + len(strip))[:, None]
+            if near.any():
+                found.add(strip, right, near)
+        return pa.Table.from_pandas(found.rows(), preserve_index=False)
+
+    mine, last = F.col("block"), F.col("n_blocks") - 1
+    if inside and across:
+        other = F.explode(F.sequence(F.lit(0), last))
+    elif inside:
+        other = mine
+    else:
+        others = F.filter(F.sequence(F.lit(0), last), lambda b: b != mine)
+        other = F.explode(others)
+    sides = points.withColumn("other", other).withColumns(
+        {"low": F.least("block", "other"), "high": F.greatest("block", "other")}
+    )
+    return sides.drop("other", "n_blocks").groupBy("low", "high").applyInArrow(run, schema)

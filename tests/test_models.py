@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pytest
@@ -74,6 +75,30 @@ def test_dbscan_edges(spark):
     assert {r.label for r in density.dbscan(df, 1.0, 2).collect()} == {0}
 
 
+@pytest.mark.parametrize("kind, min_samples, block, n_blocks", [("float", 1, 7, 13), ("double", 4, 16, 6), ("int", 1, 1000, 1)])
+def test_dense_clusters_by_blocks(spark, monkeypatch, kind, min_samples, block, n_blocks):
+    rnd = random.Random(min_samples)
+    centres = [[rnd.gauss(0, 9) for _ in range(5)] for _ in range(9)]
+    rows = [(i * 3, [round(x + rnd.gauss(0, 3)) * 1.0 for x in rnd.choice(centres)], 1) for i in range(91)]
+    rows[4] = (rows[4][0], [0.0] * 5, 1)
+    short = [(r[0], r[1][:4] if r[1][4] == 0 else r[1], 1) for r in rows]
+    unit = [(i, [(k, x / sum(y * y for y in v) ** 0.5) for k, x in enumerate(v) if x], m) for i, v, m in rows]
+    labels, pairs = scan_labels(unit, 5, 0.35, min_samples)
+    assert 1 < len(set(labels.values())) < 80 and len(pairs) > 100
+
+    def by_terms(*_):
+        raise AssertionError("dense vectors are not posted by their terms, which all of them share")
+
+    monkeypatch.setattr(density, "block_sides", by_terms)
+    if block < 1000:
+        monkeypatch.setattr(neighbours, "DENSE_NUMBERS", 5 * block)
+    frame = spark.createDataFrame([(i, v) for i, v, _ in short], "vec_id long, v array<double>")
+    frame = frame.selectExpr("vec_id", f"cast(v as array<{kind}>) as embedding")
+    assert neighbours.dense_points(frame.withColumn("norm", F.lit(1.0)), []).first()["n_blocks"] == n_blocks
+    found = clusters.semantic_clusters_dense(frame, 0.35, min_samples)
+    assert found.count() == len(rows) and {r.vec_id: r.label for r in found.collect()} == labels
+
+
 def test_long_chain_is_one_component(spark):
     n = 60
     vertices = spark.range(n).withColumnRenamed("id", "vec_id")
