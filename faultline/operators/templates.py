@@ -305,7 +305,9 @@ def mine_templates(
     bounds the state changes that go to one task beyond a leaf's groups. The result is a
     checkpointed table, as everything downstream reads it several times.
     """
-    rows = _prepare(logs.drop("event_template", "event_id", "level"), text, max_chars)
+    # Masks cost more than all else here. They are written once, as the plan would work them out anew
+    # for each use, and several times where a join asks that the leaf is not null.
+    rows = cut(_prepare(logs.drop("event_template", "event_id", "level"), text, max_chars))
     hot = cut(
         rows.groupBy(source, "_leaf")
         .agg(F.count("_masked").alias("n"))

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from faultline.operators import templates
 from faultline.operators.templates import mine_templates
@@ -102,3 +103,20 @@ def test_level_and_other_columns_stay(spark):
     )
     row = mine_templates(df).first()
     assert (row.level, row.extra, row.event_id) == ("WARN", 7, 1)
+
+
+@pytest.mark.parametrize("hot_rows", [5, 1_000])
+def test_masks_are_worked_out_once_a_row(spark, monkeypatch, hot_rows):
+    calls, n = spark.sparkContext.accumulator(0), 60
+    rows = [(f"{'x' * (i % 3 + 1)} {'y' if i % 2 else 'z'} w{i}") for i in range(n)]
+    want = {("s", i): found for i, found in replay(list(enumerate(rows))).items()}
+
+    @F.udf("string")
+    def counted(text):
+        calls.add(1)
+        return text
+
+    monkeypatch.setattr(templates, "masked_line", lambda col, limit=None: counted(col))
+    df = spark.createDataFrame([("s", i, text) for i, text in enumerate(rows)], "log_source string, line_id long, clean_log string")
+    assert mined(df, hot_rows=hot_rows) == want
+    assert calls.value == n
