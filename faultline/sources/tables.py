@@ -86,7 +86,8 @@ def _rewrite(
     touched = stored.where(F.col("bucket").isin(buckets))
     kept = touched.where("not void").join(keys, same, "left_anti")
     # The old rows are written aside first: the overwrite takes the place of the files they come from.
-    kept = cut(kept if rows is None else kept.unionByName(rows))
+    kept = cut(kept)
+    kept = kept if rows is None else kept.unionByName(rows)
     columns = [f.name for f in kept.schema.fields]
     tops = cut(touched.unionByName(kept).groupBy("bucket").agg(F.max(columns[0]).alias(columns[0])))
     every = spark.createDataFrame([(b,) for b in buckets], "bucket int").join(F.broadcast(tops), "bucket", "left")
@@ -110,10 +111,10 @@ def _numbered(records: DataFrame, first_id: int) -> DataFrame:
     part = F.shiftright("_at", 33)
     sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
     ahead = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    # One row per partition.
+    # One row per partition: small enough to broadcast, so that no record moves.
     sizes = sizes.select("_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
     place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_ahead") + F.lit(first_id)
-    return placed.withColumn("_part", part).join(sizes, "_part").withColumn("id", place).drop("_at", "_part", "_ahead")
+    return placed.withColumn("_part", part).join(F.broadcast(sizes), "_part").withColumn("id", place).drop("_at", "_part", "_ahead")
 
 
 def _as_raw(records: DataFrame, first_id: int) -> DataFrame:

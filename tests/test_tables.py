@@ -195,3 +195,25 @@ def test_json_report_of_nothing(spark):
     assert report["stats"]["anomaly_rate"] == 0
     assert report["top_alerts"] == []
     assert report["executive_summary"]["domain"] == "Operacion general del servidor"
+
+
+def test_new_rows_are_written_aside_twice_and_never_dealt_by_partition(spark, path, monkeypatch):
+    n, written, plans = 40, [], []
+    plain = tables.cut
+
+    def counted(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        out = plain(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(tables, "cut", counted)
+    for _ in range(2):
+        written.clear()
+        rows = spark.range(n).selectExpr("id as line_id", "'' as timestamp", "'INFO' as level", "string(id) as message", "'a' as source")
+        assert tables.replace_sources(rows.repartition(3), path) == n
+        assert sum(written) < 2 * n + 10
+    stored = tables.read_raw_logs(spark, path).collect()
+    assert sorted(int(r.message) for r in stored) == list(range(n)) and {r.id for r in stored} == set(range(n + 1, 2 * n + 1))
+    by_part = [line for plan in plans for line in plan.splitlines() if "Join" in line and "_part" in line]
+    assert by_part and all("broadcast" in line for line in by_part)
