@@ -27,7 +27,6 @@ from faultline.operators import (
     quality,
     similarity,
     summaries,
-    templates,
     trend,
 )
 from faultline.plans import run as whole
@@ -532,15 +531,13 @@ def isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drain_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = fx.logs(spark, sf_dir).withColumn("clean_log", clean(F.col("raw_log")))
-    mined = templates.mine_templates(lines)
+    mined = whole.parse(fx.logs(spark, sf_dir))
     return mined.select("log_source", "line_id", "level", "event_id", "event_template")
 
 
 def drain_hot_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with every leaf of more than 200 lines mined by ranges of lines."""
-    lines = fx.logs(spark, sf_dir).withColumn("clean_log", clean(F.col("raw_log")))
-    mined = templates.mine_templates(lines, hot_rows=200)
+    mined = whole.parse(fx.logs(spark, sf_dir), hot_rows=200)
     return mined.select("log_source", "line_id", "level", "event_id", "event_template")
 
 

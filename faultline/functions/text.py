@@ -16,6 +16,8 @@ _DIGIT = (
     r"⑴-⑼⒈-⒐⓪⓵-⓽⓿❶-❾"
     r"➀-➈➊-➒፩-፱]"
 )
+# A token with a digit. It is only looked for at the start of a token, so that long ones are read once.
+_DIGIT_TOKEN = rf"(?<![^ ])[^ {_DIGIT[1:]}*+{_DIGIT}[^ ]*+"
 
 
 def strip(col: Column) -> Column:
@@ -24,7 +26,7 @@ def strip(col: Column) -> Column:
 
 
 def is_blank(col: Column) -> Column:
-    return strip(col) == ""
+    return ~col.rlike("(?U)[^" + fixed.WS[1:])
 
 
 @F.arrow_udf(T.StringType())
@@ -82,10 +84,7 @@ def leaf_key(masked: Column) -> Column:
     the first three tokens, any token holding a digit replaced by a wildcard.
     """
     n_words = F.length(masked) - F.length(F.replace(masked, F.lit(" "), F.lit(""))) + 1
-    head = F.transform(
-        F.slice(F.split(masked, " ", 4), 1, 3),
-        lambda t: F.when(t.rlike(_DIGIT), F.lit("<*>")).otherwise(t),
-    )
+    head = F.regexp_replace(F.substring_index(masked, " ", 3), _DIGIT_TOKEN, "<*>")
     return F.concat_ws(" ", n_words.cast("string"), head)
 
 

@@ -32,8 +32,8 @@ from faultline.operators.forest import detect, fit_forest, sample_rows, score_fo
 from faultline.operators.lookup import lookup
 from faultline.operators.quality import davies_bouldin, silhouette
 from faultline.operators.similarity import embed
-from faultline.operators.templates import mine_templates
-from faultline.session import cut
+from faultline.operators.templates import HOT_ROWS, mine_templates
+from faultline.session import cut, spread
 from faultline.sources.scan import profile_logs, profile_record, read_for_profile, scan_lines, with_header
 from faultline.sources.tables import append_raw_logs, replace_sources, save_incidents
 
@@ -54,10 +54,10 @@ class RunResult:
     persistence_error: str | None = None
 
 
-def parse(logs: DataFrame) -> DataFrame:
+def parse(logs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Clean the raw lines and mine their templates."""
-    cleaned = logs.withColumn("clean_log", clean(F.col("raw_log")))
-    return mine_templates(cleaned)
+    dealt = spread(logs, "log_source", "line_id", "raw_log")
+    return mine_templates(dealt.withColumn("clean_log", clean(F.col("raw_log"))), hot_rows=hot_rows)
 
 
 def template_vectors(logs: DataFrame, max_terms: int = fixed.TFIDF_ROW_TERMS):

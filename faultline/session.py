@@ -42,3 +42,12 @@ def cut(df: DataFrame) -> DataFrame:
     path = scratch_path(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(rows: DataFrame, *by: str) -> DataFrame:
+    """The rows dealt over the cluster by a hash of these columns.
+
+    A scan has as many tasks as its files have splits, one for a file of a single row group; costly
+    work on the rows follows this, so that it does not stay with those few.
+    """
+    return rows.repartition(*by)

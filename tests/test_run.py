@@ -3,7 +3,8 @@ import random
 import pytest
 
 from faultline.operators.history import list_runs
-from faultline.plans.run import run, run_on
+from faultline.operators import templates
+from faultline.plans.run import parse, run, run_on
 from faultline.sources.tables import read_incidents
 
 LINES = [
@@ -91,3 +92,23 @@ def test_one_line(spark):
     lines = spark.createDataFrame([("s", 1, "ERROR disk")], "log_source string, line_id long, raw_log string")
     row = run_on(lines, "s").logs.first()
     assert (row.dbscan_cluster, row.semantic_cluster, row.event_id) == (0, 0, 1)
+
+
+def test_lines_of_one_split_are_parsed_by_several_tasks(spark, monkeypatch):
+    tasks = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        tasks.add(1)
+        yield from batches
+
+    def seen(logs, text, max_chars=None, prepare=templates._prepare):
+        return prepare(logs.mapInArrow(counted, logs.schema), text, max_chars)
+
+    monkeypatch.setattr(templates, "_prepare", seen)
+    lines = spark.range(0, 400, 1, 1).selectExpr("'s' log_source", "id line_id", "concat('line of ', id % 7, 'x') raw_log")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert parse(lines).count() == 400
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert tasks.value > 1

@@ -142,3 +142,17 @@ def test_squeeze_equals_split_join(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "t string")
     for row in df.select("t", text.squeeze(F.col("t")).alias("s")).collect():
         assert row.s == " ".join(row.t.split())
+
+
+def test_leaf_and_blank_equal_the_words(spark):
+    words = ["a", "b2", "c²", "x١y", "٣", "é", "<NUM>", "<*>", "½", "a" * 30_000, "b" * 30_000 + "7", "$1"]
+    rows = [" ".join(words[(i * k + k) % 12] for k in range(1, 1 + i % 6)) for i in range(60)]
+    rows += ["", " ", "a ", " a", "a  b2", "\x1c\x1f", " ", "\x85\n", "\n", "x\n", "​", None]
+    df = spark.createDataFrame([(r,) for r in rows], "t string")
+    for r in df.select("t", text.leaf_key(F.col("t")).alias("k"), text.is_blank(F.col("t")).alias("b")).collect():
+        if r.t is None:
+            assert (r.k, r.b) == ("", None)
+            continue
+        head = ["<*>" if any(c.isdigit() for c in w) else w for w in r.t.split(" ")[:3]]
+        assert r.k == " ".join([str(r.t.count(" ") + 1), *head])
+        assert r.b == (not r.t.strip())
