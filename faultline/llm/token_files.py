@@ -9,7 +9,6 @@ i // BATCH at row i % BATCH, and a reader that maps the file gets it without a c
 
 from __future__ import annotations
 
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -30,7 +29,12 @@ CACHED = 1_000_000
 _ENDINGS = ".,;:!?*$%&#|"
 
 _ENCODERS: dict[str, Encoder] = {}
-_IRREGULAR = re.compile(r"\s\s|^\s|\s$")
+
+
+def single_blanks(text: str) -> bool:
+    """Whether the text has words and every white space stands alone between two of them."""
+    parts = text.split()
+    return bool(parts) and len("".join(parts)) + len(parts) - 1 == len(text)
 
 
 class Encoder:
@@ -69,7 +73,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         units: list[list[str] | None] = []
         for text in texts:
-            if not text or _IRREGULAR.search(text) or any(t in text for t in self.added):
+            if not single_blanks(text) or any(t in text for t in self.added):
                 units.append(None)
             else:
                 # A line break goes with the word behind it; two mark the first word, which has no space.
@@ -80,8 +84,8 @@ class Encoder:
             self.known.clear()
             new = every
         # Endings such as commas are pieces of their own: the word before them is learnt once.
-        bare = {u: u.rstrip(_ENDINGS) for u in new}
-        bare = {u: core for u, core in bare.items() if core != u and core[-1:].isalpha()}
+        bare = {u: u.rstrip(_ENDINGS) for u in new if u[-1] in _ENDINGS}
+        bare = {u: core for u, core in bare.items() if core[-1:].isalpha()}
         ends = {"\n\n" + u[len(core) :] for u, core in bare.items()}
         self._learn(sorted((new - bare.keys() | set(bare.values()) | ends).difference(self.known)))
         known = self.known

@@ -113,3 +113,12 @@ def test_repeated_rows_and_null_ids(spark, tmp_path):
     index = token_files.write_tokens(table(spark, rows), VOCABULARY, f"file://{tmp_path}/t")
     assert [r["n_tokens"] for r in token_files.read_tokens(index).orderBy("start").collect()] == [1, 2, 3, 3]
     assert sharding.shard_documents(table(spark, rows)).count() == 4
+
+
+def test_single_blanks_is_told_of_every_white_space():
+    spaces = [c for c in map(chr, range(0x110000)) if c.isspace()]
+    assert all(token_files.single_blanks(f"a{c}b") and not token_files.single_blanks(f"a{c} b") for c in spaces)
+    for text in ["", " ", "\n", " a", "a ", "a\n", "\x1ca", "a  b", "a\n\nb", "a \nb", "a  b", "a b\t"]:
+        assert not token_files.single_blanks(text)
+    for text in ["a", "a b", "a\nb c\td", "​", "\U0001f600 é　ß"]:
+        assert token_files.single_blanks(text)
