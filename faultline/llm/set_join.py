@@ -12,6 +12,10 @@ compared with one pivot; only lists whose nodes are then in different components
 further, block against block, and only across components. So no link between components
 is lost and a large group of near copies costs about one comparison per member. A list that may
 be long by the sketch is dealt over tasks until its pivot is known.
+
+Before texts travel, candidates are told apart by a signature of each set, the parities of
+its hashes' low bits in one to two bits a shingle: two sets differ in at least as many
+shingles as their signatures in bits, so what this leaves out can't link.
 """
 
 from __future__ import annotations
@@ -69,8 +73,45 @@ def linked(common: np.ndarray | int, n: np.ndarray | int, m: np.ndarray | int) -
     return 100 * common >= 80 * (n + m - common)
 
 
+def signature(found: np.ndarray) -> bytes:
+    """Parities of the set's hashes by their low bits: a power of two of 64 bits, one to two bits a shingle."""
+    if not len(found):
+        return b""
+    bits = max(64, 1 << (len(found) - 1).bit_length())
+    odd = np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_link(sizes: np.ndarray, signatures: list[bytes], asked: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """Whether each set may link, by size and signature, with one asked for, or be one that may, in another part.
+
+    Linked sets differ in at most a ninth of the sum of their sizes, so one signature is at
+    most twice as long as the other; its halves added bit by bit are the shorter one's kind.
+    """
+    words = np.array([len(s) // 8 for s in signatures])
+    out = np.zeros(len(sizes), bool)
+    for width in np.unique(words[words > 0]).tolist():
+        at = np.flatnonzero((words == width) | (words == 2 * width))
+        own, double = words[at] == width, words[at] == 2 * width
+        held = np.zeros((len(at), width), np.uint64)
+        held[own] = np.frombuffer(b"".join([signatures[k] for k in at[own]]), np.uint64).reshape(-1, width)
+        longer = np.frombuffer(b"".join([signatures[k] for k in at[double]]), np.uint64).reshape(-1, 2, width)
+        held[double] = longer[:, 0] ^ longer[:, 1]
+        # Two of the longer kind meet at their own width.
+        for k in np.flatnonzero(asked[at]).tolist():
+            with_it = (own | own[k]) & (parts[at] != parts[at[k]])
+            total = sizes[at] + sizes[at[k]]
+            with_it &= 10 * np.minimum(sizes[at], sizes[at[k]]) >= 8 * np.maximum(sizes[at], sizes[at[k]])
+            some = np.flatnonzero(with_it)
+            apart = np.bitwise_count(held[some] ^ held[k]).sum(axis=1, dtype=np.int64)
+            some = some[9 * apart <= total[some]]
+            if len(some):
+                out[at[some]] = out[at[k]] = True
+    return out
+
+
 def _summaries(docs: DataFrame) -> DataFrame:
-    """A row per document (doc_id, hash, n, node) and, per task, its shingle counts in parts (part, counts)."""
+    """A row per document (doc_id, hash, n, node, sig) and, per task, its shingle counts in parts (part, counts)."""
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -81,20 +122,24 @@ def _summaries(docs: DataFrame) -> DataFrame:
             yield pa.record_batch(
                 [
                     piece.column("doc_id"), piece.column("hash"), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([node_of(s) for s in sets], pa.int64()), no_part, no_counts,
+                    pa.array([node_of(s) for s in sets], pa.int64()),
+                    pa.array([signature(s) for s in sets], pa.binary()), no_part, no_counts,
                 ],
-                names=["doc_id", "hash", "n", "node", "part", "counts"],
+                names=["doc_id", "hash", "n", "node", "sig", "part", "counts"],
             )
         parts = [zlib.compress(p.tobytes(), 1) for p in np.split(counts, SKETCH_PARTS)]
         gap = pa.nulls(SKETCH_PARTS, pa.int64())
         yield pa.record_batch(
-            [gap, gap, gap, gap, pa.array(range(SKETCH_PARTS), pa.int32()), pa.array(parts, pa.binary())],
-            names=["doc_id", "hash", "n", "node", "part", "counts"],
+            [
+                gap, gap, gap, gap, pa.nulls(SKETCH_PARTS, pa.binary()),
+                pa.array(range(SKETCH_PARTS), pa.int32()), pa.array(parts, pa.binary()),
+            ],
+            names=["doc_id", "hash", "n", "node", "sig", "part", "counts"],
         )
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("hash"), "text")
     return rows.mapInArrow(
-        summarise, "doc_id bigint, hash bigint, n bigint, node bigint, part int, counts binary"
+        summarise, "doc_id bigint, hash bigint, n bigint, node bigint, sig binary, part int, counts binary"
     )
 
 
@@ -236,6 +281,43 @@ def _lists(postings: DataFrame) -> DataFrame:
     return single.unionByName(dealt.join(whole, ["key", "size_class"]))
 
 
+def _sift(rows: DataFrame, by: list[str]) -> DataFrame:
+    """The rows that may link with another of their group: those _compare needs the texts of.
+
+    Rows have node, component, pivot (boolean), n and sig; n and sig are left out.
+    """
+    shown = [*by, "node", "component", "pivot"]
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def send(group: list[tuple]) -> pa.RecordBatch:
+            sizes, pivot = np.array([g[-2] for g in group]), np.array([g[-3] for g in group])
+            if pivot.any():
+                asked, parts = pivot, np.array([g[-5] for g in group])
+            else:
+                asked, parts = ~pivot, np.array([g[-4] for g in group])
+            if (parts == parts[0]).all():
+                return pa.RecordBatch.from_pylist([], schema=schema)
+            kept = np.flatnonzero(may_link(sizes, [g[-1] for g in group], asked, parts)).tolist()
+            columns = list(zip(*[group[k][:-2] for k in kept])) or [()] * len(shown)
+            return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+        current, group = None, []
+        for piece in slices(batches, 1024):
+            schema = pa.schema([piece.schema.field(c) for c in shown])
+            for row in zip(*(piece.column(c).to_pylist() for c in (*shown, "n", "sig"))):
+                if row[: len(by)] != current and group:
+                    yield send(group)
+                    group = []
+                current = row[: len(by)]
+                group.append(row)
+        if group:
+            yield send(group)
+
+    kinds = ", ".join(f"{c} {k}" for c, k in rows.select(*shown).dtypes)
+    together = rows.repartition(*by).sortWithinPartitions(*by)
+    return together.select(*shown, "n", "sig").mapInArrow(sift, kinds)
+
+
 def _compare(rows: DataFrame, by: list[str]) -> DataFrame:
     """Links (a, b) among the rows of each group: pivots with all others, else across components.
 
@@ -340,7 +422,8 @@ def similar_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     fits = 10 * F.least("n", "pivot_n") >= 8 * F.greatest("n", "pivot_n")
     stars = cut(held.where(F.col("node") != F.col("pivot")).where(fits).select("pivot", "node").distinct())
     needed = held.where("members > 2").select("node").union(stars.select("node")).union(stars.select("pivot")).distinct()
-    texts = cut(_texts(docs, rows, needed))
+    sigs = every.where("n > 0").groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("sig").alias("sig"))
+    sigs = cut(sigs.join(needed, "node"))
 
     block = F.pmod(F.xxhash64("node", "pivot"), F.greatest(F.lit(1), F.ceil(F.col("count") / BLOCK)))
     counts = stars.groupBy("pivot").agg(F.count(F.lit(1)).alias("count"))
@@ -348,13 +431,12 @@ def similar_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     dealt = dealt.select("pivot", "block", "node", F.lit(False).alias("is_pivot")).union(
         dealt.select("pivot", "block", F.col("pivot").alias("node"), F.lit(True)).distinct()
     )
-    first = _compare(
-        dealt.join(texts, "node").select(
-            F.col("pivot").alias("group"), "block", "node", F.col("node").alias("component"),
-            F.col("is_pivot").alias("pivot"), "text",
-        ),
-        ["group", "block"],
+    dealt = dealt.select(
+        F.col("pivot").alias("group"), "block", "node", F.col("node").alias("component"), F.col("is_pivot").alias("pivot")
     )
+    near = cut(_sift(dealt.join(sigs, "node"), ["group", "block"]))
+    texts = _texts(docs, rows, near.select("node").distinct())
+    first = _compare(near.join(texts, "node"), ["group", "block"])
     links = cut(first)
     known = cut(components(links))
 
@@ -377,12 +459,10 @@ def similar_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         "pivot", "length", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
         "node", "component",
     )
-    second = _compare(
-        left.join(texts, "node").select(
-            F.col("pivot").alias("group"), "length", "i", "j", "node", "component", F.lit(False).alias("pivot"), "text"
-        ),
-        ["group", "length", "i", "j"],
-    )
+    left = left.withColumnRenamed("pivot", "group").withColumn("pivot", F.lit(False))
+    near = cut(_sift(left.join(sigs, "node"), ["group", "length", "i", "j"]))
+    texts = _texts(docs, rows, near.select("node").distinct())
+    second = _compare(near.join(texts, "node"), ["group", "length", "i", "j"])
     return rows, cut(components(links.union(second)))
 
 

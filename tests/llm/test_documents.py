@@ -1,5 +1,6 @@
 """Fingerprints, rules, classifier, pieces, preferences, removal and the join against plain versions."""
 
+import itertools
 import math
 import random
 import struct
@@ -180,6 +181,39 @@ def test_join_in_small_blocks(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute.component_rows(rows)
 
 
+@pytest.mark.parametrize("pivots", [False, True])
+def test_signatures_leave_out_no_link(pivots):
+    rnd = np.random.default_rng(5)
+    base = np.unique(rnd.integers(0, 1 << 63, 300, dtype=np.uint64))
+    sets = []
+    for n in (1, 2, 5, 60, 63, 64, 65, 128, 129, 250, 257, 290):
+        for new in (0, 1, n // 10, n // 8, n // 2):
+            fresh = rnd.integers(0, 1 << 63, new, dtype=np.uint64)
+            sets.append(np.unique(np.concatenate([base[: n - new], fresh])))
+    sizes, parts = np.array([len(s) for s in sets]), np.arange(len(sets)) // 2
+    asked = np.arange(len(sets)) % 7 == 0 if pivots else np.ones(len(sets), bool)
+    want = np.zeros(len(sets), bool)
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        common = len(np.intersect1d(sets[i], sets[j]))
+        if set_join.linked(common, len(sets[i]), len(sets[j])) and parts[i] != parts[j] and (asked[i] or asked[j]):
+            want[[i, j]] = True
+    found = set_join.may_link(sizes, [set_join.signature(s) for s in sets], asked, parts)
+    assert want.any() and (found >= want).all() and not found.all()
+
+
+def test_texts_that_cannot_link_do_not_travel(spark, monkeypatch):
+    """Texts that share a passage too short for a link, and two that link."""
+    shared = " ".join(f"s{i}" for i in range(30))
+    rows = [(i, shared + " " + " ".join(f"w{i}x{k}" for k in range(90))) for i in range(12)]
+    rows += [(20, rows[0][1] + " end")]
+    asked, texts = [], set_join._texts
+    monkeypatch.setattr(set_join, "_texts", lambda docs, own, needed: (asked.append(needed.count()), texts(docs, own, needed))[1])
+    monkeypatch.setattr(set_join, "boundary", lambda sizes, length: 0)
+    found = set_join.join(table(spark, rows)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute.component_rows(rows)
+    assert sum(asked) == 2
+
+
 def test_one_of_each(spark):
     rows = CORPUS + [(3, "one"), (None, "one"), (None, None)]
     kept = set_join.one_of_each(table(spark, rows)).collect()
