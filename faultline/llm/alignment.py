@@ -13,15 +13,17 @@ them back to the documents as scores.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from faultline.llm.shared import slices
+from faultline.llm.shared import single_blanks, slices
 from faultline.session import cut
 
 SLOT_BITS = 12
@@ -68,6 +70,8 @@ class Aligner:
         import sentencepiece
         from tokenizers import Tokenizer
 
+        # The library would start threads for all cores in every task, which has one.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
         byte_of = _byte_of()
@@ -123,23 +127,43 @@ class Aligner:
         self.texts += texts
         self.held += sum(map(len, texts))
 
+    def _same(self, units: list[str], all_a: list[list[int]], all_b: list[list[int]]) -> list[int]:
+        """Places of the units that both kinds of tokens spell; many are compared at once, as one text."""
+        raw = [u.encode() for u in units]
+        wanted = np.array([len(r) for r in raw])
+        fits = np.ones(len(units), bool)
+        for every, length in ((all_a, self.length_a), (all_b, self.length_b)):
+            ends = np.concatenate([[0], np.cumsum(length[np.fromiter(chain.from_iterable(every), np.int64)])])
+            fits &= np.diff(ends[np.concatenate([[0], np.cumsum([len(x) for x in every])])]) == wanted
+
+        def spelled(places: list[int]) -> bool:
+            text = b"".join([raw[i] for i in places])
+            return all(
+                b"".join([shown[x] for i in places for x in every[i]]) == text
+                for every, shown in ((all_a, self.raw_a), (all_b, self.raw_b))
+            )
+
+        # Tokens as long as each unit spell all of them if they spell the units joined.
+        places, good = np.flatnonzero(fits).tolist(), []
+        for start in range(0, len(places), 64):
+            part = places[start : start + 64]
+            good += part if spelled(part) else [i for i in part if spelled([i])]
+        return good
+
     def _learn(self, new: list[str]) -> None:
         all_a = [e.ids for e in self.a.encode_batch_fast(new, add_special_tokens=False)]
         # The library puts a blank before a text; a line break keeps it away from units without one.
         all_b = self.b.encode([u[1:] if u[:1] == " " else "\n" + u for u in new], num_threads=1)
         all_b = [ids if u[:1] == " " else ids[self.lead :] for u, ids in zip(new, all_b)]
-        good = []
-        for i, (unit, ids_a, ids_b) in enumerate(zip(new, all_a, all_b)):
-            raw = unit.encode()
-            if b"".join([self.raw_a[x] for x in ids_a]) == raw == b"".join([self.raw_b[x] for x in ids_b]):
-                self.known[unit] = len(self.texts) + len(good)
-                good.append(i)
-            else:
-                self.known[unit] = -1
+        good = self._same(new, all_a, all_b)
+        self.known.update(dict.fromkeys(new, -1))
+        self.known.update(zip([new[i] for i in good], range(len(self.texts), len(self.texts) + len(good))))
         if good:
             self._aligned([all_a[i] for i in good], [all_b[i] for i in good])
 
     def split(self, text: str) -> list[str]:
+        if self.words and "\0" not in text and single_blanks(text):
+            return (" " + text).replace(" ", "\0 ").replace("\n", "\0\n").split("\0")[1:]
         parts = _SPLIT.split(text) if self.words else [text]
         units = [p if p[:1] == "\n" else " " + p for p in parts]
         units[0] = " " + parts[0]

@@ -9,6 +9,7 @@ i // BATCH at row i % BATCH, and a reader that maps the file gets it without a c
 
 from __future__ import annotations
 
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -19,7 +20,7 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from faultline.llm.shared import slices
+from faultline.llm.shared import single_blanks, slices
 from faultline.session import cut, scratch_path
 
 SEQUENCE = 2048
@@ -31,12 +32,6 @@ _ENDINGS = ".,;:!?*$%&#|"
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def single_blanks(text: str) -> bool:
-    """Whether the text has words and every white space stands alone between two of them."""
-    parts = text.split()
-    return bool(parts) and len("".join(parts)) + len(parts) - 1 == len(text)
-
-
 class Encoder:
     """Byte-level BPE ids by the tokenizers library, each distinct spaced word encoded once.
 
@@ -48,6 +43,8 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        # The library would start threads for all cores in every task, which has one.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.library = Tokenizer.from_file(path)
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.line_break = int(self._ids("\n")[0])

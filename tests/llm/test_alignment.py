@@ -1,7 +1,9 @@
 """Token links of two tokenizers against a plain version that walks over byte ranges."""
 
 import hashlib
+import os
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -12,7 +14,7 @@ import sentencepiece
 from test_documents import corpus, table
 from tokenizers import Tokenizer
 
-from faultline.llm import alignment, queries
+from faultline.llm import alignment, queries, token_files
 
 PATHS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
@@ -154,3 +156,34 @@ def test_query(spark, tmp_path):
     assert got.columns == [
         "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256",
     ] and got.count() == 40
+
+
+@pytest.mark.parametrize("kind", ["aligner", "encoder"])
+def test_encoding_keeps_to_the_core_of_its_task(monkeypatch, kind):
+    monkeypatch.delenv("TOKENIZERS_PARALLELISM", raising=False)
+    found = alignment.Aligner(*PATHS) if kind == "aligner" else token_files.Encoder(PATHS[0])
+    assert os.environ["TOKENIZERS_PARALLELISM"] == "false"
+    texts = [" ".join(f"w{i}x{k}" for k in range(300)) for i in range(300)]
+    own, every = time.thread_time(), time.process_time()
+    found.number(texts) if kind == "aligner" else found.encode(texts)
+    own, every = time.thread_time() - own, time.process_time() - every
+    assert every < 1.2 * own + 0.05
+
+
+@pytest.mark.parametrize("text", ["a b", "a  b", " a", "a ", "a\nb", "a\n\nb c", "a \nb", "a\tb c", "a\xa0b c", "x\0y z", "\x1cb c", "é　b c\nd"])
+def test_units_by_words_are_those_of_the_pattern(text):
+    found = alignment.Aligner(*PATHS)
+    parts = alignment._SPLIT.split(text)
+    assert found.split(text) == [" " + parts[0], *[p if p[:1] == "\n" else " " + p for p in parts[1:]]]
+
+
+def test_units_whose_tokens_spell_other_bytes_have_none():
+    """Among many good units those of other bytes, or as many other bytes, are still told apart."""
+    found = alignment.Aligner(*PATHS)
+    units, ids = [" a", " b", " c", " dd"], {}
+    all_a = [e.ids for e in found.a.encode_batch_fast(units, add_special_tokens=False)]
+    all_b = found.b.encode([u[1:] for u in units])
+    assert found._same(units, all_a, all_b) == [0, 1, 2, 3]
+    assert found._same(units, [all_a[1], *all_a[1:]], all_b) == [1, 2, 3]
+    assert found._same(units, all_a, [*all_b[:3], all_b[0]]) == [0, 1, 2]
+    assert found._same(units, [[], *all_a[1:]], all_b) == [1, 2, 3]
