@@ -151,6 +151,8 @@ class Aligner:
         return good
 
     def _learn(self, new: list[str]) -> None:
+        if not new:
+            return
         all_a = [e.ids for e in self.a.encode_batch_fast(new, add_special_tokens=False)]
         # The library puts a blank before a text; a line break keeps it away from units without one.
         all_b = self.b.encode([u[1:] if u[:1] == " " else "\n" + u for u in new], num_threads=1)

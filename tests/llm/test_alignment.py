@@ -187,3 +187,10 @@ def test_units_whose_tokens_spell_other_bytes_have_none():
     assert found._same(units, [all_a[1], *all_a[1:]], all_b) == [1, 2, 3]
     assert found._same(units, all_a, [*all_b[:3], all_b[0]]) == [0, 1, 2]
     assert found._same(units, [[], *all_a[1:]], all_b) == [1, 2, 3]
+
+
+def test_texts_whose_units_are_all_known():
+    found = alignment.Aligner(*PATHS)
+    first, again = found.number(["a b c", None, ""]), found.number(["a b c", "c", None])
+    assert first[0].tolist() == again[0].tolist() and first[1:] == [None, None] and again[2] is None
+    assert found.number([None, ""]) == [None, None] and found.number([]) == []
